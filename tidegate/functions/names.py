@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegate import fixed_values as fixed
 from tidegate.functions.numbers import fixed2
@@ -27,29 +26,36 @@ class RenameHints:
         return sorted({f"{a}|{b}" for a, b in pairs} | {f"{b}|{a}" for a, b in pairs})
 
 
-@lru_cache(maxsize=1 << 16)
-def _ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+def _ratio_udf():
+    # defined here so that it is sent to executors by value
+    def ratios(left: pa.Array, right: pa.Array) -> pa.Array:
+        import pyarrow
+        from difflib import SequenceMatcher
 
+        kind = pyarrow.list_(pyarrow.float64())
+        if left.null_count == len(left):  # the usual batch: no row needs a score
+            return pyarrow.nulls(len(left), kind)
+        known: dict[tuple[str, str], float] = {}
+        out = []
+        for a, b in zip(left.to_pylist(), right.to_pylist()):
+            scores = None if a is None else []
+            for pair in zip(a or (), b or ()):
+                if pair not in known:
+                    known[pair] = SequenceMatcher(None, pair[0].lower(), pair[1].lower()).ratio()
+                scores.append(known[pair])
+            out.append(scores)
+        return pyarrow.array(out, kind)
 
-@F.arrow_udf("array<double>")
-def _ratios(left: pa.Array, right: pa.Array) -> pa.Array:
-    if left.null_count == len(left):  # the usual batch: no row needs a score
-        return pa.nulls(len(left), pa.list_(pa.float64()))
-    return pa.array(
-        [None if a is None else [_ratio(x.lower(), y.lower()) for x, y in zip(a, b)]
-         for a, b in zip(left.to_pylist(), right.to_pylist())],
-        pa.list_(pa.float64()),
-    )
+    return F.arrow_udf(ratios, T.ArrayType(T.DoubleType()))
 
 
 def similarity_ratios(left: Column, right: Column) -> Column:
     """Matching-block ratio (2·matches / total length) of two parallel arrays of names.
 
     Spark has no such function.  Rows with NULL arrays cost nothing in Python,
-    and each distinct pair is computed once per worker.
+    and each distinct pair is computed once per batch.
     """
-    return _ratios(left, right)
+    return _ratio_udf()(left, right)
 
 
 def tokens(name: Column) -> Column:
