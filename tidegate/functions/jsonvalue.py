@@ -22,6 +22,9 @@ IMAGE_TYPE = "map<string,struct<kind:string,text:string>>"
 # wrapper early or adds elements is recognised.
 _MARK = uuid.uuid4().hex
 
+# printable ASCII without quote and backslash: text that needs no escaping
+_PLAIN = r"^[ !#-\[\]-~]*$"
+
 
 def wrap_document(text: Column) -> Column:
     """Parse ``[text, mark]``; NULL when the text is not JSON."""
@@ -37,6 +40,22 @@ def is_whole_document(wrapped: Column) -> Column:
     )
 
 
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def object_members(text: Column, members: str) -> Column:
+    """Named members of a JSON object, with the mark behind it (see ``whole_members``)."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit(f',{{"{_MARK}":1}}]')),
+                       f"array<struct<{members}, `{_MARK}` int>>", _STRICT)
+
+
+def whole_members(parsed: Column, text: Column) -> Column:
+    """The members when the text was exactly one JSON object, else NULL."""
+    whole = ((F.size(parsed) == 2) & (F.try_element_at(parsed, F.lit(2))[_MARK] == 1)
+             & F.ltrim(text, F.lit(" \t\r\n")).startswith("{"))
+    return F.when(whole, F.try_element_at(parsed, F.lit(1)))
+
+
 def kind_of(value: Column) -> Column:
     """JSON family of a VARIANT value."""
 
@@ -86,7 +105,10 @@ def image_of_text(json_text: Column) -> Column:
 def quote(text: Column) -> Column:
     """Text as a JSON string; NULL stays NULL."""
     wrapped = F.to_json(F.struct(text.alias("v")))
-    return F.when(text.isNotNull(), F.substring(wrapped, 6, F.length(wrapped) - 6))
+    return (
+        F.when(text.rlike(_PLAIN), F.concat(F.lit('"'), text, F.lit('"')))
+        .when(text.isNotNull(), F.substring(wrapped, 6, F.length(wrapped) - 6))
+    )
 
 
 def value_json(value: Column, text_json: Callable[[Column], Column] = quote) -> Column:
@@ -99,10 +121,8 @@ def value_json(value: Column, text_json: Callable[[Column], Column] = quote) ->
 
 
 def sorted_entries(image: Column) -> Column:
-    return F.array_sort(
-        F.map_entries(image),
-        lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
-    )
+    """Entries by key; keys are unique, so the natural order of entries is that of the keys."""
+    return F.array_sort(F.map_entries(image))
 
 
 def image_json(image: Column) -> Column:
@@ -134,11 +154,8 @@ def ascii_quote(text: Column) -> Column:
                 .when(code < 65536, F.format_string("\\u%04x", code))
                 .otherwise(pair))
 
-    quoted = quote(text)
-    return F.when(
-        text.rlike(r"[^\x00-\x7f]"),
-        F.array_join(F.transform(F.split(quoted, ""), escape), ""),
-    ).otherwise(quoted)
+    return F.when(text.rlike(_PLAIN), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
+        F.array_join(F.transform(F.split(quote(text), ""), escape), ""))
 
 
 def same_value(a: Column, b: Column) -> Column:

@@ -1,8 +1,9 @@
 """Decoding of change envelopes.
 
-The value is parsed once into VARIANT; everything else is read from it by path,
-so only the parts that are used are materialised.  Nothing here can fail the
-job: every step is a ``try_`` expression whose NULL leads to an error column.
+One strict JSON pass splits a message: the schema block stays text (it is read
+only for its column types), the payload becomes VARIANT.  Text that is not a
+JSON object takes a second look only then.  Nothing here can fail the job: every
+step is a permissive expression whose NULL leads to an error column.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from tidegate.functions import jsonvalue as jv
 from tidegate.functions.binding import let
 from tidegate.functions.sqltypes import lookup
 
-_COLUMN_TYPE = ("array<struct<field string, type string, name string, optional boolean, "
-                "parameters map<string,string>>>")
-_IMAGE_FIELDS_TYPE = f"array<struct<field string, type string, fields {_COLUMN_TYPE}>>"
+_PARAMETER = "__debezium.source.column."
+_COLUMN_TYPE = ("array<struct<field string, type string, name string, optional boolean, parameters "
+                f"struct<`{_PARAMETER}type` string, `{_PARAMETER}length` string, `{_PARAMETER}scale` string>>>")
+_SCHEMA_TYPE = f"struct<fields array<struct<field string, type string, fields {_COLUMN_TYPE}>>>"
+_ENVELOPE_TYPE = ("schema string, payload variant, op variant, source variant, before variant, "
+                  "after variant, ts_ms variant")
 _SOURCE_KEYS = ["connector", "db", "file", "gtid", "lsn", "name", "pos", "row", "snapshot",
                 "table", "ts_ms", "version"]
 # names of JSON families in error texts
@@ -30,62 +34,59 @@ _COLUMN_SCHEMA = ("array<struct<name:string,connect_type:string,logical_type:str
 
 
 def decode_json(log: DataFrame) -> DataFrame:
-    """Parse value and key; ``json_error`` says why a value is not JSON."""
-    valid = F.is_valid_utf8(F.col("value"))
-    text = F.when(valid, F.col("value").cast("string"))
-    key_valid = F.is_valid_utf8(F.col("key"))
-    parsed = log.withColumns({
-        "document": jv.wrap_document(text),
-        "key_document": jv.wrap_document(F.when(key_valid, F.col("key").cast("string"))),
+    """Parse value and key; ``json_error`` says why a value is not JSON.
+
+    ``body`` holds the members of a JSON object, ``document`` any other JSON value.
+    """
+    as_text = lambda c: F.when(F.is_valid_utf8(F.col(c)), F.col(c).cast("string"))
+    texts = log.withColumns({
+        "_text": as_text("value"), "_key_text": as_text("key"),
         "correlation_id": F.concat_ws("/", "topic", F.col("partition").cast("string"),
                                       F.col("offset").cast("string")),
     })
+    text = F.col("_text")
+    parsed = texts.withColumns({
+        "_members": jv.object_members(text, _ENVELOPE_TYPE),
+        "key_document": jv.wrap_document(F.col("_key_text")),
+    }).withColumn("body", jv.whole_members(F.col("_members"), text)).withColumn(
+        "document", F.when(F.col("body").isNull(), jv.wrap_document(text)))
     return parsed.withColumns({
-        "json_error": F.when(F.col("value").isNotNull() & ~jv.is_whole_document(F.col("document")),
-                             F.when(valid, "not a valid JSON document").otherwise("not valid UTF-8")),
+        "json_error": F.when(
+            F.col("value").isNotNull() & F.col("body").isNull() & ~jv.is_whole_document(F.col("document")),
+            F.when(text.isNotNull(), "not a valid JSON document").otherwise("not valid UTF-8")),
         "key_is_json": jv.is_whole_document(F.col("key_document")),
-    })
-
-
-def _at(path: str, kind: str) -> Column:
-    return F.try_variant_get("document", path, kind)
-
-
-def _present(path: str) -> Column:
-    return _at(path, "variant").isNotNull()
+    }).drop("_members", "_key_text", "_text")
 
 
 def unwrap(decoded: DataFrame) -> DataFrame:
-    """Find the payload: ``{schema, payload}`` or the bare payload.
+    """Find the payload: ``{schema, payload}`` or the bare payload (``is_wrapped``)."""
+    body = F.col("body")
+    # a schema that is JSON null reads like a missing one, so that case is looked up
+    null_schema = F.try_variant_get(
+        F.try_parse_json(F.col("value").cast("string")), "$.schema", "variant").isNotNull()
+    wrapped = body["payload"].isNotNull() & F.when(body["schema"].isNotNull(), True).otherwise(null_schema)
+    return decoded.withColumn("is_wrapped", F.coalesce(wrapped, F.lit(False)))
 
-    ``is_wrapped`` selects the path of all later reads.  Cheap scalar probes come
-    before the probes that have to rebuild a sub-document.
-    """
-    schema_key = _at("$[0].schema.type", "string").isNotNull() | _present("$[0].schema")
-    payload_key = _at("$[0].payload.op", "string").isNotNull() | _present("$[0].payload")
-    return decoded.withColumn("is_wrapped", F.coalesce(schema_key & payload_key, F.lit(False)))
 
-
-def _field(name: str, kind: str) -> Column:
-    return F.when(F.col("is_wrapped"), _at(f"$[0].payload.{name}", kind)).otherwise(
-        _at(f"$[0].{name}", kind))
+def _payload(path: str, kind: str) -> Column:
+    return F.try_variant_get(F.col("body")["payload"], path, kind)
 
 
-def _is_string(name: str) -> Column:
-    return F.schema_of_variant(_field(name, "variant")) == "STRING"
+def _field(name: str, kind: str) -> Column:
+    return F.when(F.col("is_wrapped"), _payload(f"$.{name}", kind)).otherwise(
+        F.try_variant_get(F.col("body")[name], "$", kind))
 
 
 def _image(name: str) -> Column:
-    return F.when(F.col("is_wrapped"), jv.image_at(F.col("document"), f"$[0].payload.{name}")).otherwise(
-        jv.image_at(F.col("document"), f"$[0].{name}"))
+    return F.transform_values(_field(name, "map<string,variant>"), lambda _, v: jv.value_of(v))
 
 
 def read_fields(unwrapped: DataFrame) -> DataFrame:
     """Operation, source block, images and time of the payload."""
-    source = _field("source", "map<string,string>")
     return unwrapped.withColumns({
-        "operation": F.when(_is_string("op"), _field("op", "string")),
-        "source_block": source,
+        "operation": let(_field("op", "variant"), lambda op: F.when(
+            F.schema_of_variant(op) == "STRING", F.try_variant_get(op, "$", "string"))),
+        "source_block": _field("source", "map<string,string>"),
         "before_image": _image("before"),
         "after_image": _image("after"),
         "ts_ms": _field("ts_ms", "bigint"),
@@ -98,27 +99,21 @@ def read_fields(unwrapped: DataFrame) -> DataFrame:
 
 def is_tombstone() -> Column:
     """No value, JSON ``null``, an empty payload, or ``payload: null`` with a schema."""
-    whole = F.col("json_error").isNull()
-    body_null = F.is_variant_null(_at("$[0]", "variant"))
-    payload_null = F.is_variant_null(_at("$[0].payload", "variant"))
-    empty = F.size(_at("$[0].payload", "map<string,string>")) == 0
-    bare_empty = F.size(_at("$[0]", "map<string,string>")) == 0
     no_op = F.col("operation").isNull()  # a payload with an op is neither null nor empty
-    return F.col("value").isNull() | (
-        whole & no_op & F.coalesce(
-            F.when(F.col("is_wrapped"), payload_null | empty).otherwise(body_null | bare_empty),
-            F.lit(False)))
+    payload = F.is_variant_null(F.col("body")["payload"]) | (F.size(_payload("$", "map<string,string>")) == 0)
+    bare = F.when(F.col("body").isNull(), F.is_variant_null(F.try_variant_get("document", "$[0]", "variant"))
+                  ).otherwise(F.col("value").cast("string").rlike(r"^\s*\{\s*\}\s*$"))
+    return F.col("value").isNull() | (F.col("json_error").isNull() & no_op & F.coalesce(
+        F.when(F.col("is_wrapped"), payload).otherwise(bare), F.lit(False)))
 
 
 def envelope_error() -> Column:
     """The first thing wrong with an envelope; NULL when it is usable."""
     op = F.col("operation")
     row_op, known = op.isin(*fixed.ROW_OPS), op.isin(*fixed.ROW_OPS, *fixed.CONTROL_OPS)
-    root_kind = lambda: F.coalesce(lookup(
-        _PYTHON_NAMES, jv.kind_of(_at("$[0]", "variant"))), F.lit("object"))
-    no_root = _at("$[0].op", "string").isNull() & ~F.col("is_wrapped") & (root_kind() != "object")
+    root_kind = lookup(_PYTHON_NAMES, jv.kind_of(F.try_variant_get("document", "$[0]", "variant")))
     bad_payload = F.col("is_wrapped") & op.isNull() & (
-        jv.kind_of(_at("$[0].payload", "variant")) != "object")
+        jv.kind_of(F.col("body")["payload"]) != "object")
 
     def wrong_image(name: str, image: str) -> Column:
         # only images that are not objects are looked at again
@@ -126,7 +121,8 @@ def envelope_error() -> Column:
         return F.col(image).isNull() & value.isNotNull() & ~F.is_variant_null(value)
 
     return (
-        F.when(no_root, F.concat(F.lit("envelope must be a JSON object, got "), root_kind()))
+        F.when(F.col("body").isNull(),
+               F.concat(F.lit("envelope must be a JSON object, got "), root_kind))
         .when(bad_payload, "envelope 'payload' must be an object")
         .when(op.isNull() | (op == ""), "missing 'op' field")
         .when(~known, F.concat(F.lit("unsupported operation '"), op, F.lit("'")))
@@ -171,50 +167,34 @@ def key_image() -> Column:
 
 def sql_type_of(parameters: Column) -> Column:
     """SQL type from the propagated type, length, scale and UNSIGNED."""
-    get = lambda name: F.try_element_at(
-        parameters, F.lit(f"__debezium.source.column.{name}"))
-    full = F.trim(F.upper(get("type")))
-    unsigned = full.endswith(" UNSIGNED")
-    base = F.when(unsigned, F.regexp_replace(full, " UNSIGNED$", "")).otherwise(full)
-    length, scale = F.nullif(get("length"), F.lit("")), F.nullif(get("scale"), F.lit(""))
-    scaled = scale.isNotNull() & base.isin("DECIMAL", "NUMERIC")
-    size = F.when(base.isin(*_SIZED_TYPES) & length.isNotNull(),
-                  F.when(scaled, F.concat(F.lit("("), length, F.lit(","), scale, F.lit(")")))
-                  .otherwise(F.concat(F.lit("("), length, F.lit(")"))))
-    return F.when(F.nullif(get("type"), F.lit("")).isNotNull(),
-                  F.concat(base, F.coalesce(size, F.lit("")),
-                           F.when(unsigned, " UNSIGNED").otherwise("")))
+    raw, length, scale = (parameters[_PARAMETER + n] for n in ("type", "length", "scale"))
+    sign = " UNSIGNED"
+
+    def written(full: Column) -> Column:
+        unsigned = full.endswith(sign)
+        base = F.when(unsigned, F.substring(full, 1, F.length(full) - len(sign))).otherwise(full)
+        scaled = (scale != "") & base.isin("DECIMAL", "NUMERIC")
+        size = F.when((length != "") & base.isin(*_SIZED_TYPES), F.concat(
+            F.lit("("), length, F.when(scaled, F.concat(F.lit(","), scale)).otherwise(""), F.lit(")")))
+        return F.concat(base, F.coalesce(size, F.lit("")), F.when(unsigned, sign).otherwise(""))
+
+    return F.when(raw != "", let(F.trim(F.upper(raw)), written))
 
 
 def column_schema() -> Column:
     """Per-column types the envelope sends for the image that is validated."""
     image = F.when(F.col("operation") == "d", "before").otherwise("after")
-
-    def usual(position: int) -> Column:
-        return (_at(f"$[0].schema.fields[{position}].field", "string") == image) & (
-            _at(f"$[0].schema.fields[{position}].type", "string") == "struct")
-
-    # Envelopes list before and after first.  Reading that entry alone avoids
-    # building the schemas of all the others; any other order is searched.
-    found = F.filter(_at("$[0].schema.fields", _IMAGE_FIELDS_TYPE),
-                     lambda f: (f["field"] == image) & (f["type"] == "struct"))
-    columns = (
-        F.when(usual(0), _at("$[0].schema.fields[0].fields", _COLUMN_TYPE))
-        .when(usual(1) & (_at("$[0].schema.fields[0].field", "string") != image),
-              _at("$[0].schema.fields[1].fields", _COLUMN_TYPE))
-        .otherwise(F.try_element_at(found, F.lit(1))["fields"])
-    )
+    sent = F.from_json(F.col("body")["schema"], _SCHEMA_TYPE)["fields"]
+    found = F.filter(sent, lambda f: (f["field"] == image) & (f["type"] == "struct"))
     described = F.transform(
-        F.filter(columns, lambda c: c["field"].isNotNull()),
+        F.filter(F.try_element_at(found, F.lit(1))["fields"], lambda c: c["field"].isNotNull()),
         lambda c: F.struct(
             c["field"].alias("name"),
             c["type"].alias("connect_type"),
             c["name"].alias("logical_type"),
             F.coalesce(c["optional"], F.lit(False)).alias("optional"),
             sql_type_of(c["parameters"]).alias("sql_type")))
-    return F.when(F.col("is_wrapped"),
-                  F.coalesce(described, F.array().cast(_COLUMN_SCHEMA))
-                  ).otherwise(F.array().cast(_COLUMN_SCHEMA))
+    return F.coalesce(F.when(F.col("is_wrapped"), described), F.array().cast(_COLUMN_SCHEMA))
 
 
 def find_column(columns: Column, name: Column) -> Column:

@@ -42,7 +42,9 @@ def route_changes(log: DataFrame, catalog: Catalog, hints: RenameHints | None =
     """
     parsed = parse_envelopes(log)
     report = drift.detect_drift(drift.resolve_contract(parsed, catalog), catalog.matrix, hints)
-    return drift.sealed(report, "outcome", outcome(compatible_type_change_routing))
+    routed = drift.sealed(report, "outcome", outcome(compatible_type_change_routing))
+    compared = F.col("outcome").isin("validated", "validated:compatible_widening", "dlq:SCHEMA_DRIFT")
+    return routed.withColumn("drift_type", F.when(compared, F.col("drift_type")).otherwise("NONE"))
 
 
 def to_validated(routed: DataFrame) -> DataFrame:
