@@ -368,4 +368,5 @@ def fits_narrower_type(df: DataFrame, column: str, sql_type: str) -> DataFrame:
 
 def sealed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a derived column that later filters do not repeat (see ``fence``)."""
-    return df.select("*", fence(value).alias(name))
+    plain = df.withColumn(f"_{name}", value)
+    return plain.select("*", fence(F.col(f"_{name}")).alias(name)).drop(f"_{name}")
