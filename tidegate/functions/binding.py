@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,13 @@ def fence(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def seal(df: DataFrame, names: list[str]) -> DataFrame:
+    """Put derived columns behind a fence, so that later filters do not repeat them."""
+    rest = [c for c in df.columns if c not in names]
+    packed = df.withColumn("_packed", F.struct(*names))
+    return packed.select(*rest, fence(F.col("_packed")).alias("_sealed")).select(*rest, "_sealed.*")
+
+
 def non_null(array: Column) -> Column:
     return F.filter(array, lambda x: x.isNotNull())
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidegate import fixed_values as fixed
 from tidegate.functions import jsonvalue as jv
+from tidegate.functions.binding import fence
 from tidegate.functions.text import safe_name
 from tidegate.operators.drift import resolve_source
 from tidegate.operators.joins import first_per, log_order
@@ -74,7 +75,8 @@ def unkeyed(validated: DataFrame, repaired: DataFrame, catalog: Catalog) -> Data
 
 def _changes(validated: DataFrame, repaired: DataFrame, catalog: Catalog) -> DataFrame:
     clean = read_clean_topics(validated, repaired)
-    rows = clean.filter(F.col("operation").isin(*fixed.ROW_OPS) & (F.coalesce("event_id", F.lit("")) != ""))
+    is_row = F.col("operation").isin(*fixed.ROW_OPS) & (F.coalesce("event_id", F.lit("")) != "")
+    rows = clean.select("*", fence(is_row).alias("_is_row")).filter("_is_row").drop("_is_row")
     if "repair_id" not in rows.columns:
         rows = rows.withColumn("repair_id", F.lit(None).cast("string"))
     meta = lambda k: F.try_element_at("source_metadata", F.lit(k))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegate import fixed_values as fixed
 from tidegate.functions import jsonvalue as jv
-from tidegate.functions.binding import let
+from tidegate.functions.binding import let, seal
 from tidegate.functions.sqltypes import lookup
 
 _PARAMETER = "__debezium.source.column."
@@ -265,10 +265,13 @@ def parse_envelopes(log: DataFrame) -> DataFrame:
         "source_metadata": source_metadata(),
     })
     usable = F.col("json_error").isNull() & F.col("envelope_error").isNull()
-    return spaced.withColumns({
+    identified = spaced.withColumns({
         "event_id": F.when(usable, event_id()).otherwise(malformed_id()),
         "raw_event": F.when(~usable, raw_preview()),
-    })
+    }).drop("body", "document", "key_document", "key_is_json", "key_image", "key_spaced", "source_block",
+            "before_image", "after_image", "is_wrapped")
+    return seal(identified, ["event_id", "operation", "source_name", "source_database", "source_table",
+                             "is_tombstone", "json_error", "envelope_error"])
 
 
 def skip_tombstones(parsed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate import fixed_values as fixed
 from tidegate.functions import jsonvalue as jv
+from tidegate.functions.binding import seal
 from tidegate.functions.names import RenameHints
 from tidegate.operators import drift
 from tidegate.operators.envelope import parse_envelopes
@@ -42,9 +43,10 @@ def route_changes(log: DataFrame, catalog: Catalog, hints: RenameHints | None =
     """
     parsed = parse_envelopes(log)
     report = drift.detect_drift(drift.resolve_contract(parsed, catalog), catalog.matrix, hints)
-    routed = drift.sealed(report, "outcome", outcome(compatible_type_change_routing))
     compared = F.col("outcome").isin("validated", "validated:compatible_widening", "dlq:SCHEMA_DRIFT")
-    return routed.withColumn("drift_type", F.when(compared, F.col("drift_type")).otherwise("NONE"))
+    routed = report.withColumn("outcome", outcome(compatible_type_change_routing)).withColumn(
+        "drift_type", F.when(compared, F.col("drift_type")).otherwise("NONE"))
+    return seal(routed, ["outcome", "drift_type", "ambiguous", "confidence"])
 
 
 def to_validated(routed: DataFrame) -> DataFrame:

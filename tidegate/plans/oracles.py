@@ -327,7 +327,7 @@ ORACLES: dict[str, str] = {
         + ["SELECT 'infinity'::DOUBLE AS le, count(value) AS observations FROM events"]),
     "delivery_stats": f"""WITH {_GLOBS} SELECT destination, count(*) FILTER (op = 'u') AS delivered,
         count(*) FILTER (op = 'd') AS duplicates, count(*) FILTER (op = 'c') AS skipped, 0::BIGINT AS failed_batches,
-        max(epoch_ms(ts)) FILTER (op = 'u') AS last_delivery FROM routes GROUP BY destination""",
+        max(epoch_us(ts) // 1000) FILTER (op = 'u') AS last_delivery FROM routes GROUP BY destination""",
     "topic_counts": """SELECT 'app.events' AS topic, (event_id % 4)::INT AS partition, min(event_id) AS low,
         max(event_id) AS high, max(event_id) - min(event_id) + 1 AS messages FROM events GROUP BY ALL""",
     "peek_last": """SELECT 'app.events' AS topic, (event_id % 4)::INT AS partition, event_id AS "offset",
@@ -343,7 +343,7 @@ ORACLES: dict[str, str] = {
     "contract_versions": f"""WITH {_BRAND} SELECT 'contract.x.' || table_name || '-value' AS subject,
         CASE WHEN length(doc) % 2 = 0 THEN 1 ELSE 2 END::INT AS version FROM docs""",
     "weight_kg": f"""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE
-        round((p_size + 0.5)::DOUBLE * CASE {_pick(q.UNITS, f'p_partkey % {len(q.UNITS)}')} {_KG} END::DOUBLE, 3) END AS kg FROM part""",
+        round((p_size + 0.3)::DOUBLE * CASE {_pick(q.UNITS, f'p_partkey % {len(q.UNITS)}')} {_KG} END::DOUBLE, 3) END AS kg FROM part""",
     "stock_quantities": f"""SELECT p_partkey, {_quantity('p_partkey::VARCHAR')} AS quantity FROM part""",
     "mapped_rows": f"""SELECT p_partkey, substr(trim(regexp_replace(p_name, '\\s+', ' ', 'g')), 1, 8) AS name, p_type AS kind,
         {_quantity('p_brand')} AS stock FROM part""",

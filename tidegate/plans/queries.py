@@ -604,7 +604,7 @@ def contract_versions(spark, sf_dir):
 def weight_kg(spark, sf_dir):
     pk = F.col("p_partkey")
     unit = F.element_at(F.array(*[F.lit(u) for u in UNITS]), (pk % len(UNITS) + 1).cast("int"))
-    text = F.concat(F.col("p_size").cast("string"), F.lit(".5 "), unit)
+    text = F.concat(F.col("p_size").cast("string"), F.lit(".3 "), unit)
     return table(spark, sf_dir, "part").select(
         "p_partkey", weight_to_kg(F.when(pk % 7 == 0, F.col("p_name")).otherwise(text)).alias("kg"))
 
