@@ -16,7 +16,7 @@ from importlib import resources
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate import fixed_values as fixed
@@ -229,10 +229,10 @@ def describe_tables(spark: SparkSession, database: str, table: str | None = None
     Names come from the catalogue (driver side metadata); each row count is one
     ``count`` in a single union, read from file footers where the format has them.
     """
-    names = [t.name for t in spark.catalog.listTables(database) if table in (None, t.name)]
+    listed = {t.name: t.isTemporary for t in spark.catalog.listTables(database) if table in (None, t.name)}
     rows, counts = [], None
-    for name in names:
-        frame = spark.table(f"`{database}`.`{name}`")
+    for name, temporary in listed.items():
+        frame = spark.table(f"`{name}`" if temporary else f"`{database}`.`{name}`")
         for i, f in enumerate(frame.schema.fields):
             rows.append({"table_name": name, "column_name": f.name, "column_type": f.dataType.simpleString(),
                          "nullable": f.nullable, "ordinal": i})
@@ -304,7 +304,6 @@ def register_contract_versions(contracts: DataFrame, registry: DataFrame) -> Dat
     new = hashed.dropDuplicates(["subject", "version_hash"]).join(
         registry.select("subject", "version_hash"), ["subject", "version_hash"], "left_anti")
     last = registry.groupBy("subject").agg(F.max("version").alias("last_version"))
-    from pyspark.sql import Window
     order = Window.partitionBy("subject").orderBy("version_hash")
     return new.join(last, "subject", "left").select(
         "subject",
