@@ -23,7 +23,7 @@ IMAGE_TYPE = "map<string,struct<kind:string,text:string>>"
 _MARK = uuid.uuid4().hex
 
 # printable ASCII without quote and backslash: text that needs no escaping
-_PLAIN = r"^[ !#-\[\]-~]*$"
+PLAIN_TEXT = r"^[ !#-\[\]-~]*$"
 
 
 def wrap_document(text: Column) -> Column:
@@ -106,7 +106,7 @@ def quote(text: Column) -> Column:
     """Text as a JSON string; NULL stays NULL."""
     wrapped = F.to_json(F.struct(text.alias("v")))
     return (
-        F.when(text.rlike(_PLAIN), F.concat(F.lit('"'), text, F.lit('"')))
+        F.when(text.rlike(PLAIN_TEXT), F.concat(F.lit('"'), text, F.lit('"')))
         .when(text.isNotNull(), F.substring(wrapped, 6, F.length(wrapped) - 6))
     )
 
@@ -154,7 +154,7 @@ def ascii_quote(text: Column) -> Column:
                 .when(code < 65536, F.format_string("\\u%04x", code))
                 .otherwise(pair))
 
-    return F.when(text.rlike(_PLAIN), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
+    return F.when(text.rlike(PLAIN_TEXT), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
         F.array_join(F.transform(F.split(quote(text), ""), escape), ""))
 
 

@@ -1,13 +1,15 @@
 """Decoding of change envelopes.
 
-One strict JSON pass splits a message: the schema block stays text (it is read
-only for its column types), the payload becomes VARIANT.  Text that is not a
-JSON object takes a second look only then.  Nothing here can fail the job: every
-step is a permissive expression whose NULL leads to an error column.
+One strict, typed JSON pass reads a message; only row images stay VARIANT.  The
+few messages it does not settle (no JSON object, unknown operation, a schema or
+payload alone) are parsed a second time as they are.  Nothing here can fail the
+job: every step is a permissive expression whose NULL leads to an error column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,11 @@ _PARAMETER = "__debezium.source.column."
 _COLUMN_TYPE = ("array<struct<field string, type string, name string, optional boolean, parameters "
                 f"struct<`{_PARAMETER}type` string, `{_PARAMETER}length` string, `{_PARAMETER}scale` string>>>")
 _SCHEMA_TYPE = f"struct<fields array<struct<field string, type string, fields {_COLUMN_TYPE}>>>"
-_ENVELOPE_TYPE = ("schema string, payload variant, op variant, source variant, before variant, "
-                  "after variant, ts_ms variant")
 _SOURCE_KEYS = ["connector", "db", "file", "gtid", "lsn", "name", "pos", "row", "snapshot",
                 "table", "ts_ms", "version"]
+_SOURCE_TYPE = f"struct<{', '.join(f'`{k}` string' for k in _SOURCE_KEYS)}>"
+_PAYLOAD = ["op string", f"source {_SOURCE_TYPE}", "before variant", "after variant", "ts_ms bigint"]
+_ENVELOPE_TYPE = f"schema {_SCHEMA_TYPE}, payload struct<{', '.join(_PAYLOAD)}>, {', '.join(_PAYLOAD)}"
 # names of JSON families in error texts
 _PYTHON_NAMES = {"array": "list", "boolean": "bool", "integer": "int", "null": "NoneType",
                  "number": "float", "string": "str", "whole": "float"}
@@ -36,23 +39,27 @@ _COLUMN_SCHEMA = ("array<struct<name:string,connect_type:string,logical_type:str
 def decode_json(log: DataFrame) -> DataFrame:
     """Parse value and key; ``json_error`` says why a value is not JSON.
 
-    ``body`` holds the members of a JSON object, ``document`` any other JSON value.
+    ``body`` holds the typed members of a JSON object.  ``document`` is the whole
+    value as VARIANT, for the few rows that ``body`` does not settle.
     """
     as_text = lambda c: F.when(F.is_valid_utf8(F.col(c)), F.col(c).cast("string"))
-    texts = log.withColumns({
+    text, body = F.col("_text"), F.col("body")
+    read = log.withColumns({
         "_text": as_text("value"), "_key_text": as_text("key"),
         "correlation_id": F.concat_ws("/", "topic", F.col("partition").cast("string"),
                                       F.col("offset").cast("string")),
-    })
-    text = F.col("_text")
-    parsed = texts.withColumns({
+    }).withColumns({
         "_members": jv.object_members(text, _ENVELOPE_TYPE),
         "key_document": jv.wrap_document(F.col("_key_text")),
-    }).withColumn("body", jv.whole_members(F.col("_members"), text)).withColumn(
-        "document", F.when(F.col("body").isNull(), jv.wrap_document(text)))
+    }).withColumn("body", jv.whole_members(F.col("_members"), text))
+    op = F.coalesce(body["payload"]["op"], body["op"])
+    settled = op.isin(*fixed.ROW_OPS, *fixed.CONTROL_OPS) & (
+        body["payload"].isNull() == body["schema"].isNull())
+    parsed = read.withColumn(
+        "document", F.when(~F.coalesce(settled, F.lit(False)), jv.wrap_document(text)))
     return parsed.withColumns({
         "json_error": F.when(
-            F.col("value").isNotNull() & F.col("body").isNull() & ~jv.is_whole_document(F.col("document")),
+            F.col("value").isNotNull() & body.isNull() & ~jv.is_whole_document(F.col("document")),
             F.when(text.isNotNull(), "not a valid JSON document").otherwise("not valid UTF-8")),
         "key_is_json": jv.is_whole_document(F.col("key_document")),
     }).drop("_members", "_key_text", "_text")
@@ -60,51 +67,53 @@ def decode_json(log: DataFrame) -> DataFrame:
 
 def unwrap(decoded: DataFrame) -> DataFrame:
     """Find the payload: ``{schema, payload}`` or the bare payload (``is_wrapped``)."""
-    body = F.col("body")
-    # a schema that is JSON null reads like a missing one, so that case is looked up
-    null_schema = F.try_variant_get(
-        F.try_parse_json(F.col("value").cast("string")), "$.schema", "variant").isNotNull()
-    wrapped = body["payload"].isNotNull() & F.when(body["schema"].isNotNull(), True).otherwise(null_schema)
-    return decoded.withColumn("is_wrapped", F.coalesce(wrapped, F.lit(False)))
+    has = lambda name: F.try_variant_get("document", f"$[0].{name}", "variant").isNotNull()
+    return decoded.withColumn("is_wrapped", F.coalesce(
+        F.when(F.col("document").isNull(), F.col("body")["payload"].isNotNull())
+        .otherwise(has("payload") & has("schema")), F.lit(False)))
 
 
-def _payload(path: str, kind: str) -> Column:
-    return F.try_variant_get(F.col("body")["payload"], path, kind)
+def _field(name: str) -> Column:
+    body = F.col("body")
+    return F.when(F.col("is_wrapped"), body["payload"][name]).otherwise(body[name])
 
 
-def _field(name: str, kind: str) -> Column:
-    return F.when(F.col("is_wrapped"), _payload(f"$.{name}", kind)).otherwise(
-        F.try_variant_get(F.col("body")[name], "$", kind))
+def _image(name: str) -> Column:
+    return F.transform_values(
+        F.try_variant_get(_field(name), "$", "map<string,variant>"), lambda _, v: jv.value_of(v))
 
 
-def _image(name: str) -> Column:
-    return F.transform_values(_field(name, "map<string,variant>"), lambda _, v: jv.value_of(v))
+def _again(name: str) -> Column:
+    """A member of the payload as it was sent."""
+    get = lambda path: F.try_variant_get("document", path, "variant")
+    return F.when(F.col("is_wrapped"), get(f"$[0].payload.{name}")).otherwise(get(f"$[0].{name}"))
 
 
 def read_fields(unwrapped: DataFrame) -> DataFrame:
     """Operation, source block, images and time of the payload."""
     return unwrapped.withColumns({
-        "operation": let(_field("op", "variant"), lambda op: F.when(
-            F.schema_of_variant(op) == "STRING", F.try_variant_get(op, "$", "string"))),
-        "source_block": _field("source", "map<string,string>"),
+        # an op of another JSON type reads as text, so rows with an unknown op are looked at again
+        "operation": F.when(
+            F.col("document").isNull() | (F.schema_of_variant(_again("op")) == "STRING"), _field("op")),
+        "source_block": _field("source"),
         "before_image": _image("before"),
         "after_image": _image("after"),
-        "ts_ms": _field("ts_ms", "bigint"),
+        "ts_ms": _field("ts_ms"),
     }).withColumns({
-        "source_name": F.coalesce(F.try_element_at("source_block", F.lit("name")), F.lit("")),
-        "source_database": F.coalesce(F.try_element_at("source_block", F.lit("db")), F.lit("")),
-        "source_table": F.coalesce(F.try_element_at("source_block", F.lit("table")), F.lit("")),
+        "source_name": F.coalesce("source_block.name", F.lit("")),
+        "source_database": F.coalesce("source_block.db", F.lit("")),
+        "source_table": F.coalesce("source_block.table", F.lit("")),
     })
 
 
 def is_tombstone() -> Column:
     """No value, JSON ``null``, an empty payload, or ``payload: null`` with a schema."""
     no_op = F.col("operation").isNull()  # a payload with an op is neither null nor empty
-    payload = F.is_variant_null(F.col("body")["payload"]) | (F.size(_payload("$", "map<string,string>")) == 0)
-    bare = F.when(F.col("body").isNull(), F.is_variant_null(F.try_variant_get("document", "$[0]", "variant"))
-                  ).otherwise(F.col("value").cast("string").rlike(r"^\s*\{\s*\}\s*$"))
+    path = lambda p, t: F.try_variant_get("document", p, t)
+    nothing = lambda p: F.is_variant_null(path(p, "variant")) | (
+        F.size(path(p, "map<string,string>")) == 0)
     return F.col("value").isNull() | (F.col("json_error").isNull() & no_op & F.coalesce(
-        F.when(F.col("is_wrapped"), payload).otherwise(bare), F.lit(False)))
+        F.when(F.col("is_wrapped"), nothing("$[0].payload")).otherwise(nothing("$[0]")), F.lit(False)))
 
 
 def envelope_error() -> Column:
@@ -113,11 +122,11 @@ def envelope_error() -> Column:
     row_op, known = op.isin(*fixed.ROW_OPS), op.isin(*fixed.ROW_OPS, *fixed.CONTROL_OPS)
     root_kind = lookup(_PYTHON_NAMES, jv.kind_of(F.try_variant_get("document", "$[0]", "variant")))
     bad_payload = F.col("is_wrapped") & op.isNull() & (
-        jv.kind_of(F.col("body")["payload"]) != "object")
+        jv.kind_of(F.try_variant_get("document", "$[0].payload", "variant")) != "object")
 
     def wrong_image(name: str, image: str) -> Column:
         # only images that are not objects are looked at again
-        value = _field(name, "variant")
+        value = _field(name)
         return F.col(image).isNull() & value.isNotNull() & ~F.is_variant_null(value)
 
     return (
@@ -184,7 +193,7 @@ def sql_type_of(parameters: Column) -> Column:
 def column_schema() -> Column:
     """Per-column types the envelope sends for the image that is validated."""
     image = F.when(F.col("operation") == "d", "before").otherwise("after")
-    sent = F.from_json(F.col("body")["schema"], _SCHEMA_TYPE)["fields"]
+    sent = F.col("body")["schema"]["fields"]
     found = F.filter(sent, lambda f: (f["field"] == image) & (f["type"] == "struct"))
     described = F.transform(
         F.filter(F.try_element_at(found, F.lit(1))["fields"], lambda c: c["field"].isNotNull()),
@@ -208,24 +217,29 @@ def event_id() -> Column:
     The same change always gets the same id.  Rows of a snapshot share one
     position, so the key takes part; the time only where there is no position.
     """
-    source = lambda name: F.try_element_at("source_block", F.lit(name))
-    text = lambda c: F.coalesce(jv.ascii_quote(c), F.lit("null"))
-    plain = lambda c: F.when(c.isNull(), "null").when(
-        c.rlike(r"^-?\d+$"), c).otherwise(jv.ascii_quote(c))
+    source = lambda name: F.col("source_block")[name]
     placed = F.coalesce(source("file"), F.lit("")) != ""
     logged = ~F.coalesce(source("lsn"), F.lit("0")).isin("0", "")
-    members = [
-        ("db", text(source("db"))), ("file", text(source("file"))), ("gtid", text(source("gtid"))),
-        ("key", F.coalesce(F.col("key_spaced"), F.lit("null"))), ("lsn", plain(source("lsn"))),
-        ("op", text(F.col("operation"))), ("pos", plain(source("pos"))), ("row", plain(source("row"))),
-        ("server", text(source("name"))), ("table", text(source("table"))),
-    ]
-    parts = [F.concat(F.lit(f'"{name}": '), value) for name, value in members]
-    time = F.when(~placed & ~logged,
-                  F.concat(F.lit('"ts_ms": '), F.coalesce(F.col("ts_ms").cast("string"), F.lit("null"))))
-    material = F.concat(F.lit("{"), F.concat_ws(", ", *parts, time), F.lit("}"))
+    texts = {"db": source("db"), "file": source("file"), "gtid": source("gtid"), "op": F.col("operation"),
+             "server": source("name"), "table": source("table")}
+    numbers = {name: source(name) for name in ("lsn", "pos", "row")}
+    no_position = F.when(~placed & ~logged, F.coalesce(F.col("ts_ms").cast("string"), F.lit("null")))
+
+    def material(quoted: Callable[[Column], Column]) -> Column:
+        known = {n: F.coalesce(quoted(c), F.lit("null")) for n, c in texts.items()}
+        known |= {n: F.when(c.isNull(), "null").when(c.rlike(r"^-?\d+$"), c).otherwise(quoted(c))
+                  for n, c in numbers.items()}
+        known["key"] = F.coalesce(F.col("key_spaced"), F.lit("null"))
+        parts = [F.concat(F.lit(f'"{n}": '), known[n]) for n in sorted(known)]
+        return F.concat(F.lit("{"), F.concat_ws(
+            ", ", *parts, F.concat(F.lit('"ts_ms": '), no_position)), F.lit("}"))
+
+    # names and positions hardly ever need escapes, so that is asked once for all of them
+    plain = F.concat_ws("", *texts.values(), *numbers.values()).rlike(jv.PLAIN_TEXT)
+    whole = F.when(plain, material(lambda c: F.concat(F.lit('"'), c, F.lit('"')))).otherwise(
+        material(jv.ascii_quote))
     table = F.when(F.col("source_table") == "", "unknown").otherwise(F.col("source_table"))
-    return F.concat_ws("-", table, "operation", F.substring(F.sha2(material, 256), 1, 20))
+    return F.concat_ws("-", table, "operation", F.substring(F.sha2(whole, 256), 1, 20))
 
 
 def select_image(fields: DataFrame) -> DataFrame:
@@ -240,7 +254,8 @@ def select_image(fields: DataFrame) -> DataFrame:
 
 def source_metadata() -> Column:
     """The source block reduced to the keys that later steps use."""
-    return F.map_filter("source_block", lambda k, _: k.isin(*_SOURCE_KEYS))
+    pairs = [x for k in _SOURCE_KEYS for x in (F.lit(k), F.col("source_block")[k])]
+    return F.when(F.col("source_block").isNotNull(), F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()))
 
 
 def raw_preview() -> Column:
