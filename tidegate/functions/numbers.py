@@ -40,12 +40,13 @@ def fixed2(x: Column) -> Column:
     return F.format_string("%.2f", round_exact(x.cast("double"), 2))
 
 
-def hex_remainder(hex_digits: Column, modulus: int) -> Column:
-    """The remainder of a long hexadecimal number, one digit at a time."""
-    return F.aggregate(
-        F.split(hex_digits, ""),
-        F.lit(0).cast("bigint"),
-        lambda acc, d: F.when(d == "", acc).otherwise(
-            (acc * 16 + F.conv(d, 16, 10).cast("bigint")) % modulus
-        ),
-    )
+def hex_remainder(hex_digits: Column, modulus: int, digits: int = 64) -> Column:
+    """The remainder of a hexadecimal number too long for a bigint, a block of digits at a time."""
+    block = 12
+    if digits % block:
+        hex_digits, digits = F.lpad(hex_digits, digits + block - digits % block, "0"), digits + block - digits % block
+    rest = F.lit(0).cast("bigint")
+    for start in range(1, digits, block):
+        part = F.conv(F.substring(hex_digits, start, block), 16, 10).cast("bigint")
+        rest = (rest * (16**block % modulus) + part) % modulus
+    return rest
