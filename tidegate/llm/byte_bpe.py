@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tidegate.llm.common import Shared, offsets, ragged, text_list
 
@@ -273,7 +274,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id
            ids: str = "ids") -> DataFrame:
     """``key`` and the ids of each text, as array<int>. One scan, no shuffle."""
     shared = shared_encoder(docs, ranks_path, pattern)
-    schema = docs.select(key).schema.add(ids, "array<int>")
+    schema = docs.select(key).schema.add(ids, ArrayType(IntegerType()))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.get()

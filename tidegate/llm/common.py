@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +41,18 @@ class Shared:
 
     def __init__(self, spark: SparkSession, payload: object, make: Callable[[object], object]):
         self._sent = spark.sparkContext.broadcast(pickle.dumps(payload, protocol=5))
+        self._name = uuid.uuid4().hex
         self._make = make
 
     def get(self):
-        return _made(self._sent, self._make)
+        if self._name not in _MADE:
+            while len(_MADE) >= 4:
+                del _MADE[next(iter(_MADE))]
+            _MADE[self._name] = self._make(pickle.loads(self._sent.value))
+        return _MADE[self._name]
 
 
-@lru_cache(maxsize=4)
-def _made_from(_key, sent, make):
-    return make(pickle.loads(sent.value))
-
-
-def _made(sent, make):
-    return _made_from((sent.id if hasattr(sent, "id") else id(sent)), sent, make)
+_MADE: dict[str, object] = {}
 
 
 def text_list(column: pa.Array | pa.ChunkedArray) -> list[str]:

@@ -3,3 +3,24 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLES["op1_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+     b AS (SELECT item_id, {_WORDS} AS w, least(len(w), 13) AS n FROM benchmark),
+     wins AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win
+              FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM b WHERE n > 0)),
+     places AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+                FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                      FROM d, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)),
+     found AS (SELECT r, item_id, i, n FROM places JOIN wins USING (n, win)),
+     hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+     names AS (SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+               FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN names USING (r)
+"""
