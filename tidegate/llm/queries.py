@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import byte_bpe, decontaminate
+from tidegate.llm import byte_bpe, decontaminate, simhash
 from tidegate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined_sha(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest document that its links reach."""
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), keys=["doc_id"])
+    return groups.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to, as digests."""
