@@ -24,3 +24,19 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN names USING (r)
 """
+
+ORACLES["op5_line_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+     l AS (SELECT r, doc_id, source, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM d),
+     n AS (SELECT source, trim(line) AS line, count(DISTINCT r) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
+     t AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+     b AS (SELECT n.source, n.line FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+           WHERE n.n >= 5 AND n.n > 0.02 * t.pages),
+     k AS (SELECT r, i, l.line, b.line IS NOT NULL AS gone
+           FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line) = b.line),
+     s AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+                  string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY r)
+SELECT doc_id, source, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text,
+       coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM d LEFT JOIN s USING (r)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import byte_bpe, decontaminate, simhash
+from tidegate.llm import byte_bpe, decontaminate, language, line_dedup, simhash
 from tidegate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined_sha(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    filters = language.train(docs.where(~language.held_out(docs.doc_id)))
+    found = language.identify(docs, filters, keys=["doc_id"])
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the boilerplate lines of its source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs, docs.source, counts=("n_lines", "n_dropped"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest document that its links reach."""
