@@ -355,3 +355,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, one_in: i
     n_hit = covered_words(F.col("spans"))
     return found.select(key, "n_words", n_hit.alias("n_hit"), "items", "spans").withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, *, key: str = "doc_id",
+                      text: str = "text") -> DataFrame:
+    """The documents that are not contaminated. Rows with one key go together."""
+    found = contamination(docs, items, window, one_in, key=key, text=text)
+    gone = staged(found.where("contaminated").select(F.col(key).alias("gone")).distinct(), "contaminated")
+    return docs.join(gone, docs[key].eqNullSafe(gone["gone"]), "left_anti")

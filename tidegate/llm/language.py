@@ -183,3 +183,17 @@ def identify(docs: DataFrame, filters: tuple, *, keys: list[str], text: str = "t
 def held_out(key: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text leaves 2 when divided by 4."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 4 == 2
+
+
+def drop_undetermined(docs: DataFrame, filters: tuple, least: float, *, text: str = "text") -> DataFrame:
+    """The documents in a learned language: not ``und``, and at least this share of known trigrams. One scan, no shuffle."""
+    shared = Shared(docs.sparkSession, filters, Filters)
+    at = docs.columns.index(text)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.get()
+        for batch in rows:
+            langs, scores = own.predict(text_list(batch.column(at)))
+            yield batch.filter(pa.array([s >= least and name != UNDETERMINED for name, s in zip(langs, scores.tolist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

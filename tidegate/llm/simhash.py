@@ -425,5 +425,22 @@ def near_duplicates(docs: DataFrame, *, keys: list[str], text: str = "text", siz
     return prints.join(labels, "fp").select(*keys, "fp", "group_fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE,
+                      radius: int = RADIUS) -> DataFrame:
+    """The documents without near-duplicates: of each group the one with the smallest key stays.
+
+    Rows with one key are told apart by their text's hash, the smaller one coming first; of equal rows one stays.
+    """
+    names = [c.lower() for c in docs.columns]
+    mark = next(c for c in (f"row_hash_{i}" for i in range(len(names) + 1)) if c not in names)
+    identity = F.concat_ws("\n", F.coalesce(docs[key].cast("string"), F.lit("")), F.coalesce(docs[text], F.lit("")))
+    hashed = docs.withColumn(mark, F.md5(identity))
+    groups = near_duplicates(hashed, keys=[key, mark], text=text, size=size, radius=radius)
+    first = F.min(F.struct(F.col(key).isNull(), F.col(key), F.col(mark).alias("hash")))
+    stay = staged(groups.groupBy("group_fp").agg(first.alias("first")).select("first.hash"), "stay")
+    kept = hashed.join(stay, hashed[mark] == stay["hash"], "left_semi")
+    return kept.dropDuplicates([mark]).select(*docs.columns)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
