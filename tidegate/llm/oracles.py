@@ -40,3 +40,17 @@ SELECT doc_id, source, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS
        coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
 FROM d LEFT JOIN s USING (r)
 """
+
+_SAID = r"""regexp_replace(coalesce(text, ''), '(\\*(?:</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]))', '\\\1', 'g')"""
+
+ORACLES["op8_chat"] = f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(coalesce(text, ''))) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({_SAID}) + CASE role WHEN 'user' THEN 23 WHEN 'system' THEN 25 WHEN 'assistant' THEN 10
+                                  ELSE 25 + length(coalesce(role, '')) END) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
