@@ -32,23 +32,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _local
 
 
-def write_shared(df: DataFrame, name: str) -> str:
+def write_shared(df: DataFrame, name: str, codec: str = "snappy") -> str:
     """Write a frame below the shared folder; the path goes when the session's JVM ends or by ``drop_shared``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     file_system, place = _on_file_system(spark, path)
     file_system.deleteOnExit(place)
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage so that executors can be lost, and lets later readers prune
     columns and push filters.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name, codec))
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:
