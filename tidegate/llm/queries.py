@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import byte_bpe, chat, decontaminate, language, line_dedup, neighbours, secrets, simhash, url_filter
+from tidegate.llm import (byte_bpe, chat, decontaminate, language, line_dedup, neighbours, secrets, simhash, token_shards,
+                          url_filter)
 from tidegate.llm.common import table
+from tidegate.plans.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,6 +34,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined_sha(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+@query
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence with its slot in training order, read back from the written shards."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    blocks = token_shards.shards(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, end=50256, seed=7)
+    read = token_shards.read_from(staged(blocks, "shards", "zstd"))
+    return read.select("slot", F.col("key").alias("doc_id"), "part", F.size("ids").cast("long").alias("n_tokens"),
+                       joined_sha(F.col("ids").cast("array<string>")).alias("ids_sha256"))
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the documents that are not held out."""
