@@ -124,10 +124,6 @@ DRIFT_TYPES = [
 NO_MIGRATION_WORDS = ["", "n/a", "na", "no migration", "none", "not required", "null"]
 
 # --- limits -------------------------------------------------------------------
-RAW_PREVIEW_CHARS = 4000
-RAW_WHOLE_CHARS = 64000
-ERROR_CHARS = 1000
-RAW_KEY_CHARS = 500
 
 # --- table description -> contract ----------------------------------------------
 DB_TO_JSON_TYPE = {

@@ -13,7 +13,6 @@ from tidegate.functions.binding import let
 
 # base name, optional (length[, scale]), optional UNSIGNED
 _PATTERN = r"(?i)^\s*([a-z]+)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)\s*)?(unsigned)?\s*$"
-MAX_RULES = 10_000
 
 
 def _pairs(table: dict[str, dict[str, list[str]]]) -> dict[tuple[str, str], str]:
@@ -34,8 +33,6 @@ class TypeMatrix:
     narrowing: str = fixed.LENGTH_NARROWING
 
     def __post_init__(self) -> None:
-        if len(self.rules) + len(self.connect_rules) > MAX_RULES:
-            raise ValueError(f"a type matrix holds at most {MAX_RULES} rules")
         object.__setattr__(self, "rules", {
             (self.base_name(a), self.base_name(b)): v for (a, b), v in self.rules.items()})
 
@@ -121,7 +118,7 @@ class TypeMatrix:
 
 
 def _lookup(table: dict[str, object], key: Column) -> Column:
-    """A small literal table; at most ``MAX_RULES`` entries, folded into the plan."""
+    """A literal table, folded into the plan."""
     if not table:
         return F.lit(None).cast("string")
     literal = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])

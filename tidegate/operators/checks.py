@@ -24,13 +24,12 @@ def check(name: str | Column, passed: Column, detail: Column) -> Column:
                     passed.alias("passed"), detail.alias("detail"))
 
 
-def _report(name: str, problems: Column, good: str, separator: str = "; ", prefix: str = "",
-            limit: int = fixed.ERROR_CHARS) -> Column:
+def _report(name: str, problems: Column, good: str, separator: str = "; ", prefix: str = "") -> Column:
     """A check that passes when the list of problems is empty."""
     return let(problems, lambda p: check(
         name, F.size(p) == 0,
-        F.when(F.size(p) == 0, good).otherwise(F.substring(
-            F.concat(F.lit(prefix), jv.repr_names(p)) if prefix else F.array_join(p, separator), 1, limit))))
+        F.when(F.size(p) == 0, good).otherwise(
+            F.concat(F.lit(prefix), jv.repr_names(p)) if prefix else F.array_join(p, separator))))
 
 
 def apply_mapping(mapping: Column, image: Column) -> Column:

@@ -39,7 +39,7 @@ def source_sequence(metadata: Column, ts_ms: Column) -> Column:
     DECIMAL(38,0), because file numbers from 9224 on exceed 64 bits.
     """
     get = lambda k: F.try_element_at(metadata, F.lit(k))
-    number = lambda c: c.try_cast("decimal(18,0)")
+    number = lambda c: c.try_cast("decimal(20,0)")  # noqa: E731  positions are unsigned 64-bit numbers
     file_no = F.coalesce(number(F.regexp_extract(get("file"), r"(\d+)$", 1)), F.lit(0))
     positioned = (F.coalesce(get("file"), F.lit("")) != "") & get("pos").isNotNull()
     wide = lambda c: c.cast("decimal(38,0)")

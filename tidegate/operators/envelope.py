@@ -163,7 +163,7 @@ def key_image() -> Column:
     scalar = F.create_map(F.lit("key"), jv.value_of(body))
     raw = F.create_map(F.lit("raw_key"), F.struct(
         F.lit("string").alias("kind"),
-        F.substring(F.make_valid_utf8(F.col("key").cast("string")), 1, fixed.RAW_KEY_CHARS).alias("text")))
+        F.make_valid_utf8(F.col("key").cast("string")).alias("text")))
     # a wrapped key keeps its JSON null as {"key": null}; a bare JSON null is no key
     return (
         F.when(F.col("key").isNull(), F.lit(None).cast(jv.IMAGE_TYPE))
@@ -258,11 +258,9 @@ def source_metadata() -> Column:
     return F.when(F.col("source_block").isNotNull(), F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()))
 
 
-def raw_preview() -> Column:
-    """The whole value while it is small, else its first characters."""
-    text = F.make_valid_utf8(F.col("value").cast("string"))
-    small = F.col("json_error").isNull() & (F.length(text) <= fixed.RAW_WHOLE_CHARS)
-    return F.when(small, text).otherwise(F.substring(text, 1, fixed.RAW_PREVIEW_CHARS))
+def raw_text() -> Column:
+    """The whole value as text: a dead letter is the only copy once the log has expired."""
+    return F.make_valid_utf8(F.col("value").cast("string"))
 
 
 def malformed_id() -> Column:
@@ -282,7 +280,7 @@ def parse_envelopes(log: DataFrame) -> DataFrame:
     usable = F.col("json_error").isNull() & F.col("envelope_error").isNull()
     identified = spaced.withColumns({
         "event_id": F.when(usable, event_id()).otherwise(malformed_id()),
-        "raw_event": F.when(~usable, raw_preview()),
+        "raw_event": F.when(~usable, raw_text()),
     }).drop("body", "document", "key_document", "key_is_json", "key_image", "key_spaced", "source_block",
             "before_image", "after_image", "is_wrapped")
     return seal(identified, ["event_id", "operation", "source_name", "source_database", "source_table",

@@ -6,28 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 8
 
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a side before it is broadcast; reads at most ``max_rows + 1`` rows."""
-    size = F.length(F.to_json(F.struct(*df.columns)))
-    n, total = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
-    return n <= max_rows and (total or 0) <= max_bytes
-
-
-def lookup_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: int = SALTS,
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: int = 1) -> DataFrame:
     """Left join of many rows with one row per key.
 
-    A measured small side is broadcast.  A larger one is shuffled with the key
-    salted, so that a key holding much of the left side is spread over ``salts``
-    tasks (and further by adaptive skew handling).
+    Nothing is measured or run while the plan is built: Spark broadcasts a side that turns out
+    small and splits skewed keys.  With ``salts`` above 1 every key is spread over that many
+    tasks, at the price of as many copies of the right side.
     """
-    if is_small(right, max_rows):
-        return left.join(F.broadcast(right), key, "left")
+    if salts <= 1:
+        return left.join(right, key, "left")
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")

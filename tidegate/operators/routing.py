@@ -72,7 +72,7 @@ def to_dlq(routed: DataFrame) -> DataFrame:
     drifted = F.col("outcome") == "dlq:SCHEMA_DRIFT"
     malformed = F.col("outcome").startswith("dlq:MALFORMED")
     error = (
-        F.when(malformed, F.substring(F.coalesce("json_error", "envelope_error"), 1, fixed.ERROR_CHARS))
+        F.when(malformed, F.coalesce("json_error", "envelope_error"))
         .when(reason == "UNKNOWN_SCHEMA", F.concat(
             F.lit("no canonical contract for "),
             F.when(F.col("source_name") == "", "?").otherwise(F.col("source_name")), F.lit(":"),

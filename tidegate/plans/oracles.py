@@ -178,7 +178,7 @@ ORACLES: dict[str, str] = {
         FROM ids WHERE c <> 9""",
     "malformed_documents": """SELECT doc_id, 'MALFORMED_JSON' AS reason,
         'malformed-' || substr(sha256('documents/0/' || doc_id), 1, 20) AS event_id,
-        length(substr(text, 1, 4000))::INT AS preview_chars, md5(substr(text, 1, 4000)) AS preview_hash FROM documents""",
+        length(text)::INT AS raw_chars, md5(text) AS raw_hash FROM documents""",
     "malformed_envelopes": """SELECT event_id AS message, 'MALFORMED_ENVELOPE' AS reason, 'missing ''op'' field' AS error,
         props AS raw_event FROM events""",
     "contract_violations": """SELECT doc_id,
@@ -197,10 +197,10 @@ ORACLES: dict[str, str] = {
     "decisions": f"""WITH {_FEED} SELECT p_partkey AS "offset",
         CASE c WHEN 6 THEN 'MALFORMED_JSON' WHEN 7 THEN 'UNKNOWN_SCHEMA' ELSE 'SCHEMA_DRIFT' END AS reason,
         {_STATUS} AS status, CASE WHEN c IN (1, 2, 3) THEN 'LOW' ELSE 'MEDIUM' END AS risk,
-        CASE WHEN c IN (1, 2, 3) THEN '' WHEN c = 4 THEN 'confidence 0.50 below threshold 0.90'
-          WHEN c = 5 THEN 'schema_validation: $.name: None is not of type ''string''; confidence 0.50 below threshold 0.90'
-          WHEN c = 6 THEN 'DLQ reason MALFORMED_JSON is not repairable automatically'
-          ELSE 'DLQ reason UNKNOWN_SCHEMA is not repairable automatically' END AS reasons,
+        CASE WHEN c IN (1, 2, 3) THEN '' WHEN c = 4 THEN 'confidence: 0.50 < 0.90'
+          WHEN c = 5 THEN 'schema_validation: $.name: None is not of type ''string''; confidence: 0.50 < 0.90'
+          WHEN c = 6 THEN 'no automatic repair: MALFORMED_JSON'
+          ELSE 'no automatic repair: UNKNOWN_SCHEMA' END AS reasons,
         CASE WHEN c IN (1, 2, 3) THEN 1 WHEN c IN (4, 5) THEN 3 ELSE 0 END::INT AS attempt
         FROM feed WHERE c BETWEEN 1 AND 7""",
     "repaired_rows": f"""WITH {_FEED} SELECT p_partkey AS "offset", op AS operation, tbl AS source_table,
@@ -237,10 +237,11 @@ ORACLES: dict[str, str] = {
         CASE WHEN c > 5 THEN 'NOT_RUN' ELSE 'PASSED' END AS sandbox_result,
         CASE WHEN c > 5 THEN 'NOT_RUN' WHEN c = 5 THEN 'FAILED' ELSE 'PASSED' END AS validation_result,
         {_STATUS} AS repair_result, count(*) AS events FROM feed WHERE c BETWEEN 1 AND 7 GROUP BY ALL""",
-    "repair_reports": f"""WITH {_FEED} SELECT drift,
-        CASE WHEN c = 1 THEN 'stock_quantity -> quantity (heuristic confidence 0.96)' ELSE 'none detected' END AS renames,
-        CASE WHEN c = 3 THEN 'quantity: INT -> BIGINT (compatible)' ELSE 'none' END AS types,
-        CASE WHEN c = 3 THEN '{_WIDEN}  [VERIFIED_IN_SANDBOX]' ELSE 'none  [NOT_REQUIRED]' END AS migration,
+    "repair_reports": f"""WITH {_FEED} SELECT drift || '; lost ' || CASE c WHEN 1 THEN 'quantity' WHEN 4 THEN 'weight' ELSE '-' END
+          || '; new ' || CASE c WHEN 1 THEN 'stock_quantity' WHEN 2 THEN 'supplier_code' ELSE '-' END
+          || '; retyped ' || CASE WHEN c = 3 THEN 'quantity INT>BIGINT compatible' ELSE '-' END AS drift,
+        CASE WHEN c = 1 THEN 'quantity=stock_quantity 0.96' ELSE '-' END AS renames,
+        CASE WHEN c = 3 THEN '{_WIDEN} (VERIFIED_IN_SANDBOX)' ELSE '- (NOT_REQUIRED)' END AS migration,
         {_STATUS} AS decision, count(*) AS reports FROM feed WHERE c BETWEEN 1 AND 7 GROUP BY ALL""",
     "cached_repairs": f"""WITH {_FEED} SELECT p_partkey AS "offset",
         CASE WHEN c IN (1, 2, 3) THEN 'REPAIRED' WHEN c IN (4, 5) THEN 'DEFERRED' ELSE 'MANUAL_REVIEW' END AS status,
@@ -249,16 +250,16 @@ ORACLES: dict[str, str] = {
         'RENAMED_COLUMN' AS drift_type, 'DEFERRED' AS repair_result FROM part WHERE p_partkey % 10 = 1""",
     "retry_feedback": f"""WITH {_FEED}, lines AS (SELECT unnest(CASE c
           WHEN 1 THEN [
-            'The output does not conform to the contract: $: Additional properties are not allowed (''stock_quantity'' was unexpected)',
-            'The mapping keeps fields that are NOT in the canonical contract (unexpected: [''stock_quantity'']). Keep contract fields only.',
-            'before_image_schema_validation: $: Additional properties are not allowed (''stock_quantity'' was unexpected)',
-            'The before image has fields outside the contract (unexpected: [''stock_quantity'']). Keep contract fields only.']
+            'meet the contract: $: Additional properties are not allowed (''stock_quantity'' was unexpected)',
+            'leave these out: unexpected: [''stock_quantity'']',
+            'meet the contract (before image): $: Additional properties are not allowed (''stock_quantity'' was unexpected)',
+            'leave these out (before image): unexpected: [''stock_quantity'']']
           WHEN 2 THEN [
-            'The output does not conform to the contract: $: Additional properties are not allowed (''supplier_code'' was unexpected)',
-            'The mapping keeps fields that are NOT in the canonical contract (unexpected: [''supplier_code'']). Keep contract fields only.']
-          WHEN 4 THEN ['confidence 0.50 below threshold 0.90']
-          ELSE ['The output does not conform to the contract: $.name: None is not of type ''string''',
-                'confidence 0.50 below threshold 0.90'] END) AS line
+            'meet the contract: $: Additional properties are not allowed (''supplier_code'' was unexpected)',
+            'leave these out: unexpected: [''supplier_code'']']
+          WHEN 4 THEN ['confidence: 0.50 < 0.90']
+          ELSE ['meet the contract: $.name: None is not of type ''string''',
+                'confidence: 0.50 < 0.90'] END) AS line
         FROM feed WHERE c IN (1, 2, 4, 5))
         SELECT 2::INT AS next_attempt, line, count(*) AS events FROM lines GROUP BY ALL""",
     "pending_events": f"""WITH {_FEED} SELECT p_partkey AS "offset",
@@ -268,19 +269,19 @@ ORACLES: dict[str, str] = {
     "proposal_shapes": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN ''
           WHEN 2 THEN 'extra: unknown member'
           WHEN 3 THEN 'response: not a JSON object; classification: not a repair classification; confidence: not within 0 and 1; '
-            || 'reasoning_summary: 1 to 600 characters; mapping: not empty and at most 8000 characters; risk_level: unknown level'
+            || 'reasoning_summary: empty; mapping: empty; risk_level: unknown level'
           WHEN 4 THEN 'confidence: not within 0 and 1; risk_level: unknown level'
-          ELSE 'reasoning_summary: missing; reasoning_summary: 1 to 600 characters' END AS violations, 0::INT AS n_actions FROM part""",
+          ELSE 'reasoning_summary: missing; reasoning_summary: empty' END AS violations, 0::INT AS n_actions FROM part""",
     "schema_action_policy": """SELECT p_partkey, p_partkey % 9 IN (0, 3) AS allowed, p_partkey % 9 IN (1, 5, 7, 8) AS destructive,
         CASE p_partkey % 9 WHEN 0 THEN 'LOW' WHEN 3 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 4 THEN 'MEDIUM' WHEN 6 THEN 'MEDIUM'
           ELSE 'HIGH' END AS risk,
-        CASE p_partkey % 9 WHEN 1 THEN 'MODIFY weight FLOAT -> INT is not a widening (risky)'
-          WHEN 2 THEN 'MODIFY name VARCHAR(255) does not change the column (no-op): no action is needed'
-          WHEN 4 THEN 'column ''weight'' already exists in the contract: no migration is needed for it'
-          WHEN 5 THEN 'column rename (CHANGE COLUMN) is disabled by policy'
-          WHEN 6 THEN 'CREATE INDEX is disabled by policy; index column ''size'' is not in the contract'
-          WHEN 7 THEN 'migration targets table ''orders'' but the event belongs to ''products''; column type GEOMETRY is not allowed'
-          WHEN 8 THEN 'unsupported action drop_column' ELSE '' END AS violations,
+        CASE p_partkey % 9 WHEN 1 THEN 'not_wider: weight FLOAT > INT risky'
+          WHEN 2 THEN 'no_change: name is VARCHAR(255)'
+          WHEN 4 THEN 'column_exists: weight'
+          WHEN 5 THEN 'switched_off: change_column'
+          WHEN 6 THEN 'switched_off: create_index; unknown_index_column: size'
+          WHEN 7 THEN 'other_table: orders instead of products; type_off_list: GEOMETRY'
+          WHEN 8 THEN 'unknown_action: drop_column' ELSE '' END AS violations,
         CASE p_partkey % 9 WHEN 0 THEN 'ALTER TABLE `products` MODIFY COLUMN `name` VARCHAR(512) NOT NULL'
           WHEN 3 THEN 'ALTER TABLE `products` ADD COLUMN `note` VARCHAR(64) NULL' ELSE '' END AS statement FROM part""",
     "column_diff": """SELECT 't' || p_partkey AS table_name, CASE p_partkey % 5 WHEN 2 THEN 'b' WHEN 3 THEN 'c' ELSE 'a' END AS column_name,

@@ -167,11 +167,11 @@ def _document_log(spark, sf_dir, name, key, text):
 
 @query
 def malformed_documents(spark, sf_dir):
-    """Whole documents as messages: none is JSON, each is isolated with a preview."""
+    """Whole documents as messages: none is JSON, each is isolated with all of its text."""
     log = _document_log(spark, sf_dir, "documents", "doc_id", "text")
     return routing.to_dlq(routing.route_changes(log, default_catalog())).select(
-        F.col("offset").alias("doc_id"), "reason", "event_id", F.length("raw_event").alias("preview_chars"),
-        F.md5("raw_event").alias("preview_hash"))
+        F.col("offset").alias("doc_id"), "reason", "event_id", F.length("raw_event").alias("raw_chars"),
+        F.md5("raw_event").alias("raw_hash"))
 
 
 @query
@@ -288,11 +288,10 @@ def audit_rows(spark, sf_dir):
 def repair_reports(spark, sf_dir):
     """The text report of every decision."""
     reports = repair.render_report(repair.to_audit(decided(spark, sf_dir)))
-    line = lambda label: F.regexp_extract("report", f"(?m)^{label}: +(.*)$", 1)
+    line = lambda topic: F.regexp_extract("report", f"(?m)^{topic} +(.*)$", 1)
     return reports.groupBy(
-        line("Detected drift").alias("drift"), line("Rename candidates").alias("renames"),
-        line("Detected type mismatch").alias("types"), line("Generated migration").alias("migration"),
-        line("DECISION").alias("decision")).agg(F.count("*").alias("reports"))
+        line("drift").alias("drift"), line("pairs").alias("renames"), line("schema").alias("migration"),
+        F.regexp_extract("report", r"^\w+", 0).alias("decision")).agg(F.count("*").alias("reports"))
 
 
 @query

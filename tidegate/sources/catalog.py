@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from tidegate import fixed_values as fixed
 from tidegate.functions.sqltypes import TypeMatrix
 
-MAX_DOCUMENTS = 100_000
 
 # JSON Schema keywords that the drift operators evaluate, and pure annotations.
 # Others are refused when a contract is loaded, so none is silently ignored.
@@ -176,11 +175,8 @@ def load_contracts(spark: SparkSession, sources_path: str, contracts_dir: str,
     docs = (
         spark.read.text(contracts_dir, wholetext=True, pathGlobFilter="*.json")
         .select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), "value")
-        .limit(MAX_DOCUMENTS + 1)
         .collect()
     )
-    if len(docs) > MAX_DOCUMENTS:
-        raise ContractError(f"more than {MAX_DOCUMENTS} contract documents")
     registry = spark.read.text(sources_path, wholetext=True).first()
     try:
         return Catalog.from_documents(
