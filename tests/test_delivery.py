@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import ON_HAND, PRODUCTS, SCOOTER, envelope, log
 from tidegate.operators import clean, delivery as dl, observe
-from tidegate.operators.routing import route_changes, to_dlq, to_validated
+from tidegate.operators.routing import route_changes, to_dlq, to_validated, with_reports
 from tidegate.sources import catalog as cat
 from tidegate.sources.catalog import Catalog, ContractError
 from tidegate.sources.changelog import LOG_SCHEMA, read_change_log
@@ -271,13 +271,15 @@ def test_contract_versions(spark):
 def test_counts_and_lineage(spark):
     values = [envelope("products", SCOOTER, columns=PRODUCTS, pos=1), b"oops", None]
     routed = route_changes(log(spark, values), CATALOG)
-    counts = {(r.source, r.outcome): r.messages for r in observe.outcome_counts(routed).collect()}
+    counts = {(r.source, r.outcome): r.messages for r in observe.outcome_counts(with_reports(routed)).collect()}
     assert counts == {("cdc:inventory.products", "validated"): 1, ("unknown", "dlq:MALFORMED_JSON"): 1,
                       ("unknown", "skipped:tombstone"): 1}
     assert observe.observed(routed).count() == 3
     topic = observe.topic_counts(log(spark, values)).first()
     assert (topic.low, topic.high, topic.messages) == (0, 2, 3)
     assert [r.offset for r in observe.peek(log(spark, values), 1).collect()] == [2]
+    parts = log(spark, values).unionByName(log(spark, values[:1]).withColumn("partition", F.lit(1)))
+    assert observe.peek(parts, 1).count() == 1 and observe.peek(parts, 1, per_partition=True).count() == 2
     histogram = observe.latency_histogram(spark.createDataFrame([(0.05,), (7.0,), (400.0,)], "s double"), "s")
     assert [r.observations for r in histogram.orderBy("le").collect()] == [1] * 5 + [2] * 6 + [3]
     dlq = to_dlq(routed)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegate.functions.text import collapse_blanks, stable_quantity, weight_to_kg
+from tidegate.plans.staging import staged
 
 TRANSFORMS = {"stable_quantity": stable_quantity, "weight_to_kg": weight_to_kg}
 
@@ -53,18 +54,18 @@ def load_new(incoming: DataFrame, parent: DataFrame, child_columns: list[str], e
 
 
 def number_rows(df: DataFrame, order: str) -> DataFrame:
-    """``_position`` 1..n by ``order`` without one global window.
+    """``_position`` 1..n by ``order`` (any type that sorts, unique) without one global window.
 
-    ``order`` must be unique, so that the buckets are the same on every run.
+    The rows are written once in ranges of ``order``, with their range and place in it; both come
+    from that table, so a repeated task cannot number them otherwise.  A position is the place
+    plus the sizes of the ranges before, of which there are as many as partitions.
     """
-    bounds = df.agg(F.percentile_approx(order, [i / 64 for i in range(1, 64)], 10000).alias("_bounds"))
-    spread = df.withColumn("_one", F.lit(1)).join(
-        F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one").withColumn(
-            "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds", "_one")
-    sizes = spread.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    # at most 64 rows
+    place = F.monotonically_increasing_id()  # the partition in the upper bits, the row in the lower 33
+    ranges = staged(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", place), "ranges")
+    ranges = ranges.withColumn("_range", F.shiftright("_place", 33))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(
-        Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
-    return spread.join(F.broadcast(before.select("_bucket", "_before")), "_bucket").withColumn(
-        "_position", F.col("_before") + local).drop("_bucket", "_before")
+        Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranges.join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(
+        "_position", F.col("_before") + local).drop("_range", "_before", "_place")

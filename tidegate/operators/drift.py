@@ -2,9 +2,9 @@
 
 All of it is row-local.  A row meets its contract in a lookup join against the
 catalogue (broadcast while the catalogue is small), and every comparison after
-that is an expression over the row, so drift detection adds no shuffle and one
-hot table cannot overload a task.  Only the character similarity of renamed
-columns needs Python; it is sent names, and only for rows that need it.
+that is an expression over the row, so routing adds no shuffle and one hot table
+cannot overload a task.  Renames are scored later, for dead letters only and once
+per drift shape; only the character similarity of names needs Python.
 """
 
 from __future__ import annotations
@@ -222,7 +222,11 @@ def null_affinity(spec: Column, value: Column, column: Column) -> Column:
 
 
 def rename_candidates(df: DataFrame, matrix: TypeMatrix, hints: names.RenameHints) -> DataFrame:
-    """Adds ``_scored``: every plausible (missing, unexpected) pair of the row, best first."""
+    """Adds ``_scored``: every plausible (missing, unexpected) pair of the row, best first.
+
+    Reads ``missing_fields, unexpected_fields, fields`` and ``facts`` (name, kind of value and
+    column description of each unexpected field).
+    """
     both = (F.size("missing_fields") > 0) & (F.size("unexpected_fields") > 0)
     crossed = F.flatten(F.transform(
         F.col("missing_fields"), lambda m: F.transform(
@@ -233,16 +237,15 @@ def rename_candidates(df: DataFrame, matrix: TypeMatrix, hints: names.RenameHint
     joined = F.transform(F.arrays_zip("_pairs", "_ratios"), lambda z: F.struct(
         z["_pairs"]["m"].alias("m"), z["_pairs"]["u"].alias("u"), z["_ratios"].alias("ratio"),
         F.filter("fields", lambda f: f["name"] == z["_pairs"]["m"])[0].alias("spec"),
-        F.try_element_at("image", z["_pairs"]["u"]).alias("value"),
-        find_column(F.col("column_schema"), z["_pairs"]["u"]).alias("column")))
+        F.filter("facts", lambda f: f["name"] == z["_pairs"]["u"])[0].alias("fact")))
 
     def affinities(c: Column) -> Column:
         lexical = let(names.tokens(c["m"]), lambda mw: let(
             names.tokens(c["u"]), lambda uw: names.lexical(c["m"], c["u"], c["ratio"], mw, uw, hints)))
         return F.struct(
             c["m"].alias("m"), c["u"].alias("u"), lexical.alias("lexical"),
-            type_affinity(c["spec"], c["value"], c["column"], matrix).alias("type"),
-            null_affinity(c["spec"], c["value"], c["column"]).alias("null"))
+            type_affinity(c["spec"], c["fact"], c["fact"]["column"], matrix).alias("type"),
+            null_affinity(c["spec"], c["fact"], c["fact"]["column"]).alias("null"))
 
     def confidence(a: Column) -> Column:
         total = (fixed.WEIGHT_LEXICAL * a["lexical"]["score"] + fixed.WEIGHT_TYPE * a["type"]["score"]
@@ -258,7 +261,10 @@ def rename_candidates(df: DataFrame, matrix: TypeMatrix, hints: names.RenameHint
 
 
 def assign_renames(df: DataFrame) -> DataFrame:
-    """Adds ``possible_renames``: best pair first, each side used once, rivals flagged."""
+    """Adds ``possible_renames``: best pair first, each side used once, rivals flagged.
+
+    Rivals are counted for the pairs that are chosen, at most one per missing field.
+    """
 
     def pick(taken: Column, c: Column) -> Column:
         used = F.exists(taken, lambda t: (t["missing_field"] == c["m"]) | (t["unexpected_field"] == c["u"]))
@@ -290,15 +296,11 @@ def _sized(*columns: str) -> Column:
 
 
 def classify_drift(df: DataFrame) -> DataFrame:
-    """Adds ``drift_detected, drift_type, ambiguous, confidence``."""
+    """Adds ``drift_type, ambiguous, confidence``."""
     renames = F.col("possible_renames")
     removed = F.size(F.array_except("missing_fields", F.col("possible_renames.missing_field"))) > 0
     added = F.size(F.array_except("unexpected_fields", F.col("possible_renames.unexpected_field"))) > 0
-    detected = _sized("missing_fields", "unexpected_fields", "type_mismatches", "nullability_changes",
-                      "validation_errors")
-    found = df.withColumns({
-        "drift_detected": detected, "_removed": removed, "_added": added,
-    })
+    found = df.withColumns({"_removed": removed, "_added": added})
     kinds = non_null(F.array(
         F.when(F.size("possible_renames") > 0, "RENAMED_COLUMN"),
         F.when(F.col("_added"), "ADDED_COLUMN"),
@@ -340,27 +342,59 @@ def fingerprint() -> Column:
 
 def only_compatible_type_changes() -> Column:
     """The only drift is a lossless widening such as INT to BIGINT."""
-    return ((F.col("drift_type") == "TYPE_CHANGE") & (F.size("validation_errors") == 0)
-            & F.forall("type_mismatches", lambda t: t["compatibility"] == "compatible"))
+    others = _sized("missing_fields", "unexpected_fields", "nullability_changes", "validation_errors")
+    return _sized("type_mismatches") & ~others & F.forall("type_mismatches", lambda t: t["compatibility"] == "compatible")
+
+
+def facts() -> Column:
+    """What renames are judged by: name, kind of value and description of each unexpected field."""
+    return F.transform("unexpected_fields", lambda u: F.struct(
+        u.alias("name"), F.try_element_at("image", u)["kind"].alias("kind"),
+        find_column(F.col("column_schema"), u).alias("column")))
 
 
 def detect_drift(resolved: DataFrame, matrix: TypeMatrix | None = None,
                  hints: names.RenameHints | None = None) -> DataFrame:
     """The drift report of every row that has a contract (columns ``REPORT``)."""
-    matrix, hints = matrix or TypeMatrix(), hints or names.RenameHints()
-    compared = compare_fields(resolved, matrix)
-    report = classify_drift(assign_renames(rename_candidates(compared, matrix, hints)))
-    return report.withColumn("fingerprint", fingerprint())
+    return report_renames(compare(resolved, matrix), matrix, hints)
+
+
+def compare(resolved: DataFrame, matrix: TypeMatrix | None = None) -> DataFrame:
+    """Adds all differences between rows and contracts but renames, and ``drift_detected``."""
+    compared = compare_fields(resolved, matrix or TypeMatrix()).withColumn("facts", facts())
+    return compared.withColumn("drift_detected", _sized(
+        "missing_fields", "unexpected_fields", "type_mismatches", "nullability_changes", "validation_errors"))
+
+
+def report_renames(compared: DataFrame, matrix: TypeMatrix | None = None,
+                   hints: names.RenameHints | None = None) -> DataFrame:
+    """Completes the report of compared rows: renames, classification, fingerprint.
+
+    Renames depend on the shape of a drift, so they are scored once per shape; the rows of a
+    shape are met again by a hash of it. Rows without both missing and unexpected fields have none.
+    """
+    needed = (F.size("missing_fields") > 0) & (F.size("unexpected_fields") > 0)
+    material = F.struct("contract_key", "missing_fields", "unexpected_fields", "facts")
+    shaped = compared.withColumn("_shape", F.when(needed, F.sha2(F.to_json(material), 256)))
+    one = ["missing_fields", "unexpected_fields", "facts", "fields"]
+    shapes = shaped.filter("_shape IS NOT NULL").groupBy("_shape").agg(*[F.first(c).alias(c) for c in one])
+    scored = assign_renames(rename_candidates(shapes, matrix or TypeMatrix(), hints or names.RenameHints()))
+    met = shaped.join(scored.select("_shape", "possible_renames"), "_shape", "left").drop("_shape")
+    nothing = F.array().cast(f"array<{RENAME}>")
+    renamed = met.withColumn("possible_renames", F.coalesce("possible_renames", nothing))
+    return classify_drift(renamed).withColumn("fingerprint", fingerprint())
 
 
-def drift_summary() -> Column:
-    """The report without payload values."""
-    return F.struct(*[F.col(c) for c in SUMMARY])
+def fit_narrower_types(df: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """For each column and integer type: the largest absolute value and whether the type holds it. One pass."""
+    top = df.agg(*[F.coalesce(F.max(F.abs(F.col(c).cast("decimal(38,0)"))), F.lit(0)).cast("decimal(38,0)").alias(c)
+                   for c in columns])
 
+    def fits(column: str, sql_type: str) -> Column:
+        limit = fixed.INTEGER_LIMITS.get(sql_type.upper())
+        held = F.lit(True) if limit is None else F.col(column) <= limit
+        return F.struct(F.lit(column).alias("column_name"), F.lit(sql_type).alias("sql_type"),
+                        F.col(column).alias("max_abs"), held.alias("fits"))
 
-def fits_narrower_type(df: DataFrame, column: str, sql_type: str) -> DataFrame:
-    """One row: the largest absolute value and whether a narrower integer type holds it."""
-    limit = fixed.INTEGER_LIMITS.get(sql_type.upper())
-    top = df.agg(F.coalesce(F.max(F.abs(F.col(column).cast("decimal(38,0)"))), F.lit(0))
-                 .cast("decimal(38,0)").alias("max_abs"))
-    return top.select("max_abs", (F.lit(True) if limit is None else F.col("max_abs") <= limit).alias("fits"))
+    rows = F.array(*[fits(c, t) for c, types in columns.items() for t in types])
+    return top.select(F.explode(rows).alias("r")).select("r.*")

@@ -10,7 +10,7 @@ from tidegate import fixed_values as fixed
 
 
 def outcome_counts(routed: DataFrame) -> DataFrame:
-    """Messages by table, outcome and drift type."""
+    """Messages by table, outcome and drift type (rows of ``routing.with_reports``)."""
     table = F.when(F.coalesce("source_table", F.lit("")) == "", "unknown").otherwise(
         F.concat(F.col("source_name"), F.lit(":"), F.col("source_database"), F.lit("."), F.col("source_table")))
     return routed.groupBy(table.alias("source"), "outcome", "drift_type").agg(F.count("*").alias("messages"))
@@ -48,9 +48,11 @@ def latency_histogram(df: DataFrame, seconds: str, buckets: list[float] | None =
 def delivery_stats(attempted: DataFrame) -> DataFrame:
     """Per destination: delivered, duplicates, skipped, failed batches and last delivery.
 
-    ``attempted``: ``destination, result, delivered_at`` with one row per change or failed batch.
+    ``attempted``: ``destination, result, delivered_at`` with one row per change or failed batch,
+    or with one row per batch and result and their number in ``changes``.
     """
-    n = lambda r: F.count_if(F.col("result") == r)
+    weight = F.col("changes") if "changes" in attempted.columns else F.lit(1)
+    n = lambda r: F.coalesce(F.sum(F.when(F.col("result") == r, weight)), F.lit(0)).cast("bigint")
     return attempted.groupBy("destination").agg(
         n("delivered").alias("delivered"), n("duplicate").alias("duplicates"), n("skipped").alias("skipped"),
         n("failed_batch").alias("failed_batches"),
@@ -64,9 +66,13 @@ def topic_counts(log: DataFrame) -> DataFrame:
         (F.max("offset") - F.min("offset") + 1).alias("messages"))
 
 
-def peek(log: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` messages of every partition (group-limited before the shuffle)."""
-    newest = Window.partitionBy("topic", "partition").orderBy(F.desc("offset"))
+def peek(log: DataFrame, n: int, per_partition: bool = False) -> DataFrame:
+    """The last ``n`` messages of every topic by time, or of every partition by offset.
+
+    Every task sends at most ``n`` rows of each into the shuffle.
+    """
+    order = ["offset"] if per_partition else [c for c in ("timestamp", "partition", "offset") if c in log.columns]
+    newest = Window.partitionBy("topic", *(["partition"] if per_partition else [])).orderBy(*map(F.desc_nulls_last, order))
     return log.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn")
 
 

@@ -9,6 +9,7 @@ from tidegate import fixed_values as fixed
 from tidegate.functions import jsonvalue as jv
 from tidegate.functions.binding import seal
 from tidegate.functions.names import RenameHints
+from tidegate.functions.sqltypes import TypeMatrix
 from tidegate.operators import drift
 from tidegate.operators.envelope import parse_envelopes
 from tidegate.sources.catalog import Catalog
@@ -34,19 +35,23 @@ def outcome(compatible_type_change_routing: str = "dlq") -> Column:
     )
 
 
-def route_changes(log: DataFrame, catalog: Catalog, hints: RenameHints | None = None,
-                  compatible_type_change_routing: str = "dlq") -> DataFrame:
+def route_changes(log: DataFrame, catalog: Catalog, compatible_type_change_routing: str = "dlq") -> DataFrame:
     """Decode, compare and route a change log: one row per message, with its ``outcome``.
 
-    The plan reads the log once and has no shuffle of it.  Split the result with
+    The plan reads the log once, has no shuffle of it and no Python.  Split the result with
     ``to_validated`` and ``to_dlq``; persist it when more than one output is written.
     """
-    parsed = parse_envelopes(log)
-    report = drift.detect_drift(drift.resolve_contract(parsed, catalog), catalog.matrix, hints)
+    compared = drift.compare(drift.resolve_contract(parse_envelopes(log), catalog), catalog.matrix)
+    # what only the comparison needed does not go on
+    kept = compared.drop("field_names", "required", "allows_additional", "column_count")
+    return seal(kept.withColumn("outcome", outcome(compatible_type_change_routing)), ["outcome"])
+
+
+def with_reports(routed: DataFrame, matrix: TypeMatrix | None = None, hints: RenameHints | None = None) -> DataFrame:
+    """Routed rows with their drift report; ``drift_type`` is NONE where nothing was compared."""
     compared = F.col("outcome").isin("validated", "validated:compatible_widening", "dlq:SCHEMA_DRIFT")
-    routed = report.withColumn("outcome", outcome(compatible_type_change_routing)).withColumn(
-        "drift_type", F.when(compared, F.col("drift_type")).otherwise("NONE"))
-    return seal(routed, ["outcome", "drift_type", "ambiguous", "confidence"])
+    reported = drift.report_renames(routed, matrix, hints)
+    return reported.withColumn("drift_type", F.when(compared, F.col("drift_type")).otherwise("NONE"))
 
 
 def to_validated(routed: DataFrame) -> DataFrame:
@@ -66,8 +71,9 @@ def to_validated(routed: DataFrame) -> DataFrame:
         "topic", "partition", "offset", F.current_timestamp().alias("validated_at"))
 
 
-def to_dlq(routed: DataFrame) -> DataFrame:
+def to_dlq(routed: DataFrame, matrix: TypeMatrix | None = None, hints: RenameHints | None = None) -> DataFrame:
     """Dead letters with everything needed to decide on a repair."""
+    dead = with_reports(routed.filter(F.col("outcome").startswith("dlq:")), matrix, hints)
     reason = F.regexp_extract("outcome", "^dlq:(.*)$", 1)
     drifted = F.col("outcome") == "dlq:SCHEMA_DRIFT"
     malformed = F.col("outcome").startswith("dlq:MALFORMED")
@@ -81,7 +87,7 @@ def to_dlq(routed: DataFrame) -> DataFrame:
     )
     whole = lambda c: F.when(~malformed, c)
     name = lambda c: F.when(malformed, "").otherwise(F.col(c))
-    return routed.filter(F.col("outcome").startswith("dlq:")).select(
+    return dead.select(
         "event_id", "correlation_id", reason.alias("reason"), error.alias("error"),
         "topic", "partition", "offset",
         name("source_name").alias("source_name"), name("source_database").alias("source_database"),

@@ -331,9 +331,12 @@ ORACLES: dict[str, str] = {
         max(epoch_us(ts) // 1000) FILTER (op = 'u') AS last_delivery FROM routes GROUP BY destination""",
     "topic_counts": """SELECT 'app.events' AS topic, (event_id % 4)::INT AS partition, min(event_id) AS low,
         max(event_id) AS high, max(event_id) - min(event_id) + 1 AS messages FROM events GROUP BY ALL""",
-    "peek_last": """SELECT 'app.events' AS topic, (event_id % 4)::INT AS partition, event_id AS "offset",
-        'evt-' || event_id AS event_id FROM events
-        QUALIFY row_number() OVER (PARTITION BY events.event_id % 4 ORDER BY events.event_id DESC) <= 5""",
+    "peek_last": """WITH e AS (SELECT event_id AS id, ts FROM events)
+        (SELECT 'topic' AS kind, 'app.events' AS topic, (id % 4)::INT AS partition, id AS "offset", 'evt-' || id AS event_id
+         FROM e ORDER BY epoch_us(ts) // 1000 DESC, id % 4 DESC, id DESC LIMIT 5)
+        UNION ALL
+        (SELECT 'partition', 'app.events', (id % 4)::INT, id, 'evt-' || id FROM e
+         QUALIFY row_number() OVER (PARTITION BY id % 4 ORDER BY id DESC) <= 5)""",
     "find_repairs": """SELECT 'evt-' || event_id AS event_id, 'rep-' || event_id AS repair_id FROM events
         WHERE events.event_id % 7 = 0""",
     "event_traces": f"""WITH {_FEED} SELECT 'cdc.mutations/' || p_partkey % 3 || '/' || p_partkey AS dlq_coordinates,

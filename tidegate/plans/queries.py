@@ -89,7 +89,7 @@ def texts(array: Column) -> Column:
 
 @query
 def outcome_counts(spark, sf_dir):
-    return observe.outcome_counts(routed(spark, sf_dir))
+    return observe.outcome_counts(routing.with_reports(routed(spark, sf_dir)))
 
 
 @query
@@ -233,15 +233,9 @@ def type_verdicts(spark, sf_dir):
 
 @query
 def narrow_fits(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem")
-    out = None
-    for column in ("l_orderkey", "l_quantity", "l_suppkey"):
-        for kind in ("TINYINT", "SMALLINT", "INT"):
-            one = drift.fits_narrower_type(items, column, kind).select(
-                F.lit(column).alias("column_name"), F.lit(kind).alias("sql_type"),
-                F.col("max_abs").cast("bigint").alias("max_abs"), "fits")
-            out = one if out is None else out.unionByName(one)
-    return out
+    kinds = ["TINYINT", "SMALLINT", "INT"]
+    fits = drift.fit_narrower_types(table(spark, sf_dir, "lineitem"), dict.fromkeys(("l_orderkey", "l_quantity", "l_suppkey"), kinds))
+    return fits.withColumn("max_abs", F.col("max_abs").cast("bigint"))
 
 
 # --- repair ---------------------------------------------------------------------------------
@@ -546,7 +540,10 @@ def topic_counts(spark, sf_dir):
 
 @query
 def peek_last(spark, sf_dir):
-    return observe.peek(feed.event_changes(spark, sf_dir), 5).select("topic", "partition", "offset", "event_id")
+    """The last five of the topic, and of each of its partitions."""
+    changes = feed.event_changes(spark, sf_dir).withColumn("timestamp", F.timestamp_millis("source_ts_ms"))
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "topic", "partition", "offset", "event_id")
+    return named(observe.peek(changes, 5), "topic").unionByName(named(observe.peek(changes, 5, per_partition=True), "partition"))
 
 
 @query

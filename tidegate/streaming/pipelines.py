@@ -50,9 +50,9 @@ def start_validation(log: DataFrame, catalog: Catalog, out: str, checkpoint: str
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = query_id(spark, checkpoint)
-        routed = routing.route_changes(batch, catalog, hints, compatible_type_change_routing).persist()
-        outputs = {"validated": routing.to_validated(routed), "dlq": routing.to_dlq(routed),
-                   "counts": observe.outcome_counts(routed)}
+        routed = routing.route_changes(batch, catalog, compatible_type_change_routing).persist()
+        outputs = {"validated": routing.to_validated(routed), "dlq": routing.to_dlq(routed, catalog.matrix, hints),
+                   "counts": observe.outcome_counts(routing.with_reports(routed, catalog.matrix, hints))}
         try:
             for name, frame in outputs.items():
                 frame.write.mode("overwrite").parquet(f"{out}/{name}/run={run}/batch={batch_id}")
