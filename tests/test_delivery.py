@@ -6,13 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import ON_HAND, PRODUCTS, SCOOTER, envelope, log
-from tidegate.operators import clean, delivery as dl, observe
+from tidegate.operators import clean, delivery as dl, observe, proposals, repair
 from tidegate.operators.routing import route_changes, to_dlq, to_validated, with_reports
 from tidegate.sources import catalog as cat
 from tidegate.sources.catalog import Catalog, ContractError
 from tidegate.sources.changelog import LOG_SCHEMA, read_change_log
 from tidegate.sources.destinations import (
-    DestinationConfig, DestinationError, expand_variables, load_destinations)
+    DestinationConfig, DestinationError, load_destinations)
 from tidegate.streaming import pipelines as sp
 
 CATALOG = Catalog.default()
@@ -137,10 +137,12 @@ def test_destination_registry():
     a, b = load_destinations(doc, {"R": "/data"})
     assert (a.enabled, a.options["root"], b.enabled, b.batch_size) == (False, "/data/x", True, 5)
     assert load_destinations(doc, {"ON": "yes"}, only={"a"})[0].enabled
-    assert expand_variables({"a": ["x-${M}", 3, "${N:-d}"]}, {}) == {"a": ["x-", 3, "d"]}
-    for bad in ({}, {"destinations": {"bad name!": {"type": "x"}}}, {"destinations": {"a": {}}}):
+    assert b.read_options == {"maxOffsetsPerTrigger": "5"} and a.read_options == {}
+    (c,) = load_destinations({"destinations": {"c": {"type": "x", "options": {"a": ["x-${M}", 3, "${N:-d}", "$5 {M}"]}}}}, {})
+    assert c.options == {"a": ["x-", 3, "d", "$5 {M}"]}
+    for bad in ({}, {"bad name!": {"type": "x"}}, {"a": {}}, {"a": {"type": "x", "colour": 1}}, {"a": {"type": "x", "batch_size": "many"}}):
         with pytest.raises(DestinationError):
-            load_destinations(bad, {})
+            load_destinations({"destinations": bad}, {})
     for kind in ("nosuch", "json:dumps", "tests.test_delivery:NotADestination", "nowhere:X"):
         with pytest.raises(DestinationError):
             sp.build_destination(DestinationConfig("x", kind))
@@ -194,12 +196,116 @@ def test_stream_of_a_log_to_destinations(spark, tmp_path):
             run(lambda: sp.start_delivery(source(), config, CATALOG, p(f"c-{config.name}-{checkpoint}"), availableNow=True))
     current = sp.CurrentState("w", {"path": p("wh")}).read(spark)
     assert quantities(current) == {0: (9, "u"), 1: (1, "c"), 2: (2, "c")}
-    table = spark.read.option("recursiveFileLookup", "true").parquet(p(f"lake/{REF}"))
+    table = spark.read.parquet(p("lake/table=inventory__inventory__products_on_hand"))
     assert table.count() == 4
     lines = [x for f in (tmp_path / "jl").rglob("part-*.txt") for x in f.read_text().splitlines()]
     assert len(lines) == 4
 
 
+def deliver(spark, tmp_path, frame, config, checkpoint, catalog=CATALOG, **more):
+    """One delivery of a frame under a checkpoint of its own."""
+    folder = str(tmp_path / f"in-{checkpoint}")
+    frame.write.parquet(folder)
+    source = spark.readStream.schema(frame.schema).parquet(folder)
+    run(lambda: sp.start_delivery(source, config, catalog, str(tmp_path / f"c-{checkpoint}"), availableNow=True, **more))
+
+
+def test_written_rows_are_the_ledger(spark, tmp_path):
+    """Data that a stopped batch left, without any mark, is not written again by another query."""
+    c = changes(spark, (1, 1, 1), (2, 2, 2))
+    for kind in ("json_log", "table_log"):
+        config = DestinationConfig(kind, kind, options={"root": str(tmp_path / kind), "look_back_days": 3})
+        target = sp.build_destination(config)
+        target.write(c, CATALOG, "stopped", 0)
+        deliver(spark, tmp_path, c.unionByName(changes(spark, (3, 3, 3))), config, kind, attempts=str(tmp_path / f"n-{kind}"))
+        assert sorted(r.event_id for r in target.read(spark, CATALOG).collect()) == ["e-1-1", "e-2-2", "e-3-3"]
+        stats = observe.delivery_stats(spark.read.parquet(str(tmp_path / f"n-{kind}"))).first()
+        assert (stats.delivered, stats.duplicates, stats.failed_batches) == (1, 2, 0) and stats.last_delivery > 0
+
+
+def test_tables_without_contract_are_kept_and_delivered_later(spark, tmp_path):
+    config = DestinationConfig("t", "table_log", options={"root": str(tmp_path / "t")})
+    c = changes(spark, (1, 1, 1)).unionByName(changes(spark, (3, 3, 3), ref="crm.sales.orders"))
+    deliver(spark, tmp_path, c, config, "a")
+    target = sp.build_destination(config)
+    assert [r.table_ref for r in target.unrouted(spark).collect()] == ["crm.sales.orders"]
+    assert [r._event_id for r in target.delivered(spark, "x", 0).collect()] == ["e-1-1"]
+    own = Catalog.from_documents({"sources": {"crm": {"engine": "mysql", "database": "sales", "tables": [
+        {"name": "orders", "primary_key": ["product_id"], "contract": "c"}]}}},
+        {"c": {k: v for k, v in CATALOG.contracts[REF].document.items() if k != "x-source"}})
+    deliver(spark, tmp_path, c, config, "b", own)
+    assert sorted(r._event_id for r in target.delivered(spark, "x", 0).collect()) == ["e-1-1", "e-3-3"]
+    assert dl.table_folder("a", "b", "c-d") != dl.table_folder("a", "b", "c_d") == "a__b__c_d"
+
+
+def test_state_is_compacted_and_destinations_are_read(spark, tmp_path):
+    targets = [sp.build_destination(DestinationConfig(n, n, options={k: str(tmp_path / n)}))
+               for n, k in (("current", "path"), ("json_log", "root"), ("table_log", "root"))]
+    for i, batch in enumerate([changes(spark, (1, 1, 10), (2, 2, 20)), changes(spark, (1, 5, 30)), changes(spark, (2, 9, 5))]):
+        for target in targets:
+            target.write(batch, CATALOG, "r", i)
+    before = quantities(targets[0].read(spark))
+    targets[0].compact(spark)
+    assert quantities(targets[0].read(spark)) == before == {1: (5, "u"), 2: (2, "u")}
+    assert len(list((tmp_path / "current" / "log").glob("run=*/batch=*"))) == 1
+    stored = sp.read_destinations(spark, targets, CATALOG)
+    hits = {r.destination: (r.changes, int(r.latest.sequence)) for r in dl.lookup_key(
+        stored.withColumn("key", F.regexp_replace("key", " ", "")), REF, '{"product_id":1}').collect()}
+    assert hits == {"current": (1, 30), "json_log": (2, 30), "table_log": (2, 30)}
+
+
+def test_both_views_break_ties_alike(spark, tmp_path):
+    c = changes(spark, (1, 1, 7)).withColumns({"event_id": F.lit("z"), "partition": F.lit(0), "offset": F.lit(1).cast("bigint")}).unionByName(
+        changes(spark, (1, 2, 7)).withColumns({"event_id": F.lit("a"), "partition": F.lit(0), "offset": F.lit(2).cast("bigint")}))
+    assert quantities(dl.latest_per_key(c)) == {1: (2, "u")}
+    log_ = dl.typed_changes(c, CATALOG.contracts[REF])
+    assert [r.quantity for r in dl.latest_row_view(log_, ["product_id"]).collect()] == [2]
+
+
+def test_large_and_unreadable_positions(spark):
+    metas = [{"lsn": "9300000000000000000"}, {"file": "b.000001", "pos": "18446744073709551615"}, {"lsn": "0/16B"}]
+    frame = spark.createDataFrame([(m,) for m in metas], "meta map<string,string>")
+    got = [r[0] for r in frame.select(dl.source_sequence(F.col("meta"), F.lit(1).cast("bigint"))).collect()]
+    assert got[0] == 9300000000000000000 and got[1] == 10**15 + 18446744073709551615 * 1000 and got[2] is None
+    routed = route_changes(log(spark, [envelope("products_on_hand", {"product_id": 5, "quantity": 2}, columns=ON_HAND, pos="x")]), CATALOG)
+    validated = to_validated(routed)
+    none = validated.limit(0).drop("schema_notice")
+    assert dl.to_changes(validated, none, CATALOG).count() == 0 and dl.unordered(validated, none, CATALOG).count() == 1
+
+
+def test_repair_stream_remembers(spark, tmp_path):
+    """Deferred events are tried again, final ones are not, and approved repairs serve later events."""
+    p = lambda name: str(tmp_path / name)
+    renamed = {"product_id": ON_HAND["product_id"], "stock_quantity": ("int32", "INT", False)}
+    dead = lambda ids: to_dlq(route_changes(log(spark, [envelope(
+        "products_on_hand", {"product_id": i, "stock_quantity": i}, op="c", columns=renamed, pos=i) for i in ids],
+        [{"product_id": i} for i in ids]), CATALOG))
+    first = dead([1, 2])
+    first.write.parquet(p("dlq"))
+    source = lambda: spark.readStream.schema(first.schema).parquet(p("dlq"))
+    able = []
+
+    def propose(requests):
+        found = proposals.propose_from_report(requests, CATALOG)
+        return found if able else found.filter(F.lit(False))
+
+    go = lambda: run(lambda: sp.start_repair(source(), propose, CATALOG, p("out"), p("c"), availableNow=True))
+    go()
+    state = sp.RepairState(p("out"))
+    assert state.waiting(spark).count() == 2 and spark.read.parquet(p("out/repaired")).count() == 0
+    able.append(True)
+    dead([3]).write.mode("append").parquet(p("dlq"))
+    go()  # a restart: the deferred events come back with the new one
+    assert spark.read.parquet(p("out/repaired")).count() == 3 and state.approved(spark).count() == 1
+    able.clear()
+    dead([4]).write.mode("append").parquet(p("dlq"))
+    go()  # no proposal any more, but an approved repair
+    repaired = spark.read.parquet(p("out/repaired"))
+    assert sorted(r.repair_source for r in repaired.collect()) == ["cache", "model", "model", "model"]
+    latest = repair.latest_decisions(state.decisions(spark))
+    assert {r.status for r in latest.collect()} == {"REPAIRED"} and latest.agg(F.max("deferrals")).first()[0] == 1
+
+
 def test_failed_batch_is_retried_as_a_whole(spark, tmp_path):
     changes(spark, (1, 5, 10)).write.parquet(str(tmp_path / "in"))
     source = lambda: spark.readStream.schema(CHANGE).parquet(str(tmp_path / "in"))

@@ -7,6 +7,9 @@ repeated deliveries are harmless.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -22,12 +25,12 @@ from tidegate.sources.catalog import Catalog, Contract
 from tidegate.sources.changelog import read_clean_topics
 from tidegate.sources.destinations import DestinationConfig
 
-META = ["_op", "_seq", "_event_id", "_repair_id", "_origin", "_source_ts_ms", "_ingested_at"]
+META = ["_op", "_seq", "_event_id", "_repair_id", "_origin", "_source_ts_ms", "_partition", "_offset", "_ingested_at"]
 _TYPES = {"integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType(),
           "string": T.StringType()}
 _META_TYPES = {"_op": T.StringType(), "_seq": T.DecimalType(38, 0), "_event_id": T.StringType(),
                "_repair_id": T.StringType(), "_origin": T.StringType(), "_source_ts_ms": T.LongType(),
-               "_ingested_at": T.TimestampType()}
+               "_partition": T.IntegerType(), "_offset": T.LongType(), "_ingested_at": T.TimestampType()}
 
 
 # --- changes ------------------------------------------------------------------------------
@@ -63,9 +66,10 @@ def to_changes(validated: DataFrame, repaired: DataFrame, catalog: Catalog) -> D
 
     Control events and rows without an event id are left out.  A row without a
     message key takes the contract's primary key from its payload; one that has
-    neither is left out, since it cannot be addressed (see ``unkeyed``).
+    neither is left out, since it cannot be addressed (see ``unkeyed``), and so is
+    one whose position in the log cannot be read (see ``unordered``).
     """
-    return _changes(validated, repaired, catalog).filter("key IS NOT NULL")
+    return _changes(validated, repaired, catalog).filter("key IS NOT NULL AND sequence IS NOT NULL")
 
 
 def unkeyed(validated: DataFrame, repaired: DataFrame, catalog: Catalog) -> DataFrame:
@@ -73,6 +77,11 @@ def unkeyed(validated: DataFrame, repaired: DataFrame, catalog: Catalog) -> Data
     return _changes(validated, repaired, catalog).filter("key IS NULL")
 
 
+def unordered(validated: DataFrame, repaired: DataFrame, catalog: Catalog) -> DataFrame:
+    """Row changes whose position in the source's log is not a number."""
+    return _changes(validated, repaired, catalog).filter("key IS NOT NULL AND sequence IS NULL")
+
+
 def _changes(validated: DataFrame, repaired: DataFrame, catalog: Catalog) -> DataFrame:
     clean = read_clean_topics(validated, repaired)
     is_row = F.col("operation").isin(*fixed.ROW_OPS) & (F.coalesce("event_id", F.lit("")) != "")
@@ -173,9 +182,10 @@ def current_view(state: DataFrame) -> DataFrame:
 def latest_row_view(changelog: DataFrame, primary_key: list[str]) -> DataFrame:
     """Latest row per primary key of a typed change log, deletes removed.
 
-    Filters on the key reach the scan below the window.
+    Ties end as in ``latest_per_key``.  Filters on the key reach the scan below the window.
     """
-    newest = Window.partitionBy(*primary_key).orderBy(F.desc("_seq"), F.desc("_event_id"))
+    tie = [F.desc(c) for c in ("_partition", "_offset") if c in changelog.columns]
+    newest = Window.partitionBy(*primary_key).orderBy(F.desc("_seq"), *tie, F.desc("_event_id"))
     return changelog.withColumn("_rn", F.row_number().over(newest)).filter(
         (F.col("_rn") == 1) & (F.col("_op") != "d")).drop("_rn")
 
@@ -193,12 +203,15 @@ def merge_current(spark, table: str, changes: DataFrame) -> None:
 # --- shapes of destinations -------------------------------------------------------------------
 
 
-def meta_columns() -> list[Column]:
+def meta_columns(changes: DataFrame) -> list[Column]:
     """Bookkeeping columns that every delivered row carries."""
+    place = {"partition": "int", "offset": "bigint"}
     return [
         F.col("op").alias("_op"), F.col("sequence").alias("_seq"), F.col("event_id").alias("_event_id"),
         F.col("repair_id").alias("_repair_id"), F.col("origin").alias("_origin"),
-        F.col("source_ts_ms").alias("_source_ts_ms"), F.current_timestamp().alias("_ingested_at")]
+        F.col("source_ts_ms").alias("_source_ts_ms"),
+        *[(F.col(c) if c in changes.columns else F.lit(None)).cast(t).alias(f"_{c}") for c, t in place.items()],
+        F.current_timestamp().alias("_ingested_at")]
 
 
 def column_family(contract: Contract, name: str) -> str:
@@ -231,6 +244,13 @@ def destination_table_name() -> Column:
     return safe_name(F.col("source"), F.col("database"), F.col("table"))
 
 
+def table_folder(*parts: str) -> str:
+    """The folder of a table: its parts joined as they are, else made safe and told apart by a hash."""
+    plain = "__".join(parts)
+    safe = re.sub(r"[^a-z0-9_]+", "_", plain.lower())
+    return safe if safe == plain else f"{safe}_{hashlib.sha256(plain.encode()).hexdigest()[:8]}"
+
+
 def typed_changes(changes: DataFrame, contract: Contract) -> DataFrame:
     """The changes of one table with the contract's columns; key columns come from the key."""
     fields = contract_to_schema(contract, meta=False)
@@ -239,13 +259,13 @@ def typed_changes(changes: DataFrame, contract: Contract) -> DataFrame:
     return mine.withColumns({"_row": row, "_keyed": key}).select(
         *[F.coalesce(F.col("_keyed")[n], F.col("_row")[n]).alias(n) if n in contract.primary_key
           else F.col("_row")[n].alias(n) for n in fields.names],
-        *meta_columns())
+        *meta_columns(mine))
 
 
 def json_log_lines(changes: DataFrame) -> DataFrame:
     """JSON lines (row, bookkeeping, key) with the columns a JSON log is partitioned by."""
     stamped = changes.withColumn("_ingested_at", F.current_timestamp())
-    meta = F.to_json(F.struct(*[c for c in meta_columns()[:-1]], "_ingested_at"), {"ignoreNullFields": "false"})
+    meta = F.to_json(F.struct(*meta_columns(changes)[:-1], "_ingested_at"), {"ignoreNullFields": "false"})
     row = F.coalesce("payload", F.lit("{}"))
     head = F.when(row == "{}", "{").otherwise(F.concat(F.substring(row, 1, F.length(row) - 1), F.lit(",")))
     line = F.concat(head, F.substring(meta, 2, F.length(meta) - 2), F.lit(',"_key":'), F.col("key"), F.lit("}"))

@@ -3,22 +3,28 @@
 Output is keyed by ``run=<query id>/batch=<batch id>`` and written with
 overwrite: a batch that is replayed after a failure rewrites itself, and a query
 that starts with a new checkpoint (and counts its batches from 0 again) cannot
-overwrite the history of another.  What other runs and batches already hold is
-left out by event id, so nothing is lost and nothing delivered twice.
+overwrite the history of another.  The delivered rows are their own ledger: each
+carries its event id, and what other runs and batches hold is left out by it.
+There is no second write that a stop could separate from the first.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidegate import fixed_values as fixed
 from tidegate.functions.names import RenameHints
-from tidegate.operators import delivery, observe, routing
+from tidegate.operators import delivery, observe, proposals, repair, routing
+from tidegate.operators.joins import first_per
+from tidegate.plans.staging import drop_shared
 from tidegate.sources.catalog import Catalog
 from tidegate.sources.destinations import DestinationConfig, DestinationError, import_class
 
@@ -30,16 +36,14 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
 
 
-def _written(spark: SparkSession, path: str, schema: str, run: str, batch_id: int) -> DataFrame:
-    """Everything under a path except the output of this very batch."""
+def _read(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame | None:
+    """A table with its ``run`` and ``batch``; None while nothing was written."""
     try:
-        frame = spark.read.option("basePath", path).schema(f"{schema}, run string, batch bigint").parquet(path)
+        return spark.read.format(kind).option("basePath", path).schema(f"{schema}, run string, batch bigint").load(path)
     except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return spark.createDataFrame([], schema)
-    # partition columns: files of this batch are not even listed for reading
-    return frame.filter(~((F.col("run") == run) & (F.col("batch") == batch_id))).drop(*RUN_COLUMNS)
+        if "PATH_NOT_FOUND" in str(exc):
+            return None
+        raise
 
 
 def start_validation(log: DataFrame, catalog: Catalog, out: str, checkpoint: str,
@@ -77,63 +81,131 @@ class Destination(ABC):
         return None
 
 
+_CHANGE = ["table_ref", "op", "key", "payload", "sequence", "event_id", "repair_id", "origin", "partition", "offset"]
+_LINE = "_op string, _seq decimal(38,0), _event_id string, _repair_id string, _origin string, _partition int, _offset bigint"
+
+
 class _FileDestination(Destination):
+    """Delivered rows below a folder; ``look_back_days`` bounds how far back redelivered events are known."""
+
     option = "root"
 
     def __init__(self, name: str, options: dict[str, Any]):
         super().__init__(name, options)
         if not options.get(self.option):
-            raise DestinationError(f"destination {name} needs options.{self.option}")
+            raise DestinationError(f"{name}: options.{self.option} is missing")
         self.root = options[self.option]
+        self.look_back_days = options.get("look_back_days")
 
-    def delivered(self, spark: SparkSession, run: str, batch_id: int) -> DataFrame:
-        return _written(spark, f"{self.root}/_delivered", "_event_id string", run, batch_id)
+    def read(self, spark: SparkSession, catalog: Catalog) -> DataFrame | None:
+        """Everything stored, as change records; None while there is nothing."""
+        raise NotImplementedError
 
-    def mark(self, changes: DataFrame, run: str, batch_id: int) -> None:
-        changes.select(F.col("event_id").alias("_event_id")).write.mode("overwrite").parquet(
-            f"{self.root}/_delivered/run={run}/batch={batch_id}")
+    def _others(self, stored: DataFrame | None, run: str, batch_id: int) -> DataFrame | None:
+        """What other batches hold within the look-back; files of other days and of this batch are not read."""
+        if stored is None:
+            return None
+        others = stored.filter(~((F.col("run") == run) & (F.col("batch") == batch_id)))
+        if self.look_back_days is None:
+            return others
+        return others.filter(F.col("dt") >= F.date_sub(F.current_date(), int(self.look_back_days)))
 
 
 class JsonLog(_FileDestination):
     """Append-only JSON lines per source, database, table and day."""
 
+    _columns = "value string, source string, database string, `table` string, dt date"
+
     def write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
         delivery.append_changelog_json(changes, f"{self.root}/run={run}/batch={batch_id}", "overwrite")
-        self.mark(changes, run, batch_id)
+
+    def delivered(self, spark: SparkSession, run: str, batch_id: int) -> DataFrame | None:
+        others = self._others(_read(spark, self.root, self._columns, "text"), run, batch_id)
+        return None if others is None else others.select(F.get_json_object("value", "$._event_id").alias("_event_id"))
+
+    def read(self, spark: SparkSession, catalog: Catalog) -> DataFrame | None:
+        lines = _read(spark, self.root, self._columns, "text")
+        if lines is None:
+            return None
+        return lines.withColumn("m", F.from_json("value", _LINE)).select(
+            F.concat_ws(".", "source", "database", "table").alias("table_ref"), F.col("m._op").alias("op"),
+            F.get_json_object("value", "$._key").alias("key"), F.col("value").alias("payload"), F.col("m._seq").alias("sequence"),
+            F.col("m._event_id").alias("event_id"), F.col("m._repair_id").alias("repair_id"),
+            F.col("m._origin").alias("origin"), F.col("m._partition").alias("partition"), F.col("m._offset").alias("offset"))
 
 
 class TableLog(_FileDestination):
-    """Append-only typed tables, one per contract, partitioned by day.
+    """Append-only typed tables, one for each contract, partitioned by day.
 
-    All tables of a batch are written in one pass each over a persisted batch;
-    tables that the batch does not touch are not written.
+    Changes of a table without a contract have no columns to be stored in; they are kept in
+    ``_unrouted``, not counted as delivered, and delivered when they come again after the
+    contract (``unrouted`` reads them).
     """
 
     def write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
-        # distinct table names of a batch: bounded by the contract catalogue
-        touched = {r["table_ref"] for r in changes.select("table_ref").distinct().collect()}
-        for ref in sorted(touched & set(catalog.contracts)):
-            delivery.append_changelog_table(
-                changes, catalog.contracts[ref], f"{self.root}/{ref}/run={run}/batch={batch_id}", "overwrite")
-        self.mark(changes, run, batch_id)
+        place = f"run={run}/batch={batch_id}"
+        contracts = catalog.contracts_df(changes.sparkSession).select(F.col("contract_key").alias("table_ref"))
+        # at most as many rows as the catalogue has contracts
+        touched = changes.join(contracts, "table_ref", "left_semi").select("table_ref").distinct().collect()
+        for ref in sorted(row.table_ref for row in touched):
+            folder = delivery.table_folder(*ref.split(".", 2))
+            delivery.append_changelog_table(changes, catalog.contracts[ref], f"{self.root}/table={folder}/{place}", "overwrite")
+        changes.join(contracts, "table_ref", "left_anti").write.mode("overwrite").parquet(f"{self.root}/_unrouted/{place}")
+
+    def delivered(self, spark: SparkSession, run: str, batch_id: int) -> DataFrame | None:
+        others = self._others(_read(spark, self.root, "_event_id string, `table` string, dt date"), run, batch_id)
+        return None if others is None else others.select("_event_id")
+
+    def unrouted(self, spark: SparkSession) -> DataFrame:
+        """Changes of tables without a contract."""
+        return spark.read.parquet(f"{self.root}/_unrouted")
+
+    def read(self, spark: SparkSession, catalog: Catalog) -> DataFrame | None:
+        out = None
+        for ref, contract in sorted(catalog.contracts.items()):
+            schema = delivery.contract_to_schema(contract)
+            folder = delivery.table_folder(*ref.split(".", 2))
+            rows = _read(spark, f"{self.root}/table={folder}", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
+            if rows is None:
+                continue
+            text = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+            one = rows.select(
+                F.lit(ref).alias("table_ref"), F.col("_op").alias("op"), text(contract.primary_key).alias("key"),
+                text(list(contract.fields)).alias("payload"), F.col("_seq").alias("sequence"),
+                *[F.col(f"_{c}").alias(c) for c in _CHANGE[5:]])
+            out = one if out is None else out.unionByName(one)
+        return out
 
 
 class CurrentState(_FileDestination):
-    """Current rows per key, kept as a log of each batch's newest changes."""
+    """Current rows per key, kept as a log of each batch's newest changes.
+
+    Repeated and late changes do not alter the newest row, so no ledger is needed.
+    """
 
     option = "path"
 
     def write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
-        delivery.latest_per_key(changes).write.mode("overwrite").parquet(
-            f"{self.root}/log/run={run}/batch={batch_id}")
-        self.mark(changes, run, batch_id)
+        delivery.latest_per_key(changes).write.mode("overwrite").parquet(f"{self.root}/log/run={run}/batch={batch_id}")
 
-    def read(self, spark: SparkSession, with_deleted: bool = False) -> DataFrame:
+    def read(self, spark: SparkSession, catalog: Catalog | None = None, with_deleted: bool = False) -> DataFrame:
         """Newest change per key over all batches."""
         log = spark.read.option("basePath", f"{self.root}/log").parquet(f"{self.root}/log").drop(*RUN_COLUMNS)
         state = delivery.latest_per_key(log)
         return state if with_deleted else delivery.current_view(state)
 
+    def compact(self, spark: SparkSession) -> None:
+        """Replace the batches of the log by one that holds the newest change per key.
+
+        The new batch is written before the old ones go, and both together mean the same, so a
+        stop in between does no harm.  Batches that arrive meanwhile stay.
+        """
+        log = spark.read.option("basePath", f"{self.root}/log").parquet(f"{self.root}/log")
+        held = log.select(*RUN_COLUMNS).distinct().collect()  # one row per batch since the last time
+        delivery.latest_per_key(log.drop(*RUN_COLUMNS)).write.parquet(f"{self.root}/log/run=compact-{uuid.uuid4().hex}/batch=0")
+        for row in held:
+            drop_shared(spark, f"{self.root}/log/run={row.run}/batch={row.batch}")
+
 
 DESTINATION_TYPES: dict[str, type[Destination]] = {
     "current": CurrentState, "json_log": JsonLog, "table_log": TableLog}
@@ -146,30 +218,124 @@ def build_destination(config: DestinationConfig) -> Destination:
 
 
 def start_delivery(changes: DataFrame, config: DestinationConfig, catalog: Catalog, checkpoint: str,
-                   destination: Destination | None = None, **trigger: Any) -> StreamingQuery:
+                   destination: Destination | None = None, attempts: str | None = None, **trigger: Any) -> StreamingQuery:
     """Deliver a change stream to one destination.
 
     Each destination is its own query with its own checkpoint, so a failing one
-    neither blocks nor loses data of the others.
+    neither blocks nor loses data of the others.  ``attempts`` names a folder for the
+    counts that ``observe.delivery_stats`` reads.
     """
     target = destination or build_destination(config)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = query_id(spark, checkpoint)
-        mine = delivery.dedupe_batch(delivery.route_to(batch, config))
+        mine = delivery.route_to(batch, config).persist()
         held = target.delivered(spark, run, batch_id)
-        new = (mine if held is None else delivery.drop_delivered(mine, held)).persist()
+        once = delivery.dedupe_batch(mine)
+        new = (once if held is None else delivery.drop_delivered(once, held)).persist()
         try:
             target.write(new, catalog, run, batch_id)
+            if attempts:
+                n, n_new = mine.count(), new.count()
+                _attempted(spark, config.name, {"delivered": n_new, "duplicate": n - n_new}, f"{attempts}/run={run}/batch={batch_id}")
+        except Exception:
+            if attempts:
+                _attempted(spark, config.name, {"failed_batch": 1}, f"{attempts}/run={run}-{uuid.uuid4().hex}/batch={batch_id}")
+            raise
         finally:
             new.unpersist()
+            mine.unpersist()
 
     if not trigger:
         trigger = {"processingTime": f"{config.max_batch_wait_seconds} seconds"}
     return _start(changes, run_batch, checkpoint, trigger, name=f"deliver-{config.name}")
 
 
+def _attempted(spark: SparkSession, destination: str, results: dict[str, int], path: str) -> None:
+    rows = [(destination, result, n) for result, n in results.items()]
+    spark.createDataFrame(rows, "destination string, result string, changes bigint").withColumn(
+        "delivered_at", F.unix_millis(F.current_timestamp())).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_destinations(spark: SparkSession, destinations: list[Destination], catalog: Catalog) -> DataFrame | None:
+    """Change records of all stored destinations, with ``destination``; for ``lookup_key`` and ``row_counts``."""
+    out = None
+    for target in destinations:
+        stored = target.read(spark, catalog)
+        if stored is not None:
+            one = stored.select(F.lit(target.name).alias("destination"), *_CHANGE)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- repair ---------------------------------------------------------------------------------
+
+
+class RepairState:
+    """What a repair stream remembers: waiting dead letters, decisions and approved repairs, as tables below a folder."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def _table(self, spark: SparkSession, name: str, before: tuple[str, int] | None) -> DataFrame | None:
+        try:
+            found = spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}")
+        except Exception as exc:
+            if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+                return None
+            raise
+        if before is not None:  # a replayed batch does not see what it wrote itself
+            found = found.filter(~((F.col("run") == before[0]) & (F.col("batch").cast("bigint") == before[1])))
+        return found.drop(*RUN_COLUMNS)
+
+    def decisions(self, spark: SparkSession, before: tuple[str, int] | None = None) -> DataFrame | None:
+        return self._table(spark, "decisions", before)
+
+    def approved(self, spark: SparkSession, before: tuple[str, int] | None = None) -> DataFrame | None:
+        """The approved repair of each shape; of several the first approved one."""
+        found = self._table(spark, "approved", before)
+        return None if found is None else first_per(found, ["fingerprint"], [F.col("approved_repair_id")])
+
+    def waiting(self, spark: SparkSession, before: tuple[str, int] | None = None) -> DataFrame | None:
+        return self._table(spark, "waiting", before)
+
+
+def start_repair(dlq: DataFrame, propose: Callable[[DataFrame], DataFrame], catalog: Catalog, out: str, checkpoint: str,
+                 settings: repair.RepairSettings = repair.RepairSettings(), **trigger: Any) -> StreamingQuery:
+    """Decide a stream of dead letters: ``out/repaired``, ``out/audit`` and the state below ``out``.
+
+    ``propose`` turns repair requests into proposals.  Events without a final decision wait and
+    are tried again with every batch; approved repairs serve later events of the same shape.
+    """
+    state = RepairState(out)
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = query_id(spark, checkpoint)
+        me = (run, batch_id)
+        decisions, waiting = state.decisions(spark, me), state.waiting(spark, me)
+        every = batch if waiting is None else batch.unionByName(waiting, allowMissingColumns=True)
+        pending = repair.pending_dlq(every, decisions).persist()
+        decided = repair.repair(pending, propose(proposals.repair_requests(pending)), catalog,
+                                approved=state.approved(spark, me), settings=settings).persist()
+        open_ids = decided.filter(~F.col("status").isin(*fixed.TERMINAL_STATUSES)).select("event_id")
+        outputs = {
+            "repaired": repair.to_repaired(decided, settings), "audit": repair.to_audit(decided, settings),
+            "decisions": repair.record_decisions(decided), "approved": repair.approve_repairs(decided),
+            "waiting": pending.join(open_ids, "event_id", "left_semi")}
+        try:
+            for name, frame in outputs.items():
+                frame.write.mode("overwrite").parquet(f"{out}/{name}/run={run}/batch={batch_id}")
+            # each batch lists all that still waits; a replay needs the batch before, none needs older ones
+            drop_shared(spark, f"{out}/waiting/run={run}/batch={batch_id - 2}")
+        finally:
+            decided.unpersist()
+            pending.unpersist()
+
+    return _start(dlq, run_batch, checkpoint, trigger, name="repair")
+
+
 def _start(frame: DataFrame, run_batch, checkpoint: str, trigger: dict[str, Any],
            name: str | None = None) -> StreamingQuery:
     writer = frame.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
@@ -178,5 +344,5 @@ def _start(frame: DataFrame, run_batch, checkpoint: str, trigger: dict[str, Any]
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-__all__ = ["CurrentState", "Destination", "JsonLog", "TableLog", "build_destination",
-           "query_id", "start_delivery", "start_validation"]
+__all__ = ["CurrentState", "Destination", "JsonLog", "RepairState", "TableLog", "build_destination",
+           "query_id", "read_destinations", "start_delivery", "start_repair", "start_validation"]
