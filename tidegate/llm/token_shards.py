@@ -126,9 +126,10 @@ def shards(docs: DataFrame, ranks_path: str, pattern: str, *, end: int, seed: in
                 [pa.array(order.slot(number[which] + part)), batch.column(0).take(pa.array(which)), pa.array(part),
                  pa.array(records, pa.binary())], names=placed_schema.names)
 
-    placed = numbered.mapInArrow(place, placed_schema).withColumn("shard", F.expr(f"slot div {SHARD}"))
+    placed = numbered.mapInArrow(place, placed_schema).withColumn("block", F.expr(f"slot div {BLOCK}"))
     ranges = max(1, -(-total // SHARD))
-    ordered = placed.repartitionByRange(ranges, "shard").sortWithinPartitions("slot")
+    # ranges of whole blocks: a shard has many, so the sampled bounds deal them out evenly
+    ordered = placed.repartitionByRange(ranges, "block").sortWithinPartitions("slot")
     key_type = placed_schema["key"].dataType
     schema = (spark.createDataFrame([], "shard long, first_slot long, n long, stride long, payload binary").schema
               .add("keys", ArrayType(key_type)).add("parts", ArrayType(LongType())).add("lengths", ArrayType(LongType())))
