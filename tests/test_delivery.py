@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import ON_HAND, PRODUCTS, SCOOTER, envelope, log
+from tests.helpers import ON_HAND, PRODUCTS, LAMP, envelope, log
 from tidegate.operators import clean, delivery as dl, observe, proposals, repair
 from tidegate.operators.routing import route_changes, to_dlq, to_validated, with_reports
 from tidegate.sources import catalog as cat
@@ -72,7 +72,7 @@ def test_sequences(spark):
 
 def test_changes_from_both_topics(spark):
     routed = route_changes(log(spark, [
-        envelope("products", SCOOTER, columns=PRODUCTS, pos=10), envelope("products", None, op="t"),
+        envelope("products", LAMP, columns=PRODUCTS, pos=10), envelope("products", None, op="t"),
         envelope("products_on_hand", {"product_id": 5, "quantity": 2}, columns=ON_HAND, pos=20)],
         [{"id": 101}, None, None]), CATALOG)
     validated = to_validated(routed)
@@ -375,7 +375,7 @@ def test_contract_versions(spark):
 
 
 def test_counts_and_lineage(spark):
-    values = [envelope("products", SCOOTER, columns=PRODUCTS, pos=1), b"oops", None]
+    values = [envelope("products", LAMP, columns=PRODUCTS, pos=1), b"oops", None]
     routed = route_changes(log(spark, values), CATALOG)
     counts = {(r.source, r.outcome): r.messages for r in observe.outcome_counts(with_reports(routed)).collect()}
     assert counts == {("cdc:inventory.products", "validated"): 1, ("unknown", "dlq:MALFORMED_JSON"): 1,

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidegate import fixed_values as fixed
 from tidegate.functions import jsonvalue as jv
-from tidegate.functions.binding import fence
+from tidegate.functions.binding import fence, seal
 from tidegate.functions.text import safe_name
 from tidegate.operators.drift import resolve_source
 from tidegate.operators.joins import first_per, log_order
@@ -108,7 +108,7 @@ def _changes(validated: DataFrame, repaired: DataFrame, catalog: Catalog) -> Dat
             "payload", source_sequence(F.col("source_metadata"), F.col("ts_ms")).alias("sequence"),
             "origin", "repair_id", "correlation_id", "contract_id",
             F.coalesce(meta("ts_ms").try_cast("bigint"), F.col("ts_ms")).alias("source_ts_ms"),
-            "topic", "partition", "offset")
+            "topic", "partition", "offset").transform(lambda df: seal(df, ["key", "sequence"]).select(*df.columns))
 
 
 def dedupe_batch(changes: DataFrame, by: list[str] | None = None) -> DataFrame:

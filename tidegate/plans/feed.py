@@ -42,12 +42,14 @@ def schema_json(columns: dict[str, tuple]) -> str:
         {"type": "struct", "field": "source", "fields": []}, {"type": "string", "field": "op"}]})
 
 
-def _object(**members: Column) -> Column:
+def json_object(**members: Column) -> Column:
+    """The members as JSON text, nulls included."""
     return F.to_json(F.struct(*[c.alias(n) for n, c in members.items()]), {"ignoreNullFields": "false"})
 
 
-def _envelope(schema: str, table: str, op: str, after: Column, before: Column | None = None) -> Column:
-    source = _object(
+def envelope(schema: str, table: str, op: str, after: Column, before: Column | None = None) -> Column:
+    """A change message about the row with ``p_partkey``, as JSON text."""
+    source = json_object(
         version=F.lit("3.0"), connector=F.lit("mysql"), name=F.lit("cdc"), ts_ms=F.lit(TS_MS),
         snapshot=F.lit("false"), db=F.lit("inventory"), table=F.lit(table),
         file=F.lit("mysql-bin.000003"), pos=F.col("p_partkey"), row=F.lit(0), gtid=F.lit(None).cast("string"))
@@ -64,31 +66,31 @@ def part_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     product = dict(id=pk, name=F.col("p_name"), description=F.col("p_type"), weight=F.col("p_retailprice"))
     no_weight = {k: v for k, v in product.items() if k != "weight"}
     on_hand = dict(product_id=pk, quantity=size)
-    renamed = lambda n: _object(product_id=pk, stock_quantity=n)
+    renamed = lambda n: json_object(product_id=pk, stock_quantity=n)
     wide = dict(_ON_HAND, quantity=("int64", "BIGINT", None, False))
     p_schema, h_schema = schema_json(_PRODUCTS), schema_json(_ON_HAND)
     value = (
-        F.when(pk % 20 == 0, _envelope(p_schema, "products", "c", _object(**product)))
-        .when(pk % 20 == 10, _envelope(h_schema, "products_on_hand", "c", _object(**on_hand)))
-        .when(pk % 10 == 1, _envelope(
+        F.when(pk % 20 == 0, envelope(p_schema, "products", "c", json_object(**product)))
+        .when(pk % 20 == 10, envelope(h_schema, "products_on_hand", "c", json_object(**on_hand)))
+        .when(pk % 10 == 1, envelope(
             schema_json({"product_id": _ON_HAND["product_id"], "stock_quantity": _ON_HAND["quantity"]}),
             "products_on_hand", "u", renamed(size), renamed(size + 1)))
-        .when(pk % 10 == 2, _envelope(
+        .when(pk % 10 == 2, envelope(
             schema_json(dict(_PRODUCTS, supplier_code=("string", "VARCHAR", 64, True))),
-            "products", "c", _object(**product, supplier_code=F.col("p_brand"))))
-        .when(pk % 10 == 3, _envelope(schema_json(wide), "products_on_hand", "c", _object(**on_hand)))
-        .when(pk % 10 == 4, _envelope(
+            "products", "c", json_object(**product, supplier_code=F.col("p_brand"))))
+        .when(pk % 10 == 3, envelope(schema_json(wide), "products_on_hand", "c", json_object(**on_hand)))
+        .when(pk % 10 == 4, envelope(
             schema_json({k: v for k, v in _PRODUCTS.items() if k != "weight"}),
-            "products", "c", _object(**no_weight)))
-        .when(pk % 10 == 5, _envelope(
-            p_schema, "products", "c", _object(**dict(product, name=F.lit(None).cast("string")))))
+            "products", "c", json_object(**no_weight)))
+        .when(pk % 10 == 5, envelope(
+            p_schema, "products", "c", json_object(**dict(product, name=F.lit(None).cast("string")))))
         .when(pk % 10 == 6, F.concat(F.lit('{"payload": '), pk.cast("string"), F.lit(" broken")))
-        .when(pk % 10 == 7, _envelope(p_schema, "unlisted", "c", _object(**product)))
-        .when(pk % 10 == 8, _envelope(p_schema, "products", "t", F.lit("null")))
+        .when(pk % 10 == 7, envelope(p_schema, "unlisted", "c", json_object(**product)))
+        .when(pk % 10 == 8, envelope(p_schema, "products", "t", F.lit("null")))
     )
     key = F.when(pk % 10 == 8, F.lit(None).cast("string")).when(
-        (pk % 10).isin(1, 3) | (pk % 20 == 10), _object(product_id=pk)
-    ).otherwise(_object(id=pk))
+        (pk % 10).isin(1, 3) | (pk % 20 == 10), json_object(product_id=pk)
+    ).otherwise(json_object(id=pk))
     return part.select(
         key.cast("binary").alias("key"), value.cast("binary").alias("value"),
         F.lit(TOPIC).alias("topic"), (pk % 3).cast("int").alias("partition"), pk.alias("offset"),
@@ -104,8 +106,8 @@ def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("event_id"),
         F.lit("app").alias("source"), F.lit("web").alias("database"), F.lit("users").alias("table"),
         F.lit("app.web.users").alias("table_ref"), op.alias("op"),
-        _object(user_id=F.col("user_id")).alias("key"),
-        _object(user_id=F.col("user_id"), value=F.col("value"), event_type=F.col("event_type")).alias("payload"),
+        json_object(user_id=F.col("user_id")).alias("key"),
+        json_object(user_id=F.col("user_id"), value=F.col("value"), event_type=F.col("event_type")).alias("payload"),
         F.col("event_id").cast("decimal(38,0)").alias("sequence"),
         F.when(F.col("event_id") % 7 == 0, "repaired").otherwise("validated").alias("origin"),
         F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("rep-"), F.col("event_id").cast("string"))).alias("repair_id"),

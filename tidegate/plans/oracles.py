@@ -194,6 +194,23 @@ ORACLES: dict[str, str] = {
         f"SELECT '{c}' AS column_name, '{t}' AS sql_type, max(abs({c}))::BIGINT AS max_abs, "
         f"max(abs({c})) <= {fixed.INTEGER_LIMITS[t]} AS fits FROM lineitem"
         for c in ("l_orderkey", "l_quantity", "l_suppkey") for t in ("TINYINT", "SMALLINT", "INT")),
+    "drift_summaries": f"""WITH {_FEED} SELECT p_partkey AS "offset", drift AS drift_type, false AS ambiguous,
+        CASE WHEN c = 1 THEN 0.956 ELSE 1.0 END::DOUBLE AS confidence, (c IN (1, 4))::INT AS missing, (c IN (1, 2))::INT AS unexpected,
+        (c = 3)::INT AS type_changes, (c = 5)::INT AS null_changes, (c = 1)::INT AS renames FROM feed WHERE c BETWEEN 1 AND 5""",
+    "long_keys": """SELECT doc_id, md5('{' || text || doc_id) AS key_hash, n_chars AS quantity FROM documents""",
+    "long_dead_letters": """SELECT doc_id, 'MALFORMED_ENVELOPE' AS reason, (3 * length(text))::INT AS chars, md5(repeat(text, 3)) AS hash
+        FROM documents""",
+    "large_positions": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 9300000000000000000::HUGEINT + event_id
+        ELSE 2000000000000000::HUGEINT + (10000000000000000000::HUGEINT + event_id) * 1000 END::VARCHAR AS sequence FROM events""",
+    "wide_table_repairs": """SELECT s_suppkey, 'REPAIRED' AS status, 130::INT AS mapped, true AS long_mapping FROM supplier""",
+    "stored_log": f"""WITH {_FEED} SELECT CASE c WHEN 0 THEN 'validated' WHEN 6 THEN 'dlq:MALFORMED_JSON' WHEN 7 THEN 'dlq:UNKNOWN_SCHEMA'
+          WHEN 8 THEN 'validated:control' WHEN 9 THEN 'skipped:tombstone' ELSE 'dlq:SCHEMA_DRIFT' END AS outcome,
+        count(*) AS messages FROM feed GROUP BY ALL""",
+    "proposal_test_cases": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END::INT AS passed,
+        CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 2 END::INT AS total FROM part""",
+    "stored_destinations": f"""WITH {_FEED} SELECT destination, 'inventory.inventory.' || tbl AS table_ref, op, count(*) AS changes,
+        max(3000000000000000 + p_partkey * 1000) AS last
+        FROM feed, (VALUES ('current'), ('json_log'), ('table_log')) AS t(destination) WHERE {_DELIVERABLE} GROUP BY ALL""",
     "decisions": f"""WITH {_FEED} SELECT p_partkey AS "offset",
         CASE c WHEN 6 THEN 'MALFORMED_JSON' WHEN 7 THEN 'UNKNOWN_SCHEMA' ELSE 'SCHEMA_DRIFT' END AS reason,
         {_STATUS} AS status, CASE WHEN c IN (1, 2, 3) THEN 'LOW' ELSE 'MEDIUM' END AS risk,

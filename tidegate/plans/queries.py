@@ -5,6 +5,7 @@ Plans that several queries share are built once per session and data folder.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -16,11 +17,13 @@ from tidegate.functions import jsonvalue as jv
 from tidegate.functions.text import stable_quantity, weight_to_kg
 from tidegate.operators import checks, clean, delivery, drift, envelope, observe, proposals, repair, routing
 from tidegate.plans import feed
-from tidegate.plans.staging import staged
+from tidegate.plans.staging import shared_folder, staged, write_shared
 from tidegate.sources import catalog as cat
 from tidegate.sources.catalog import Catalog
+from tidegate.sources.changelog import read_change_log
 from tidegate.sources.destinations import DestinationConfig
 from tidegate.functions.sqltypes import TypeMatrix
+from tidegate.streaming import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,9 +241,111 @@ def narrow_fits(spark, sf_dir):
     return fits.withColumn("max_abs", F.col("max_abs").cast("bigint"))
 
 
+@query
+def drift_summaries(spark, sf_dir):
+    """What is told of a drift without values of the row."""
+    summary = dead_letters(spark, sf_dir).filter("drift_report IS NOT NULL").select("offset", "drift_report.*").select(
+        "offset", drift.drift_summary().alias("s"))
+    return summary.select(
+        "offset", "s.drift_type", "s.ambiguous", "s.confidence", F.size("s.missing_fields").alias("missing"),
+        F.size("s.unexpected_fields").alias("unexpected"), F.size("s.type_mismatches").alias("type_changes"),
+        F.size("s.nullability_changes").alias("null_changes"), F.size("s.possible_renames").alias("renames"))
+
+
+# --- nothing is cut -------------------------------------------------------------------------
+
+
+def _long_feed(spark, sf_dir):
+    """A stock change per document; the key is the whole text and no JSON."""
+    docs = table(spark, sf_dir, "documents").withColumns({"p_partkey": F.col("doc_id"), "p_size": F.col("n_chars")})
+    row = feed.json_object(product_id=F.col("doc_id"), quantity=F.col("n_chars"))
+    columns = {"product_id": ("int32", "INT", None, False), "quantity": ("int32", "INT", None, False)}
+    value = feed.envelope(feed.schema_json(columns), "products_on_hand", "c", row)
+    key = F.concat(F.lit("{"), "text", F.col("doc_id").cast("string"))
+    return docs.select(key.cast("binary").alias("key"), value.cast("binary").alias("value"), F.lit(feed.TOPIC).alias("topic"),
+                       F.lit(0).alias("partition"), F.col("doc_id").alias("offset"), F.lit(None).cast("timestamp").alias("timestamp"))
+
+
+@query
+def long_keys(spark, sf_dir):
+    """Keys of any length stay apart: one current row for each."""
+    validated = routing.to_validated(routing.route_changes(_long_feed(spark, sf_dir), default_catalog()))
+    none = validated.filter(F.lit(False)).drop("schema_notice")
+    current = delivery.latest_per_key(delivery.to_changes(validated, none, default_catalog()))
+    return current.select(F.col("offset").alias("doc_id"), F.md5(F.get_json_object("key", "$.raw_key")).alias("key_hash"),
+                          F.get_json_object("payload", "$.quantity").cast("bigint").alias("quantity"))
+
+
+@query
+def long_dead_letters(spark, sf_dir):
+    """JSON that is no envelope, of three times the text, comes back whole."""
+    docs = table(spark, sf_dir, "documents").withColumn("long", F.to_json(F.struct(F.repeat("text", 3).alias("said"))))
+    log = docs.select(F.lit(None).cast("binary").alias("key"), F.col("long").cast("binary").alias("value"), F.lit("d").alias("topic"),
+                      F.lit(0).alias("partition"), F.col("doc_id").alias("offset"), F.lit(None).cast("timestamp").alias("timestamp"))
+    said = F.get_json_object("raw_event", "$.said")
+    return routing.to_dlq(routing.route_changes(log, default_catalog())).select(
+        F.col("offset").alias("doc_id"), "reason", F.length(said).alias("chars"), F.md5(said).alias("hash"))
+
+
+@query
+def large_positions(spark, sf_dir):
+    """Log numbers of 19 digits and positions beyond 63 bits are ordered, not lost."""
+    e = F.col("event_id")
+    whole = lambda c: c.cast("decimal(38,0)").cast("string")
+    meta = F.when(e % 2 == 0, F.create_map(F.lit("lsn"), whole(F.lit("9300000000000000000").cast("decimal(20,0)") + e))).otherwise(
+        F.create_map(F.lit("file"), F.lit("log.000002"), F.lit("pos"), whole(F.lit("10000000000000000000").cast("decimal(20,0)") + e)))
+    return table(spark, sf_dir, "events").select(
+        "event_id", delivery.source_sequence(meta, F.lit(1).cast("bigint")).cast("string").alias("sequence"))
+
+
+WIDE = [f"measured_value_of_sensor_number_{i:03}" for i in range(130)]
+
+
+@query
+def wide_table_repairs(spark, sf_dir):
+    """A row of 130 long-named columns and one new one is repaired."""
+    document = {"type": "object", "properties": {n: {"type": "integer", "x-sql-type": "BIGINT"} for n in WIDE},
+                "required": WIDE, "additionalProperties": False}
+    contracts = Catalog.from_documents({"sources": {"wide": {"engine": "mysql", "database": "wide", "topic_prefix": "cdc", "tables": [
+        {"name": "sensors", "primary_key": [WIDE[0]], "contract": "d"}]}}}, {"d": document})
+    rows = table(spark, sf_dir, "supplier").withColumn("p_partkey", F.col("s_suppkey"))
+    row = feed.json_object(**{n: F.col("s_suppkey") + i for i, n in enumerate(WIDE)}, added=F.col("s_name"))
+    value = F.replace(feed.envelope("{}", "sensors", "c", row), F.lit('"db":"inventory"'), F.lit('"db":"wide"'))
+    log = rows.select(F.lit(None).cast("binary").alias("key"), value.cast("binary").alias("value"), F.lit("w").alias("topic"),
+                      F.lit(0).alias("partition"), F.col("s_suppkey").alias("offset"), F.lit(None).cast("timestamp").alias("timestamp"))
+    dlq = staged(routing.to_dlq(routing.route_changes(log, contracts), contracts.matrix), "wide")
+    found = proposals.propose_from_report(proposals.repair_requests(dlq), contracts)
+    done = repair.repair(repair.pending_dlq(dlq), found, contracts)
+    return done.select(F.col("offset").alias("s_suppkey"), "status", F.size("chosen.proposal.mapping").alias("mapped"),
+                       (F.length(F.to_json("chosen.proposal.mapping")) > 8000).alias("long_mapping"))
+
+
+@query
+def stored_log(spark, sf_dir):
+    """The feed as a stored log, read back and routed."""
+    path = write_shared(feed.part_feed(spark, sf_dir), "log")
+    return routing.route_changes(read_change_log(spark, path), default_catalog()).groupBy("outcome").agg(F.count("*").alias("messages"))
+
+
 # --- repair ---------------------------------------------------------------------------------
 
 
+@query
+def proposal_test_cases(spark, sf_dir):
+    """A proposal's own cases: how many hold under its mapping."""
+    pk = F.col("p_partkey")
+    case = lambda out: F.struct(
+        F.create_map(F.lit("stock"), F.col("p_size").cast("string"), F.lit("other"), F.col("p_name")).alias("input"),
+        F.create_map(F.lit("quantity"), out).alias("expected_output"))
+    cases = F.array(case(F.col("p_size").cast("string")), case(F.when(pk % 3 == 0, F.col("p_name")).otherwise(F.col("p_size").cast("string"))))
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.create_map(F.lit("quantity"), F.lit("stock")).alias("mapping"),
+        F.when(pk % 5 == 0, F.slice(cases, 1, 0)).otherwise(cases).alias("test_cases"))
+    return checks.check_test_cases(rows).select("p_partkey", F.col("test_result.passed").alias("passed"),
+                                                F.col("test_result.total").alias("total"))
+
+
+
 @query
 def decisions(spark, sf_dir):
     return decided(spark, sf_dir).select(
@@ -507,6 +612,19 @@ def source_sequences(spark, sf_dir):
         "event_id", delivery.source_sequence(meta, F.lit(7).cast("bigint")).cast("string").alias("sequence"))
 
 
+@query
+def stored_destinations(spark, sf_dir):
+    """What destinations hold after delivery, those of typed tables only under contract."""
+    changes = clean_changes(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/destinations-{uuid.uuid4().hex}"
+    targets = [pipelines.build_destination(DestinationConfig(kind, kind, options={option: f"{folder}/{kind}"}))
+               for kind, option in (("current", "path"), ("json_log", "root"), ("table_log", "root"))]
+    for target in targets:
+        target.write(changes, default_catalog(), "once", 0)
+    return pipelines.read_destinations(spark, targets, default_catalog()).groupBy("destination", "table_ref", "op").agg(
+        F.count("*").alias("changes"), F.max("sequence").cast("bigint").alias("last"))
+
+
 # --- observe ------------------------------------------------------------------------------------
 
 
