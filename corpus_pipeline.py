@@ -5,7 +5,8 @@ folder and read by the next. All but the last filter or rewrite documents:
 
 1. language: documents without letters, or of which under half of the trigrams belong to their
    predicted language, go. The filters learn from the documents whose ids are not held out.
-2. line_dedup: lines that are boilerplate on their source go from the text; ``n_chars`` follows.
+2. line_dedup: lines that are boilerplate on their source go from the text; ``n_chars`` follows. Copies
+   and near copies weigh as one page, so a group of them is left whole for the next stage.
 3. near_duplicates: of each group of near copies the document with the smallest id stays.
 4. decontaminate: documents that repeat benchmark items for a word in twenty or more go.
 5. byte_bpe: the token ids of each text, as digests with their round trip.
@@ -30,7 +31,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    lines = line_dedup.drop_boilerplate(docs, docs.source)
+    lines = line_dedup.drop_boilerplate(docs, docs.source, by_group=True)
     return lines.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

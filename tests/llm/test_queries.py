@@ -30,6 +30,20 @@ def test_near_duplicates_of_the_whole_table(spark):
     assert got == {d: (f"{prints[d]:016x}", label[d]) for d in prints}
 
 
+def test_a_large_copy_group_leaves_one_whole_document(spark):
+    own = lambda i, n=3: [" ".join(f"w{i}x{j}y{k}" for k in range(9)) for j in range(n)]
+    pages = [["menu", *own(i)] for i in range(60)] + [own(i) for i in range(60, 300)]
+    copied, near = "\n".join(own(1000)), own(2000, 60)
+    texts = ["\n".join(p) for p in pages] + [copied] * 150 + ["\n".join([*near[:-1], f"{near[-1]} n{i}"]) for i in range(90)]
+    texts += ["menu"] * 30 + [None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, SF)
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert left == {i: "\n".join(own(i)) for i in range(300)} | {300: copied, 450: texts[450], 540: "menu", 570: None}
+
+
 def test_stages_filter_and_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     n = [docs.count()]

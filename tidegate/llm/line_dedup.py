@@ -11,8 +11,13 @@ list of their host in a join for which Spark knows that table's size: it is broa
 ``spark.sql.autoBroadcastJoinThreshold``, and otherwise pages are shuffled by host, where Spark
 splits hosts that are too large for a task.
 
+With ``by_group`` copies and near copies (by ``simhash``) of one host weigh as one page, in the count
+of a line and in that of the host, so that a line's share says on how many different pages it is. A
+page that would keep no line but blank ones is then left as it is: it is a copy of others' lines and
+not a page around boilerplate. On a host of fewer than ``least`` pages or groups no line goes.
+
 Defined results: a null text stays null and an empty one empty; blank lines are kept; a page all
-of whose lines go keeps an empty text; a null host is a host of its own; repeated rows are pages
+of whose lines go keeps an empty text (without ``by_group``); a null host is a host of its own; repeated rows are pages
 of their own; an empty table gives an empty result; other columns are passed on under any names.
 """
 
@@ -21,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm import simhash
 from tidegate.plans.staging import staged
 
 RATIO = 0.02
@@ -37,27 +43,41 @@ def _line_key(line: Column) -> Column:
     return F.when(trimmed != "", F.unhex(F.md5(trimmed)))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def _line_keys(text: Column) -> Column:
+    return F.array_distinct(F.transform(_lines(text), _line_key))
+
+
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST,
+                by_group: bool = False) -> DataFrame:
     """``host``, ``line`` (its key), pages with the line, pages of the host: lines above the ratio."""
-    lines = pages.select(host.alias("host"), F.explode(F.array_distinct(F.transform(_lines(text), _line_key))).alias("line"))
+    if by_group:
+        own = pages.select(host.alias("host"), _line_keys(text).alias("lines"), text.alias("text"))
+        groups = simhash.near_duplicates(own, keys=["host", "lines"])
+        lines = groups.select("host", "group_fp", F.explode("lines").alias("line")).distinct()
+        one_each = groups.select(F.col("host").alias("of_host"), "group_fp").distinct()
+    else:
+        lines = pages.select(host.alias("host"), F.explode(_line_keys(text)).alias("line"))
+        one_each = pages.select(host.alias("of_host"))
     counts = lines.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n_pages"))
-    totals = pages.groupBy(host.alias("of_host")).agg(F.count("*").alias("host_pages"))
+    totals = one_each.groupBy("of_host").agg(F.count("*").alias("host_pages"))
     frequent = counts.where(F.col("n_pages") >= least)
     return (frequent.join(totals, F.col("host").eqNullSafe(F.col("of_host")))
             .where(F.col("n_pages") > ratio * F.col("host_pages")).select("host", "line", "n_pages", "host_pages"))
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, *, text: str = "text", ratio: float = RATIO, least: int = LEAST,
-                     counts: tuple[str, str] | None = None) -> DataFrame:
+                     counts: tuple[str, str] | None = None, by_group: bool = False) -> DataFrame:
     """All columns, the text without the boilerplate lines of its host.
 
     ``counts`` names two more columns: the lines of the text, and how many of them went.
     """
-    by_host = staged(boilerplate(pages, host, pages[text], ratio, least).groupBy("host")
+    by_host = staged(boilerplate(pages, host, pages[text], ratio, least, by_group).groupBy("host")
                      .agg(F.collect_set("line").alias("lines")), "boilerplate")
     joined = pages.join(by_host, host.eqNullSafe(by_host["host"]), "left")
     lines = _lines(pages[text])
     kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(by_host["lines"], _line_key(line)), F.lit(False)))
+    if by_group:
+        kept = F.when(F.exists(kept, lambda line: F.trim(line) != ""), kept).otherwise(lines)
     split = joined.select(*(pages[c] for c in pages.columns), lines.alias("__lines"), kept.alias("__kept"))
     out = [F.array_join("__kept", "\n").alias(c) if c == text else pages[c] for c in pages.columns]
     if counts:
