@@ -68,6 +68,15 @@ def test_contamination(spark, doc_table, monkeypatch, small):
     assert sorted(map(repr, kept)) == sorted(repr(r) for r in doc_table.collect() if r.doc_id not in gone)
 
 
+def test_only_judged_rows_go(spark):
+    rows = [(None, ITEM, "x"), (None, "clean without an id", "x"), (None, None, "x"), (None, "", "x"), (7, "short item", "x"),
+            (7, "another text", "x"), (7, "another text", "x"), (8, "short item", "x"), (8, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_hash_0 string").repartition(3)
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted((r for r in rows if r[1] not in (ITEM, "short item")), key=repr)
+
+
 def test_no_items_and_no_documents(spark, doc_table):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert {r.n_hit for r in decontaminate.contamination(doc_table, items.limit(0)).collect()} == {0}

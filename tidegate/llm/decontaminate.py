@@ -359,7 +359,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, one_in: i
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, *, key: str = "doc_id",
                       text: str = "text") -> DataFrame:
-    """The documents that are not contaminated. Rows with one key go together."""
-    found = contamination(docs, items, window, one_in, key=key, text=text)
-    gone = staged(found.where("contaminated").select(F.col(key).alias("gone")).distinct(), "contaminated")
-    return docs.join(gone, docs[key].eqNullSafe(gone["gone"]), "left_anti")
+    """The documents that are not contaminated. Each row is judged by its own text, whatever other rows have its key."""
+    names = [c.lower() for c in docs.columns]
+    mark = next(c for c in (f"row_hash_{i}" for i in range(len(names) + 1)) if c not in names)
+    identity = F.concat_ws("\n", F.coalesce(docs[key].cast("string"), F.lit("")), F.coalesce(docs[text], F.lit("")))
+    hashed = docs.withColumn(mark, F.unhex(F.md5(identity)))
+    found = contamination(hashed, items, window, one_in, key=mark, text=text)
+    gone = staged(found.where("contaminated").select(F.col(mark).alias("gone")).distinct(), "contaminated")
+    return hashed.join(gone, hashed[mark] == gone["gone"], "left_anti").select(*docs.columns)
