@@ -74,6 +74,48 @@ def test_armoured_keys_and_tokens():
     assert not kinds("A" * 200) and not kinds(base64.b64encode(random.Random(1).randbytes(300)).decode())
 
 
+ENCRYPTED = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + tlv(0x30, tlv(4, b"salt" * 4) + number(9, 1))) + tlv(4, bytes(range(96))))
+
+
+def armoured(label, body, headers=""):
+    return f"-----BEGIN {label}PRIVATE KEY-----\n{headers}{body}-----END {label}PRIVATE KEY-----"
+
+
+def test_keys_in_strings_and_encrypted_keys():
+    block = armoured("", base64.encodebytes(PKCS8).decode())
+    escaped = json.dumps({"private_key": block + "\n"})
+    for text in (escaped, json.dumps(escaped), escaped.replace("/", "\\/"), block.replace("\n", "\\r\\n"),
+                 "x = " + " +\n  ".join(f'"{line}\\n"' for line in block.split("\n")), "\n".join(f'"{line}\\n"' for line in block.split("\n"))):
+        assert kinds(text) == ["armoured_key"], text
+    assert secrets.is_key(ENCRYPTED) and not secrets.is_key(ENCRYPTED[:-1])
+    assert not secrets.is_key(tlv(0x30, tlv(0x30, tlv(6, b"\x60\x86\x48") + tlv(5, b"")) + tlv(4, bytes(32))))  # a digest
+    assert kinds(armoured("ENCRYPTED ", base64.encodebytes(ENCRYPTED).decode())) == ["armoured_key"]
+    heads = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,000102030405060708090A0B0C0D0E0F\n\n"
+    body = base64.encodebytes(random.Random(2).randbytes(320)).decode()
+    old = armoured("RSA ", body, heads)
+    assert secrets.spans_of(old) == [("armoured_key", 0, len(old))] and kinds(json.dumps(old)) == ["armoured_key"]
+    assert not kinds(armoured("RSA ", body)) and not kinds(armoured("RSA ", base64.encodebytes(bytes(range(99))).decode(), heads))
+    assert not kinds(armoured("RSA ", body, heads.split("\n")[0] + "\n\n"))
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, ssh_key(), ENCRYPTED])
+@pytest.mark.parametrize("gap", ["\n", "\r\n    ", "\\n", '"\n  "', '\\n" +\n "'])
+def test_wrapped_keys_without_armour(data, gap):
+    body = base64.b64encode(data).decode()
+    wrapped = gap.join(body[i : i + 64] for i in range(0, len(body), 64))
+    for before, after in (("key:\n", "\nand words"), ("", ""), ('"\\n', '\\n"')):
+        assert secrets.spans_of(before + wrapped + after) == [("key", len(before), len(before + wrapped))]
+    assert not kinds("key:\n" + wrapped[:-6] + "\n.") and not kinds(gap.join(["MIIEowIBAAKCAQEA" * 4] * 30))
+
+
+def test_short_tokens_of_a_table(spark):
+    short = "eyJhbGciOiJub25lIn0.eyJhIjoxfQ."
+    assert max(map(len, short.split("."))) < secrets.SHORTEST_RUN
+    docs = spark.createDataFrame([(0, "see " + short), (1, "a sentence.And another. more")], "id long, text string").coalesce(1)
+    got = {r.id: [tuple(s) for s in r.spans] for r in secrets.find_secrets(docs, keys=["id"]).collect()}
+    assert got == {0: [("signed_token", 4, 4 + len(short))], 1: []}
+
+
 def plain_base(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     found = [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 6]

@@ -3,11 +3,14 @@
 Plain patterns find assignments, access key ids and long hex strings. Candidates for keys and
 tokens (runs of base64 or hex, armoured blocks, three dotted parts) are decoded and reported only
 if their structure holds: DER with nested lengths that fill each other exactly and the fields of a
-private key, the length-prefixed fields of an OpenSSH key, a signed token's JSON header with an
-algorithm and its JSON payload.
-
-A pass over the bytes finds the texts that have any long run at all, so that most texts never meet
-an expression. Offsets are code points, ends exclusive. Spans are sorted by start, then by kind in
+private key, also an encrypted one, the length-prefixed fields of an OpenSSH key, a signed token's JSON header with an
+algorithm and its JSON payload. Lines of a key may be parted by line ends, by escapes such as a
+written-out backslash n, and by the quotes and signs that join strings in source code; without
+armour the key's own lengths say where it ends. An armoured block with the headers of an encrypted
+key is confirmed by these and by whole cipher blocks.
+
+A pass over the bytes finds the texts that have any long run or dotted parts at all, so that most
+texts never meet an expression. Offsets are code points, ends exclusive. Spans are sorted by start, then by kind in
 the order of ``KINDS``.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each; an empty table
@@ -37,7 +40,7 @@ _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 KINDS = ("assign", "access", "hex", "signed_token", "key", "armoured_key")
 BASE_KINDS = KINDS[:3]
-#: Characters of the shortest run that any kind but assignments needs.
+#: Characters of the shortest run that base kinds but assignments, and keys without armour, need.
 SHORTEST_RUN = 20
 #: Characters of the shortest encoded key.
 SHORTEST_KEY = 40
@@ -45,7 +48,19 @@ SHORTEST_KEY = 40
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST_KEY)
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]*)-----END \1PRIVATE KEY-----")
+#: Between the lines of a key: line ends, written out or not, and the ends of joined strings.
+_GAP = r"(?:\s|\\+(?:[nrt]|u000[aAdD9]|(?=[\r\n\"']))|[\"'][ \t]*(?:[+.,;&\\][ \t]*)?(?=\s|\\|[\"'])|(?:(?<=\s)[+.&][ \t]*)?[\"'](?=[A-Za-z0-9+/=-]))"
+_HEADER = r"[A-Za-z][A-Za-z0-9-]*:[^\r\n\\\"']*"
+_ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----(?:%s)*+((?:%s(?:%s)++)*+)((?:%s|[A-Za-z0-9+=]|\\*/)*+)"
+                     r"-----END \1PRIVATE KEY-----" % (_GAP, _HEADER, _GAP, _GAP))
+_GAPS = re.compile(_GAP + "|\\\\+(?=/)|[\"']$")
+_DEK = re.compile(r"^DEK-Info: *[A-Z0-9-]+-CBC, *([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s*$", re.M)
+#: The first line of a key wrapped over lines: base64 of a sequence's tag, or of the magic of OpenSSH.
+_FIRST_LINE = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))(?:M[A-P]|b3BlbnNz)(?=[A-Za-z0-9+/_-]{%d})" % (SHORTEST_RUN - 8))
+_LINE = re.compile(r"(?:[A-Za-z0-9+_-]|\\*/)+")
+_BETWEEN = re.compile(f"(?:{_GAP})+")
+#: Characters of the shortest header of a signed token.
+_DOTTED = 10
 _IN_RUN = np.zeros(256, bool)
 _IN_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
 _SPANS = ArrayType(StructType().add("kind", "string").add("start", "long").add("end", "long"))
@@ -83,6 +98,8 @@ def is_der_key(data: bytes) -> bool:
         return False
     items = der_items(outer[0][1]) or []
     tags = [tag for tag, _ in items]
+    if tags == [_SEQUENCE, _OCTETS]:  # encrypted: an algorithm with parameters, then whole octets
+        return [tag for tag, _ in der_items(items[0][1]) or []] == [_OBJECT, _SEQUENCE] and len(items[1][1]) >= 16
     if not tags or tags[0] != _INTEGER or int.from_bytes(items[0][1]) > 1:
         return False
     if len(tags) >= 6 and set(tags) == {_INTEGER}:
@@ -92,25 +109,32 @@ def is_der_key(data: bytes) -> bool:
     return tags[1:2] == [_OCTETS] and len(items[1][1]) >= 16
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """The magic, cipher, derivation and its options, the number of keys, that many public parts and a private one."""
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the key that ``data`` starts with.
+
+    The magic, cipher, derivation and its options, the number of keys, that many public parts and a private one.
+    """
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at, fields, keys = len(magic), 0, None
     while keys is None or fields < 3 + keys + 1:
         if fields == 3 and keys is None:
             if at + 4 > len(data):
-                return False
+                return None
             keys, at = int.from_bytes(data[at : at + 4]), at + 4
             if not 1 <= keys <= 64:
-                return False
+                return None
             continue
         size = int.from_bytes(data[at : at + 4])
         if at + 4 > len(data) or at + 4 + size > len(data):
-            return False
+            return None
         at, fields = at + 4 + size, fields + 1
-    return at == len(data)
+    return at
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return openssh_size(data) == len(data)
 
 
 def is_key(data: bytes) -> bool:
@@ -129,6 +153,68 @@ def _decoded(run: str) -> Iterator[bytes]:
             return
 
 
+def is_armoured_key(headers: str, body: str) -> bool:
+    run = _GAPS.sub("", body)
+    if any(map(is_key, _decoded(run))):
+        return True
+    lines = re.sub(r"\\+[nr]|\\+u000[aAdD]|[\"']", "\n", headers)
+    iv = _DEK.search(lines)
+    if not iv or not re.search(r"^Proc-Type: *4, *ENCRYPTED\s*$", lines, re.M) or len(run) % 4:
+        return False
+    try:
+        data = base64.b64decode(run, validate=True)
+    except binascii.Error:
+        return False
+    return len(data) >= 16 and len(data) % (len(iv[1]) // 2) == 0
+
+
+def _der_size(data: bytes) -> int | None:
+    """Bytes of the sequence that ``data`` starts with, by its header."""
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    if n > 4 or data[1] == 0x80:
+        return None
+    return 2 + n + (int.from_bytes(data[2 : 2 + n]) if n else data[1])
+
+
+def wrapped_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Starts and ends of keys in base64 over lines, from the first line to where the key's lengths end."""
+    done = 0
+    for first in _FIRST_LINE.finditer(text):
+        if first.start() < done:
+            continue
+        line = _LINE.match(text, first.start())
+        run, end, need = line[0].replace("\\", ""), line.end(), None
+        if run[0] == "M":
+            size = _der_size(base64.b64decode(run[:8].replace("-", "+").replace("_", "/")))
+            if size is None or size * 4 > 3 * (len(text) - first.start()) + 3:
+                continue
+            need = (size * 4 + 2) // 3
+        parts, n = [run], len(run)
+        while (need is None or n < need) and (gap := _BETWEEN.match(text, end)) and (line := _LINE.match(text, gap.end())):
+            parts.append(line[0].replace("\\", ""))
+            n, end = n + len(parts[-1]), line.end()
+            if need is None and text[end : end + 1] == "=":
+                break
+        run = "".join(parts).replace("-", "+").replace("_", "/")
+        if need is None:  # the fields say how long it is; its last line may be followed by more
+            size = openssh_size(base64.b64decode(run[: len(run) - (len(run) % 4 == 1)] + "=" * (-len(run) % 4 % 3)))
+            if size is None:
+                continue
+            need, n, end = (size * 4 + 2) // 3, 0, first.start()
+            for part in parts:
+                at = _BETWEEN.match(text, end)
+                end = _LINE.match(text, at.end() if at and n else end).end()
+                n += len(part)
+                if n >= need:
+                    break
+        if n != need:
+            continue
+        data = base64.b64decode(run[:need] + "=" * (-need % 4))
+        if is_key(data):
+            done = end + len(re.compile("={0,2}").match(text, end)[0])
+            yield first.start(), done
+
+
 def _json_object(part: str) -> dict | None:
     try:
         found = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
@@ -145,34 +231,41 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
 
 
 def spans_of(text: str, has_run: bool = True) -> list[tuple[str, int, int]]:
-    """All spans of a text; ``has_run``: whether it may have a run of ``SHORTEST_RUN`` characters."""
+    """All spans of a text; ``has_run``: whether it may have a long run or dotted parts (``texts_with_runs``)."""
     found = []
     low = text.lower()
     if any(hint in low for hint in _ASSIGN_HINTS):
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
+    armoured = []
+    if "PRIVATE KEY-----" in text:
+        armoured = [m.span() for m in _ARMOUR.finditer(text) if is_armoured_key(m[2], m[3])]
+        found += [("armoured_key", *span) for span in armoured]
     if has_run:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
         found += [("signed_token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
-        found += [("key", *m.span()) for m in _RUN.finditer(text) if any(map(is_key, _decoded(m[0])))]
-        if "PRIVATE KEY-----" in text:
-            found += [("armoured_key", *m.span()) for m in _ARMOUR.finditer(text)
-                      if any(map(is_key, _decoded("".join(m[2].split()))))]
+        keys = [m.span() for m in _RUN.finditer(text) if any(map(is_key, _decoded(m[0])))]
+        taken = armoured + keys
+        keys += [(a, b) for a, b in wrapped_keys(text) if not any(a < d and c < b for c, d in taken)]
+        found += [("key", *span) for span in keys]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def texts_with_runs(texts: pa.Array) -> np.ndarray:
-    """Whether each text may have a run of at least ``SHORTEST_RUN`` characters of base64."""
+    """Whether each text may have a run of at least ``SHORTEST_RUN`` characters of base64, or the dotted parts of a token."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     out = np.zeros(len(texts), bool)
     if bounds[-1] == bounds[0]:
         return out
-    inside = _IN_RUN[np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    inside = _IN_RUN[data]
     outside = np.flatnonzero(~inside)
     ends = np.append(outside, len(inside))
     starts = np.concatenate(([0], outside + 1))
     long = ends - starts >= SHORTEST_RUN
+    dot = np.append(data[outside] == ord("."), False)
+    long[:-1] |= (ends - starts >= _DOTTED)[:-1] & dot[:-1] & dot[1:]  # the next run ends at a dot as well
     first = np.searchsorted(bounds - bounds[0], starts[long], side="right") - 1
     last = np.searchsorted(bounds - bounds[0], ends[long] - 1, side="right") - 1
     change = np.zeros(len(texts) + 1, np.int64)  # a run may go on over several short texts
