@@ -217,6 +217,19 @@ def test_unseen_sites(spark, model):
     assert sum(got[i] > got[j] for i in range(10) for j in range(10, 20)) >= 85  # of 100 pairs
 
 
+def test_paths_on_neutral_hosts(spark, model):
+    bad = "/casino/poker-bonus /play/free-slots.html /payday/loans?x=1 /go/porn/xxx/9 /pills/viagra-cheap /en/warez/crack".split()
+    good = "/museum/opening-hours /school/science.html /recipes/garden?x=1 /go/library/archive/9 /travel/maps-parks /en/history/council".split()
+    hosts = ("www.news.example.org", "m.site.example.net", "orvalis.gov")
+    urls = [f"http://{h}{p}" for p in bad + good for h in hosts]
+    table = {re.sub("[?#].*", "", u) for u, _ in url_filter.labelled_urls()}
+    assert not any(re.sub("[?#].*", "", u) in table or "example." in t for u in urls for t in table)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.probability for r in url_filter.judge(pages, model, [], keys=["page_id"]).collect()}
+    for h in range(3):  # on one host only the path tells them apart
+        assert sum(got[3 * i + h] > got[3 * j + h] for i in range(6) for j in range(6, 12)) >= 33  # of 36 pairs
+
+
 # -- neighbours ----------------------------------------------------------------------------------
 
 def exact(vectors, queries, k):

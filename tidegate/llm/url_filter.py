@@ -36,28 +36,40 @@ _BLOCKED = ("casino poker slots jackpot roulette bets betting gamble lottery bin
 _ALLOWED = ("wiki news library museum school college science history garden recipes weather travel maps parks music "
             "poems radio journal archive docs manual forum health clinic council church theatre cinema sports cycling "
             "hiking birds trees river harbour village market bakery cafe atlas letters essays lessons stories "
-            "northern southern eastern western another together within mother father brother weather feather leather "
-            "thread three throne thorn theory thesis anthem method rhythm earth north south health growth worth "
-            "nation station ration motion notion option action section fiction question learning reading writing "
-            "hearing meeting evening morning spring string thing nothing something hand land sand island england "
-            "water winter summer letter better butter master sister corner dinner inner outer tender render order "
-            "stone shore honest interest forest modest finest table stable noble humble valley family early friendly "
-            "pour maison jardin avenir lieu temps haus garten zeitung schule casa jardin camino tiempo").split()
+            "kitchen furniture chemistry physics biology geography language translation university research library "
+         "hospital pharmacy dentist insurance taxes passport railway airport harvest orchard fishing sailing climbing "
+         "photography painting sculpture orchestra festival magazine editorial opinion weekend interview obituary "
+         "election parliament justice police weather climate energy recycling volunteers charity scouts kindergarten "
+         "bicycle engine software database compiler network tutorial reference glossary dictionary contact about team "
+         "maison jardin avenir zeitung schule garten casa camino tiempo").split()
+# Hosts and paths that say nothing by themselves: both kinds of URL have them alike.
+_NEUTRAL_HOSTS = ("www.lumora.info", "brandel.co.uk", "pages.ostrava.eu", "home.kivik.se", "users.delphin.it", "cdn.quorum.io",
+                  "www.fabrikam.biz", "static.mirelle.be", "portal.tanaka.jp", "hosting.zubrin.us")
+_NEUTRAL_PATHS = ("", "/", "/index.php", "/2019/04/12", "/view/88310", "/a/b/c.htm", "/item-5521", "/home", "/p/77", "/default.aspx")
 _NAMES = {1: ("{0}-{1}", "{1}-{0}", "{0}", "my{0}-{1}", "{0}{1}"), 0: ("{0}", "{1}{0}", "{0}", "my{0}", "{0}-{1}")}
-_FORMS = ("https://www.{}.example.org/en/101", "http://{}.example.com/fr/7.html", "https://m.{}.example.net/de/2044?page=2",
-          "http://blog.{}.example.org/fr/31/", "https://{}.example.com/es/66?utm_source=feed")
+_HOSTS = ("www.{}.com", "{}.net", "shop.{}.org", "{}.co.uk", "{}.io")
+_PATHS = ("/{0}/{1}", "/{0}", "/{0}-{1}.php", "/c/{1}/{0}/5", "/{1}_{0}/index.htm", "/{0}/{1}.html", "/2021/{0}")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """URLs with 1 for blocked: each word, with another word of its kind, as sites' names in all forms.
+    """URLs with 1 for blocked: each word, with another word of its kind, in hosts of neutral paths and in paths of neutral hosts.
 
-    Blocked sites join words by hyphens more often; all else is the same for both kinds.
+    Paths of both kinds are also given on hosts of allowed words. Blocked sites join words by hyphens more
+    often; all else is the same for both kinds.
     """
     rows = []
     for words, blocked in ((_BLOCKED, 1), (_ALLOWED, 0)):
         for i, word in enumerate(words):
             other = words[(i * 7 + 3) % len(words)]
-            rows += [(form.format(name.format(word, other)), blocked) for form in _FORMS for name in _NAMES[blocked]]
+            friendly = _ALLOWED[(i * 11 + 5) % len(_ALLOWED)]
+            for j, name in enumerate(_NAMES[blocked]):
+                for k, host in enumerate(_HOSTS):
+                    path = _NEUTRAL_PATHS[(i + 3 * j + k) % len(_NEUTRAL_PATHS)]
+                    rows.append((f"https://{host.format(name.format(word, other))}{path}", blocked))
+            for k, path in enumerate(_PATHS):
+                hosts = [_NEUTRAL_HOSTS[(i + 3 * k + j) % len(_NEUTRAL_HOSTS)] for j in range(2)]
+                rows += [(f"https://{host}{path.format(word, other)}", blocked)
+                         for host in (*hosts, _HOSTS[k % len(_HOSTS)].format(friendly))]
     return rows
 
 
