@@ -36,7 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Shared:
     """A small object of proven size that every task needs, sent once to each executor.
 
-    ``make`` turns the sent payload into what tasks use, once in each worker process.
+    ``make`` turns the sent payload into what tasks use, once in each worker process. A process keeps
+    what was made last, and nothing of earlier stages.
     """
 
     def __init__(self, spark: SparkSession, payload: object, make: Callable[[object], object]):
@@ -46,8 +47,7 @@ class Shared:
 
     def get(self):
         if self._name not in _MADE:
-            while len(_MADE) >= 4:
-                del _MADE[next(iter(_MADE))]
+            _MADE.clear()
             _MADE[self._name] = self._make(pickle.loads(self._sent.value))
         return _MADE[self._name]
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import Shared, batches_of, text_list
+from tidegate.llm.common import Shared, text_list
 from tidegate.plans.staging import staged
 
 UNDETERMINED = "und"
@@ -39,8 +39,10 @@ MAX_SLOTS = 1 << 22
 NEAR = 0.25
 #: Occurrences from which on a trigram is learned.
 LEAST = 3
-#: Bytes of text that are worked on together.
-CHUNK_BYTES = 4 << 20
+#: Characters of text that are worked on together; longer texts are cut. They take some 40 bytes each.
+CHUNK = 1 << 18
+#: Distinct trigrams that a task counts before it hands them on.
+COUNTED = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -65,6 +67,36 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.diff(np.searchsorted(at - 1, np.concatenate(([0], np.cumsum(lengths)))))
 
 
+def chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunk by chunk: numbers of texts, the trigrams of their pieces end to end, and how many each piece has.
+
+    A piece carries a character of the text on either side, so a cut loses no trigram and makes none.
+    """
+    def counted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grams, n = trigrams(pieces)
+        ends, kept = np.cumsum(n), np.ones(len(grams), bool)
+        before = np.array([left and p[0].isalpha() for p, left in zip(pieces, lefts)], bool)
+        after = np.array([right and p[-1].isalpha() for p, right in zip(pieces, rights)], bool)
+        kept[(ends - n)[before]] = False
+        kept[ends[after] - 1] = False
+        return np.array(numbers), grams[kept], n - before - after
+
+    numbers, pieces, lefts, rights, size = [], [], [], [], 0
+    for i, text in enumerate(texts):
+        for start in range(0, len(text), CHUNK):
+            end = start + CHUNK
+            numbers.append(i)
+            pieces.append(text[max(start - 1, 0) : end + 1])
+            lefts.append(start > 0)
+            rights.append(end < len(text))
+            size += len(pieces[-1])
+            if size >= CHUNK:
+                yield counted()
+                numbers, pieces, lefts, rights, size = [], [], [], [], 0
+    if pieces:
+        yield counted()
+
+
 def _slots(grams: np.ndarray, size: int) -> list[np.ndarray]:
     """The slots of each trigram, one array for each hash function; size is a power of two."""
     x = grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -77,14 +109,31 @@ def _slots(grams: np.ndarray, size: int) -> list[np.ndarray]:
 
 def count_trigrams(labelled: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """``lang``, ``gram`` and ``n`` over all texts."""
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        grams, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return grams, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches_of(rows, lambda n, size: size >= 4 * CHUNK_BYTES, "__text"):
-            langs, texts = np.array(part.column(0).to_pylist(), object), text_list(part.column(1))
+        def out(name: str) -> pa.RecordBatch:
+            grams, n = summed(held.pop(name))
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(n)],
+                                              names=["lang", "gram", "n"])
+
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in rows:
+            langs, texts = np.array(batch.column(0).to_pylist(), object), text_list(batch.column(1))
             for name in sorted(set(langs)):
-                grams, _ = trigrams([texts[i] for i in np.flatnonzero(langs == name)])
-                found, n = np.unique(grams, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(n)],
-                                                 names=["lang", "gram", "n"])
+                for _, grams, _ in chunks([texts[i] for i in np.flatnonzero(langs == name)]):
+                    own = held.setdefault(name, [])
+                    own.append(np.unique(grams, return_counts=True))
+                    if sum(len(p[0]) for p in own) > COUNTED:
+                        held[name] = [summed(own)]
+                        if len(held[name][0][0]) > COUNTED // 2:
+                            yield out(name)
+            while sum(len(p[0]) for parts in held.values() for p in parts) > 2 * COUNTED:  # of many languages
+                yield out(max(held, key=lambda x: sum(len(p[0]) for p in held[x])))
+        for name in list(held):
+            yield out(name)
 
     named = labelled.where(labelled[lang].isNotNull()).select(labelled[lang].cast("string"), labelled[text].alias("__text"))
     return named.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -107,15 +156,17 @@ class Filters:
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        grams, n = trigrams(texts)
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        masks, full = self.masks(grams), n > 0
-        starts = (np.cumsum(n) - n)[full]
-        counts = np.zeros((len(texts), len(self.langs)))
-        for j in range(len(self.langs) if len(starts) else 0):
-            bit = (masks[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)
-            counts[full, j] = np.add.reduceat(bit.astype(np.int64), starts)
+        n, counts = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
+        for at, grams, sizes in chunks(texts):
+            masks = self.masks(grams)
+            at, starts = at[sizes > 0], (np.cumsum(sizes) - sizes)[sizes > 0]
+            np.add.at(n, at, sizes[sizes > 0])
+            for j in range(len(self.langs) if len(starts) else 0):
+                bit = (masks[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)
+                np.add.at(counts[:, j], at, np.add.reduceat(bit.astype(np.int64), starts))
+        full = n > 0
         true = np.maximum((counts - n[:, None] * self.false) / np.maximum(1 - self.false, 1e-9), 0)
         best = true.argmax(axis=1)
         top = true[np.arange(len(texts)), best]
@@ -163,18 +214,9 @@ def identify(docs: DataFrame, filters: tuple, *, keys: list[str], text: str = "t
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.get()
         for batch in rows:
-            langs, scores, texts, at = [], [], text_list(batch.column(len(keys))), 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < CHUNK_BYTES:
-                    size += len(texts[end])
-                    end += 1
-                found, score = own.predict(texts[at:end])
-                langs += found
-                scores.append(score)
-                at = end
+            langs, scores = own.predict(text_list(batch.column(len(keys))))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keys)], pa.array(langs, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))],
+                [*batch.columns[: len(keys)], pa.array(langs, pa.string()), pa.array(scores)],
                 names=schema.names)
 
     return docs.select(*(docs[k] for k in keys), docs[text].alias("__text")).mapInArrow(run, schema)
