@@ -170,6 +170,22 @@ def test_lines(spark):
     assert line_dedup.drop_boilerplate(table.limit(0), table.source).count() == 0
 
 
+def test_lines_of_groups_of_copies(spark):
+    own = lambda i, n=8: [f"own {i} {j}" for j in range(n)]
+    pages = [["menu", *own(i)] for i in range(60)] + [own(i) for i in range(60, 100)]
+    near = [[x if (i + j) % 20 else f"edit {i} {j}" for j, x in enumerate(own(500, 20))] for i in range(200)]
+    texts = ["\n".join(p) for p in [*pages, *[own(600)] * 300, *near, ["menu"], [" ", ""]]] + [None]
+    table = spark.createDataFrame([(i, h, t) for h in ("a", None) for i, t in enumerate(texts)], "line int, host string, text string")
+    got = line_dedup.drop_boilerplate(table, table.host, by_group=True)
+    plan = got._jdf.queryExecution().toString() + line_dedup.boilerplate(
+        table, table.host, table.text, by_group=True)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and got.columns == table.columns
+    without = lambda i, t: t if i >= 60 else t[5:]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(
+        repr((i, h, without(i, t))) for h in ("a", None) for i, t in enumerate(texts))
+    assert line_dedup.drop_boilerplate(table.limit(0), table.host, by_group=True).count() == 0
+
+
 # -- near-duplicates -----------------------------------------------------------------------------
 
 def fingerprint(text, size=4):

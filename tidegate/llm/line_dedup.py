@@ -11,10 +11,13 @@ list of their host in a join for which Spark knows that table's size: it is broa
 ``spark.sql.autoBroadcastJoinThreshold``, and otherwise pages are shuffled by host, where Spark
 splits hosts that are too large for a task.
 
-With ``by_group`` copies and near copies (by ``simhash``) of one host weigh as one page, in the count
-of a line and in that of the host, so that a line's share says on how many different pages it is. A
-page that would keep no line but blank ones is then left as it is: it is a copy of others' lines and
-not a page around boilerplate. On a host of fewer than ``least`` pages or groups no line goes.
+With ``by_group`` copies and near copies on one host weigh as one page, in the count of a line and in that
+of the host, so that a line's share says on how many different pages it is. Equal texts are counted once.
+Then a page of which ``COPIED`` or more of its lines stand above the ratio is taken for a copy, and named by the
+least of these lines: near copies differ in few lines, so nearly all of a group get one name and the group gets
+few. Lines and hosts are then counted by names. A page that would keep no line but blank ones is left as it is:
+it is a copy of others' lines and not a page around boilerplate. On a host of fewer than ``least`` pages or
+names no line goes; where most pages are shared lines for the most part, too few go rather than too many.
 
 Defined results: a null text stays null and an empty one empty; blank lines are kept; a page all
 of whose lines go keeps an empty text (without ``by_group``); a null host is a host of its own; repeated rows are pages
@@ -26,11 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm import simhash
 from tidegate.plans.staging import staged
 
 RATIO = 0.02
 LEAST = 5
+#: Share of a page's lines above the ratio from which on it counts as a copy.
+COPIED = 0.7
 
 
 def _lines(text: Column) -> Column:
@@ -50,18 +54,27 @@ def _line_keys(text: Column) -> Column:
 def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST,
                 by_group: bool = False) -> DataFrame:
     """``host``, ``line`` (its key), pages with the line, pages of the host: lines above the ratio."""
-    if by_group:
-        own = pages.select(host.alias("host"), _line_keys(text).alias("lines"), text.alias("text"))
-        groups = simhash.near_duplicates(own, keys=["host", "lines"])
-        lines = groups.select("host", "group_fp", F.explode("lines").alias("line")).distinct()
-        one_each = groups.select(F.col("host").alias("of_host"), "group_fp").distinct()
-    else:
+    if not by_group:
         lines = pages.select(host.alias("host"), F.explode(_line_keys(text)).alias("line"))
-        one_each = pages.select(host.alias("of_host"))
-    counts = lines.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n_pages"))
-    totals = one_each.groupBy("of_host").agg(F.count("*").alias("host_pages"))
-    frequent = counts.where(F.col("n_pages") >= least)
-    return (frequent.join(totals, F.col("host").eqNullSafe(F.col("of_host")))
+        return _above(lines.where("line is not null"), pages.select(host.alias("host")), ratio, least)
+    own = pages.select(host.alias("host"), F.md5(F.coalesce(text, F.lit(""))).alias("page"),
+                       F.transform(F.array_compact(_line_keys(text)), F.hex).alias("lines"))
+    texts = staged(own.dropDuplicates(["host", "page"]), "texts-of-hosts")
+    shared = staged(_above(texts.select("host", F.explode("lines").alias("line")), texts.select("host"), ratio, least)
+                    .groupBy(F.col("host").alias("of_host")).agg(F.collect_set("line").alias("shared")), "shared-lines")
+    met = texts.join(shared, F.col("host").eqNullSafe(F.col("of_host")), "left").withColumn(
+        "met", F.array_intersect("lines", F.coalesce("shared", F.array().cast("array<string>"))))
+    copied = (F.size("met") > 0) & (F.size("met") >= COPIED * F.size("lines"))
+    named = met.select("host", "lines", F.when(copied, F.array_min("met")).otherwise(F.col("page")).alias("name"))
+    lines = named.select("host", "name", F.explode("lines").alias("line")).distinct().select("host", F.unhex("line").alias("line"))
+    return _above(lines, named.select("host", "name").distinct().select("host"), ratio, least)
+
+
+def _above(lines: DataFrame, pages: DataFrame, ratio: float, least: int) -> DataFrame:
+    """``host``, ``line`` and both counts of the lines (a row for each page with the line) above the ratio of pages (a row each)."""
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= least)
+    totals = pages.groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_pages"))
+    return (counts.join(totals, F.col("host").eqNullSafe(F.col("of_host")))
             .where(F.col("n_pages") > ratio * F.col("host_pages")).select("host", "line", "n_pages", "host_pages"))
 
 
