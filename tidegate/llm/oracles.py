@@ -54,3 +54,25 @@ SELECT conv_id, count(*) AS n_turns,
                                   ELSE 25 + length(coalesce(role, '')) END) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), scored AS (
+    SELECT a.r AS ar, a.id AS anchor_id, b.r AS br, b.id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+    FROM v AS a JOIN v AS b ON a.r <> b.r AND len(a.x) = len(b.x)
+    WHERE a.id % 50 = 0
+), positives AS (
+    SELECT ar, anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id, br) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (ar, anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY ar, positive_id, positive_score ORDER BY score DESC, id, br)
+QUALIFY row_number() OVER w <= 3
+"""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import (byte_bpe, chat, decontaminate, language, line_dedup, neighbours, secrets, simhash, token_shards,
-                          url_filter)
+from tidegate.llm import (byte_bpe, chat, decontaminate, hard_negatives, language, line_dedup, neighbours, secrets, simhash,
+                          spelling, token_counts, token_shards, url_filter)
 from tidegate.llm.common import table
 from tidegate.plans.staging import staged
 
@@ -113,3 +113,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, among all; every seventh one has its label moved on first."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(rows, rows.vec_id % 50 == 0)
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text, and whether it exceeds 2,048 tokens."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, keys=["doc_id"])
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the texts with its near words, its form and the root that forms lead to."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), every=199)
