@@ -35,6 +35,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +48,10 @@ CHUNK = 1 << 16
 #: Characters that two chunks share at first.
 OVERLAP = 256
 #: Words that a worker remembers, and their characters.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 500_000
 KNOWN_CHARACTERS = 8 << 20
-#: Words that are encoded in one call.
-CALL = 5_000
+#: Words that are encoded in one call, with blanks between them.
+CALL = 500
 #: Split patterns without looking back, whose matches hold no white space (fixed values of the vocabularies).
 PATTERNS = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",)
 
@@ -141,7 +142,9 @@ class TokenCounter:
         new = list({w for own in words for w in own if w not in known})
         for i in range(0, len(new), CALL):
             part = new[i : i + CALL]
-            known.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+            starts = [low for low, _ in self.tokenizer.encode(" ".join(part), add_special_tokens=False).offsets]
+            ends = np.cumsum([len(w) + 1 for w in part])
+            known.update(zip(part, np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(part)).tolist()))
         self._characters += sum(map(len, new))
         return [sum(map(known.__getitem__, own)) for own in words]
 
