@@ -319,6 +319,11 @@ ORACLES: dict[str, str] = {
         FROM ranked WHERE rn = 1 AND op <> 'd'""",
     "late_arrivals": f"""WITH {_LATEST} SELECT {_USER_KEY} AS key, op, event_id AS sequence, 'evt-' || event_id AS event_id
         FROM ranked WHERE rn = 1""",
+    "ledger_index": f"""SELECT 'evt-' || event_id AS event_id, {_OP} AS op, value,
+        CASE WHEN event_id % 3 = 2 AND event_id % 5 <> 0 THEN 'b' ELSE 'a' END AS run,
+        CASE WHEN event_id % 3 = 0 OR event_id % 3 = 2 AND event_id % 5 <> 0 THEN 0 ELSE 1 END::INT AS batch FROM events""",
+    "current_buckets": f"""WITH {_LATEST} SELECT {_USER_KEY} AS key, op, event_id AS sequence, 'evt-' || event_id AS event_id, value,
+        CASE WHEN event_id % 7 = 0 THEN 'repaired' ELSE 'validated' END AS origin FROM ranked WHERE rn = 1 AND op <> 'd'""",
     "changelog_rows": f"""SELECT 'app' AS source, 'web' AS database, 'users' AS "table", user_id, value, event_type,
         {_OP} AS _op, event_id AS _seq, 'evt-' || event_id AS _event_id,
         CASE WHEN event_id % 7 = 0 THEN 'rep-' || event_id END AS _repair_id,

@@ -625,6 +625,34 @@ def stored_destinations(spark, sf_dir):
         F.count("*").alias("changes"), F.max("sequence").cast("bigint").alias("last"))
 
 
+@query
+def ledger_index(spark, sf_dir):
+    """The batch that each event is stored in, after a redelivery of everything and a replay of its batch."""
+    events = feed.event_changes(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    target = pipelines.build_destination(DestinationConfig("log", "json_log", options={"root": folder, "ledger_buckets": 8}))
+    batches = [events.where("offset % 3 = 0"), events.where("offset % 3 < 2").unionByName(events.where("offset % 5 = 0"))]
+    for run, batch_id, batch in (("a", 0, batches[0]), ("a", 1, batches[1]), ("a", 1, batches[1]), ("b", 0, events), ("b", 1, events)):
+        new = target.not_delivered(delivery.dedupe_batch(batch), default_catalog(), run, batch_id)
+        target.write(new, default_catalog(), run, batch_id)
+        target.written(new, default_catalog(), run, batch_id)
+    stored = spark.read.text(folder).where("batch is not null")
+    return stored.select(F.get_json_object("value", "$._event_id").alias("event_id"), F.get_json_object("value", "$._op").alias("op"),
+                         F.get_json_object("value", "$.value").cast("double").alias("value"), "run", F.col("batch").cast("int").alias("batch"))
+
+
+@query
+def current_buckets(spark, sf_dir):
+    """Current rows of a bucketed state after late batches and a replay; read without aggregation."""
+    events = feed.event_changes(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
+    target = pipelines.build_destination(DestinationConfig("state", "current_buckets", options={"path": folder, "buckets": 8}))
+    for batch_id, part in ((0, 2), (1, 0), (2, 1), (2, 1)):
+        target.write(events.where(F.col("offset") % 3 == part), default_catalog(), "a", batch_id)
+    return target.read(spark).select("key", "op", F.col("sequence").cast("bigint").alias("sequence"), "event_id",
+                                     F.get_json_object("payload", "$.value").cast("double").alias("value"), "origin")
+
+
 # --- observe ------------------------------------------------------------------------------------
 
 

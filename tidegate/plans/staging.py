@@ -37,7 +37,7 @@ def write_shared(df: DataFrame, name: str, codec: str = "snappy") -> str:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    file_system, place = _on_file_system(spark, path)
+    file_system, place = on_file_system(spark, path)
     file_system.deleteOnExit(place)
     return path
 
@@ -53,11 +53,12 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Remove a table that ``write_shared`` made and that no plan reads any more."""
-    file_system, place = _on_file_system(spark, path)
+    file_system, place = on_file_system(spark, path)
     file_system.delete(place, True)
 
 
-def _on_file_system(spark: SparkSession, path: str):
+def on_file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path there."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place

@@ -27,6 +27,7 @@ from tidegate.operators.joins import first_per
 from tidegate.plans.staging import drop_shared
 from tidegate.sources.catalog import Catalog
 from tidegate.sources.destinations import DestinationConfig, DestinationError, import_class
+from tidegate.streaming.ledger import BUCKETS, DeliveredIndex, children
 
 RUN_COLUMNS = ("run", "batch")
 
@@ -80,13 +81,25 @@ class Destination(ABC):
         """``_event_id`` of everything stored by other batches, or None when ids do not matter."""
         return None
 
+    def not_delivered(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> DataFrame:
+        """The changes that no other batch has stored."""
+        held = self.delivered(changes.sparkSession, run, batch_id)
+        return changes if held is None else delivery.drop_delivered(changes, held)
+
+    def written(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
+        """Called after a batch is stored; may run again for the same batch."""
+
 
 _CHANGE = ["table_ref", "op", "key", "payload", "sequence", "event_id", "repair_id", "origin", "partition", "offset"]
 _LINE = "_op string, _seq decimal(38,0), _event_id string, _repair_id string, _origin string, _partition int, _offset bigint"
 
 
 class _FileDestination(Destination):
-    """Delivered rows below a folder; ``look_back_days`` bounds how far back redelivered events are known."""
+    """Delivered rows below a folder.
+
+    Logs know redelivered events by an index of ids in ``ledger_buckets`` hash buckets. ``look_back_days``
+    does without it: then the rows of so many days are read for each batch.
+    """
 
     option = "root"
 
@@ -96,6 +109,7 @@ class _FileDestination(Destination):
             raise DestinationError(f"{name}: options.{self.option} is missing")
         self.root = options[self.option]
         self.look_back_days = options.get("look_back_days")
+        self.ledger = DeliveredIndex(f"{self.root}/_ledger", int(options.get("ledger_buckets", BUCKETS)))
 
     def read(self, spark: SparkSession, catalog: Catalog) -> DataFrame | None:
         """Everything stored, as change records; None while there is nothing."""
@@ -111,7 +125,39 @@ class _FileDestination(Destination):
         return others.filter(F.col("dt") >= F.date_sub(F.current_date(), int(self.look_back_days)))
 
 
-class JsonLog(_FileDestination):
+class _Log(_FileDestination):
+    """An append-only log; its rows are the truth about what is delivered, its ledger an index of their ids."""
+
+    #: The folders that hold ``run=``, below the root.
+    _above_runs = ""
+
+    def not_delivered(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> DataFrame:
+        if self.look_back_days is not None:
+            return super().not_delivered(changes, catalog, run, batch_id)
+        spark = changes.sparkSession
+
+        def ids_of(batches: list[tuple[str, int]]) -> DataFrame:
+            mine = F.lit(False)
+            for own, batch in batches:
+                mine = mine | ((F.col("run") == own) & (F.col("batch") == batch))
+            return self._stored_ids(spark).where(mine).select(F.col("_event_id").alias("event_id"))
+
+        self.ledger.heal(spark, f"{self.root}{self._above_runs}", ids_of, run, batch_id)
+        return self.ledger.drop_held(changes, run, batch_id)
+
+    def written(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
+        self.ledger.add(changes.select("event_id"), run, batch_id)
+
+    def _stored_ids(self, spark: SparkSession) -> DataFrame | None:
+        """``_event_id``, ``run``, ``batch`` and ``dt`` of everything stored."""
+        raise NotImplementedError
+
+    def delivered(self, spark: SparkSession, run: str, batch_id: int) -> DataFrame | None:
+        others = self._others(self._stored_ids(spark), run, batch_id)
+        return None if others is None else others.select("_event_id")
+
+
+class JsonLog(_Log):
     """Append-only JSON lines per source, database, table and day."""
 
     _columns = "value string, source string, database string, `table` string, dt date"
@@ -119,9 +165,10 @@ class JsonLog(_FileDestination):
     def write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
         delivery.append_changelog_json(changes, f"{self.root}/run={run}/batch={batch_id}", "overwrite")
 
-    def delivered(self, spark: SparkSession, run: str, batch_id: int) -> DataFrame | None:
-        others = self._others(_read(spark, self.root, self._columns, "text"), run, batch_id)
-        return None if others is None else others.select(F.get_json_object("value", "$._event_id").alias("_event_id"))
+    def _stored_ids(self, spark: SparkSession) -> DataFrame | None:
+        lines = _read(spark, self.root, self._columns, "text")
+        return None if lines is None else lines.select(
+            F.get_json_object("value", "$._event_id").alias("_event_id"), *RUN_COLUMNS, "dt")
 
     def read(self, spark: SparkSession, catalog: Catalog) -> DataFrame | None:
         lines = _read(spark, self.root, self._columns, "text")
@@ -134,7 +181,7 @@ class JsonLog(_FileDestination):
             F.col("m._origin").alias("origin"), F.col("m._partition").alias("partition"), F.col("m._offset").alias("offset"))
 
 
-class TableLog(_FileDestination):
+class TableLog(_Log):
     """Append-only typed tables, one for each contract, partitioned by day.
 
     Changes of a table without a contract have no columns to be stored in; they are kept in
@@ -142,6 +189,8 @@ class TableLog(_FileDestination):
     contract (``unrouted`` reads them).
     """
 
+    _above_runs = "/table=*"
+
     def write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
         place = f"run={run}/batch={batch_id}"
         contracts = catalog.contracts_df(changes.sparkSession).select(F.col("contract_key").alias("table_ref"))
@@ -152,9 +201,12 @@ class TableLog(_FileDestination):
             delivery.append_changelog_table(changes, catalog.contracts[ref], f"{self.root}/table={folder}/{place}", "overwrite")
         changes.join(contracts, "table_ref", "left_anti").write.mode("overwrite").parquet(f"{self.root}/_unrouted/{place}")
 
-    def delivered(self, spark: SparkSession, run: str, batch_id: int) -> DataFrame | None:
-        others = self._others(_read(spark, self.root, "_event_id string, `table` string, dt date"), run, batch_id)
-        return None if others is None else others.select("_event_id")
+    def written(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
+        contracts = catalog.contracts_df(changes.sparkSession).select(F.col("contract_key").alias("table_ref"))
+        super().written(changes.join(contracts, "table_ref", "left_semi"), catalog, run, batch_id)
+
+    def _stored_ids(self, spark: SparkSession) -> DataFrame | None:
+        return _read(spark, self.root, "_event_id string, `table` string, dt date")
 
     def unrouted(self, spark: SparkSession) -> DataFrame:
         """Changes of tables without a contract."""
@@ -207,8 +259,57 @@ class CurrentState(_FileDestination):
             drop_shared(spark, f"{self.root}/log/run={row.run}/batch={row.batch}")
 
 
+class CurrentBuckets(_FileDestination):
+    """Current rows per key as a table in ``buckets`` hash buckets of the key; a read needs no aggregation.
+
+    A batch merges the buckets that its keys fall into and no others. Their new content is first written
+    whole to ``pending``; Spark's dynamic partition overwrite then puts it in place. A stop in between leaves
+    the pending copy, which the next batch (or ``recover``) puts in place again, so no bucket is lost halfway.
+    Last writer wins, hence a replay changes nothing. Deleted rows stay as tombstones.
+    """
+
+    option = "path"
+
+    def __init__(self, name: str, options: dict[str, Any]):
+        super().__init__(name, options)
+        self.buckets = int(options.get("buckets", 64))
+
+    def write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
+        spark = changes.sparkSession
+        self.recover(spark)
+        bucket = F.pmod(F.xxhash64("table_ref", "key"), F.lit(self.buckets)).cast("int")
+        placed = changes.withColumn("bucket", bucket)
+        # at most as many rows as there are buckets
+        touched = sorted(r.bucket for r in placed.select("bucket").distinct().collect())
+        if not touched:
+            return
+        paths = [p for b in touched for p in children(spark, f"{self.root}/state/bucket={b}")]
+        if paths:
+            held = spark.read.option("basePath", f"{self.root}/state").parquet(*paths)
+            merged = delivery.upsert_current(held, placed)
+        else:
+            merged = delivery.latest_per_key(placed)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/pending/run={run}/batch={batch_id}")
+        self.recover(spark)
+
+    def recover(self, spark: SparkSession) -> None:
+        """Put pending buckets in place; what was not written to its end goes, as its batch runs again."""
+        for path in children(spark, f"{self.root}/pending/run=*/batch=*"):
+            if children(spark, f"{path}/_SUCCESS"):
+                spark.read.parquet(path).repartition("bucket").write.mode("overwrite").option(
+                    "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/state")
+            drop_shared(spark, path)
+
+    def read(self, spark: SparkSession, catalog: Catalog | None = None, with_deleted: bool = False) -> DataFrame | None:
+        """The current rows; None while nothing was delivered."""
+        if not children(spark, f"{self.root}/state/bucket=*"):
+            return None
+        state = spark.read.parquet(f"{self.root}/state").drop("bucket")
+        return state if with_deleted else delivery.current_view(state)
+
+
 DESTINATION_TYPES: dict[str, type[Destination]] = {
-    "current": CurrentState, "json_log": JsonLog, "table_log": TableLog}
+    "current": CurrentState, "current_buckets": CurrentBuckets, "json_log": JsonLog, "table_log": TableLog}
 
 
 def build_destination(config: DestinationConfig) -> Destination:
@@ -231,11 +332,10 @@ def start_delivery(changes: DataFrame, config: DestinationConfig, catalog: Catal
         spark = batch.sparkSession
         run = query_id(spark, checkpoint)
         mine = delivery.route_to(batch, config).persist()
-        held = target.delivered(spark, run, batch_id)
-        once = delivery.dedupe_batch(mine)
-        new = (once if held is None else delivery.drop_delivered(once, held)).persist()
+        new = target.not_delivered(delivery.dedupe_batch(mine), catalog, run, batch_id).persist()
         try:
             target.write(new, catalog, run, batch_id)
+            target.written(new, catalog, run, batch_id)
             if attempts:
                 n, n_new = mine.count(), new.count()
                 _attempted(spark, config.name, {"delivered": n_new, "duplicate": n - n_new}, f"{attempts}/run={run}/batch={batch_id}")
@@ -344,5 +444,5 @@ def _start(frame: DataFrame, run_batch, checkpoint: str, trigger: dict[str, Any]
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-__all__ = ["CurrentState", "Destination", "JsonLog", "RepairState", "TableLog", "build_destination",
+__all__ = ["CurrentBuckets", "CurrentState", "Destination", "JsonLog", "RepairState", "TableLog", "build_destination",
            "query_id", "read_destinations", "start_delivery", "start_repair", "start_validation"]
