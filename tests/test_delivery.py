@@ -273,39 +273,6 @@ def test_large_and_unreadable_positions(spark):
     assert dl.to_changes(validated, none, CATALOG).count() == 0 and dl.unordered(validated, none, CATALOG).count() == 1
 
 
-def test_repair_stream_remembers(spark, tmp_path):
-    """Deferred events are tried again, final ones are not, and approved repairs serve later events."""
-    p = lambda name: str(tmp_path / name)
-    renamed = {"product_id": ON_HAND["product_id"], "stock_quantity": ("int32", "INT", False)}
-    dead = lambda ids: to_dlq(route_changes(log(spark, [envelope(
-        "products_on_hand", {"product_id": i, "stock_quantity": i}, op="c", columns=renamed, pos=i) for i in ids],
-        [{"product_id": i} for i in ids]), CATALOG))
-    first = dead([1, 2])
-    first.write.parquet(p("dlq"))
-    source = lambda: spark.readStream.schema(first.schema).parquet(p("dlq"))
-    able = []
-
-    def propose(requests):
-        found = proposals.propose_from_report(requests, CATALOG)
-        return found if able else found.filter(F.lit(False))
-
-    go = lambda: run(lambda: sp.start_repair(source(), propose, CATALOG, p("out"), p("c"), availableNow=True))
-    go()
-    state = sp.RepairState(p("out"))
-    assert state.waiting(spark).count() == 2 and spark.read.parquet(p("out/repaired")).count() == 0
-    able.append(True)
-    dead([3]).write.mode("append").parquet(p("dlq"))
-    go()  # a restart: the deferred events come back with the new one
-    assert spark.read.parquet(p("out/repaired")).count() == 3 and state.approved(spark).count() == 1
-    able.clear()
-    dead([4]).write.mode("append").parquet(p("dlq"))
-    go()  # no proposal any more, but an approved repair
-    repaired = spark.read.parquet(p("out/repaired"))
-    assert sorted(r.repair_source for r in repaired.collect()) == ["cache", "model", "model", "model"]
-    latest = repair.latest_decisions(state.decisions(spark))
-    assert {r.status for r in latest.collect()} == {"REPAIRED"} and latest.agg(F.max("deferrals")).first()[0] == 1
-
-
 def test_failed_batch_is_retried_as_a_whole(spark, tmp_path):
     changes(spark, (1, 5, 10)).write.parquet(str(tmp_path / "in"))
     source = lambda: spark.readStream.schema(CHANGE).parquet(str(tmp_path / "in"))

@@ -57,6 +57,12 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     file_system.delete(place, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder if it is not there."""
+    file_system, place = on_file_system(spark, path)
+    file_system.mkdirs(place)
+
+
 def on_file_system(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path there."""
     jvm = spark.sparkContext._jvm

@@ -13,7 +13,8 @@ from __future__ import annotations
 import json
 import uuid
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,11 @@ from tidegate import fixed_values as fixed
 from tidegate.functions.names import RenameHints
 from tidegate.operators import delivery, observe, proposals, repair, routing
 from tidegate.operators.joins import first_per
-from tidegate.plans.staging import drop_shared
+from tidegate.plans.staging import drop_shared, make_folder
 from tidegate.sources.catalog import Catalog
 from tidegate.sources.destinations import DestinationConfig, DestinationError, import_class
 from tidegate.streaming.ledger import BUCKETS, DeliveredIndex, children
+from tidegate.streaming.waiting import OUTCOME, due_events
 
 RUN_COLUMNS = ("run", "batch")
 
@@ -373,7 +375,7 @@ def read_destinations(spark: SparkSession, destinations: list[Destination], cata
 
 
 class RepairState:
-    """What a repair stream remembers: waiting dead letters, decisions and approved repairs, as tables below a folder."""
+    """What a repair stream has written: decisions, outcomes and approved repairs, as tables below a folder."""
 
     def __init__(self, root: str):
         self.root = root
@@ -397,43 +399,70 @@ class RepairState:
         found = self._table(spark, "approved", before)
         return None if found is None else first_per(found, ["fingerprint"], [F.col("approved_repair_id")])
 
-    def waiting(self, spark: SparkSession, before: tuple[str, int] | None = None) -> DataFrame | None:
-        return self._table(spark, "waiting", before)
+    def waiting(self, spark: SparkSession) -> DataFrame | None:
+        """Events that wait for another attempt (``event_id``, ``status``, ``feedback``, ``next_attempt``); for people, batches do not read it."""
+        outcomes = self._table(spark, "outcomes", None)
+        if outcomes is None:
+            return None
+        last = outcomes.groupBy("event_id").agg(F.max_by(F.struct("status", "feedback", "next_attempt"), "tried_at").alias("o"))
+        return last.select("event_id", "o.*").filter(~F.col("status").isin(*fixed.TERMINAL_STATUSES))
 
 
 def start_repair(dlq: DataFrame, propose: Callable[[DataFrame], DataFrame], catalog: Catalog, out: str, checkpoint: str,
-                 settings: repair.RepairSettings = repair.RepairSettings(), **trigger: Any) -> StreamingQuery:
-    """Decide a stream of dead letters: ``out/repaired``, ``out/audit`` and the state below ``out``.
-
-    ``propose`` turns repair requests into proposals.  Events without a final decision wait and
-    are tried again with every batch; approved repairs serve later events of the same shape.
+                 settings: repair.RepairSettings = repair.RepairSettings(), first_wait_seconds: float = 30,
+                 longest_wait_seconds: float = 3600, remember_days: float | None = None, **trigger: Any) -> StreamingQuery:
+    """Decide a stream of dead letters: ``out/repaired``, ``out/audit``, and the tables of ``RepairState`` below ``out``.
+
+    ``propose`` turns repair requests into proposals. A request carries ``feedback``, what earlier proposals
+    for its shape have to do better, and ``next_attempt``. Events without a final decision wait in the query's
+    state (``streaming.waiting``) and are tried again after a time that doubles with each deferral; the first
+    deferral is audited. Approved repairs serve later events of the same shape.
     """
-    state = RepairState(out)
+    state, spark = RepairState(out), dlq.sparkSession
+    make_folder(spark, f"{out}/outcomes")
+    outcomes = spark.readStream.schema(OUTCOME).parquet(f"{out}/outcomes/*/*")
+    due = due_events(dlq, outcomes, first_wait_seconds, longest_wait_seconds, remember_days)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        run = query_id(spark, checkpoint)
-        me = (run, batch_id)
-        decisions, waiting = state.decisions(spark, me), state.waiting(spark, me)
-        every = batch if waiting is None else batch.unionByName(waiting, allowMissingColumns=True)
-        pending = repair.pending_dlq(every, decisions).persist()
-        decided = repair.repair(pending, propose(proposals.repair_requests(pending)), catalog,
-                                approved=state.approved(spark, me), settings=settings).persist()
-        open_ids = decided.filter(~F.col("status").isin(*fixed.TERMINAL_STATUSES)).select("event_id")
+        me = (query_id(spark, checkpoint), batch_id)
+        pending = batch.withColumnsRenamed({"deferrals": "_deferrals", "feedback": "_feedback", "next_attempt": "_next_attempt"}).persist()
+        told = pending.groupBy(F.col("drift_report.fingerprint").alias("fingerprint")).agg(
+            F.max_by(F.struct(F.col("_feedback").alias("feedback"), F.col("_next_attempt").alias("next_attempt")), "_next_attempt").alias("t"))
+        requests = proposals.repair_requests(pending).join(told, "fingerprint", "left").select("*", "t.*").drop("t")
+        known = state.approved(spark, me)
+        decided = repair.repair(pending, propose(requests), catalog, approved=known, settings=settings).persist()
+        approved = repair.approve_repairs(decided)
+        again = repair.feedback(decided).select("event_id", F.col("next_attempt").cast("int").alias("next_attempt"), "feedback")
+        audit = repair.to_audit(decided, settings).unionByName(
+            repair.defer(decided.filter(F.col("_deferrals") == 0)), allowMissingColumns=True)
         outputs = {
-            "repaired": repair.to_repaired(decided, settings), "audit": repair.to_audit(decided, settings),
-            "decisions": repair.record_decisions(decided), "approved": repair.approve_repairs(decided),
-            "waiting": pending.join(open_ids, "event_id", "left_semi")}
+            "repaired": repair.to_repaired(decided, settings), "audit": audit, "decisions": repair.record_decisions(decided),
+            "approved": approved if known is None else approved.join(known.select("fingerprint"), "fingerprint", "left_anti"),
+            # the last one: it lets the events of this batch move on
+            "outcomes": decided.select("event_id", "status").join(again, "event_id", "left").select(
+                "event_id", "status", "feedback", "next_attempt", F.current_timestamp().alias("tried_at"))}
         try:
             for name, frame in outputs.items():
-                frame.write.mode("overwrite").parquet(f"{out}/{name}/run={run}/batch={batch_id}")
-            # each batch lists all that still waits; a replay needs the batch before, none needs older ones
-            drop_shared(spark, f"{out}/waiting/run={run}/batch={batch_id - 2}")
+                frame.write.mode("overwrite").parquet(f"{out}/{name}/run={me[0]}/batch={batch_id}")
         finally:
             decided.unpersist()
             pending.unpersist()
 
-    return _start(dlq, run_batch, checkpoint, trigger, name="repair")
+    # for timers Spark would go on with empty batches for ever, also where a query is to end
+    with _setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false" if trigger.keys() & {"availableNow", "once"} else "true"):
+        return _start(due, run_batch, checkpoint, trigger, name="repair")
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for what is started inside; queries keep those of their start."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _start(frame: DataFrame, run_batch, checkpoint: str, trigger: dict[str, Any],
