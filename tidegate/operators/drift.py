@@ -9,6 +9,8 @@ per drift shape; only the character similarity of names needs Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -366,20 +368,32 @@ def compare(resolved: DataFrame, matrix: TypeMatrix | None = None) -> DataFrame:
         "missing_fields", "unexpected_fields", "type_mismatches", "nullability_changes", "validation_errors"))
 
 
+#: Rows, the column of their shape, what describes a shape, and how shapes are scored -> rows with ``possible_renames``.
+Meet = Callable[[DataFrame, str, list[str], Callable[[DataFrame], DataFrame]], DataFrame]
+
+
 def report_renames(compared: DataFrame, matrix: TypeMatrix | None = None,
-                   hints: names.RenameHints | None = None) -> DataFrame:
+                   hints: names.RenameHints | None = None, meet: Meet | None = None) -> DataFrame:
     """Completes the report of compared rows: renames, classification, fingerprint.
 
     Renames depend on the shape of a drift, so they are scored once per shape; the rows of a
     shape are met again by a hash of it. Rows without both missing and unexpected fields have none.
+    ``meet`` does that otherwise (``streaming.shapes`` from a stored table).
     """
     needed = (F.size("missing_fields") > 0) & (F.size("unexpected_fields") > 0)
-    material = F.struct("contract_key", "missing_fields", "unexpected_fields", "facts")
+    material = F.struct("contract_key", "contract_schema", "missing_fields", "unexpected_fields", "facts")
     shaped = compared.withColumn("_shape", F.when(needed, F.sha2(F.to_json(material), 256)))
     one = ["missing_fields", "unexpected_fields", "facts", "fields"]
-    shapes = shaped.filter("_shape IS NOT NULL").groupBy("_shape").agg(*[F.first(c).alias(c) for c in one])
-    scored = assign_renames(rename_candidates(shapes, matrix or TypeMatrix(), hints or names.RenameHints()))
-    met = shaped.join(scored.select("_shape", "possible_renames"), "_shape", "left").drop("_shape")
+
+    def score(shapes: DataFrame) -> DataFrame:
+        scored = assign_renames(rename_candidates(shapes, matrix or TypeMatrix(), hints or names.RenameHints()))
+        return scored.select("_shape", "possible_renames")
+
+    if meet is None:
+        shapes = shaped.filter("_shape IS NOT NULL").groupBy("_shape").agg(*[F.first(c).alias(c) for c in one])
+        met = shaped.join(score(shapes), "_shape", "left").drop("_shape")
+    else:
+        met = meet(shaped, "_shape", one, score).drop("_shape")
     nothing = F.array().cast(f"array<{RENAME}>")
     renamed = met.withColumn("possible_renames", F.coalesce("possible_renames", nothing))
     return classify_drift(renamed).withColumn("fingerprint", fingerprint())

@@ -47,10 +47,11 @@ def route_changes(log: DataFrame, catalog: Catalog, compatible_type_change_routi
     return seal(kept.withColumn("outcome", outcome(compatible_type_change_routing)), ["outcome"])
 
 
-def with_reports(routed: DataFrame, matrix: TypeMatrix | None = None, hints: RenameHints | None = None) -> DataFrame:
+def with_reports(routed: DataFrame, matrix: TypeMatrix | None = None, hints: RenameHints | None = None,
+                 meet: drift.Meet | None = None) -> DataFrame:
     """Routed rows with their drift report; ``drift_type`` is NONE where nothing was compared."""
     compared = F.col("outcome").isin("validated", "validated:compatible_widening", "dlq:SCHEMA_DRIFT")
-    reported = drift.report_renames(routed, matrix, hints)
+    reported = drift.report_renames(routed, matrix, hints, meet)
     return reported.withColumn("drift_type", F.when(compared, F.col("drift_type")).otherwise("NONE"))
 
 
@@ -71,9 +72,14 @@ def to_validated(routed: DataFrame) -> DataFrame:
         "topic", "partition", "offset", F.current_timestamp().alias("validated_at"))
 
 
-def to_dlq(routed: DataFrame, matrix: TypeMatrix | None = None, hints: RenameHints | None = None) -> DataFrame:
-    """Dead letters with everything needed to decide on a repair."""
-    dead = with_reports(routed.filter(F.col("outcome").startswith("dlq:")), matrix, hints)
+def to_dlq(routed: DataFrame, matrix: TypeMatrix | None = None, hints: RenameHints | None = None,
+           meet: drift.Meet | None = None) -> DataFrame:
+    """Dead letters with everything needed to decide on a repair.
+
+    Without ``meet`` nothing runs before the result is asked for, and the log is decoded for the shapes and for the
+    rows. With the one of a ``ShapeDictionary``, hand in routed rows that are stored or persisted.
+    """
+    dead = with_reports(routed.filter(F.col("outcome").startswith("dlq:")), matrix, hints, meet)
     reason = F.regexp_extract("outcome", "^dlq:(.*)$", 1)
     drifted = F.col("outcome") == "dlq:SCHEMA_DRIFT"
     malformed = F.col("outcome").startswith("dlq:MALFORMED")

@@ -24,6 +24,7 @@ from tidegate.sources.changelog import read_change_log
 from tidegate.sources.destinations import DestinationConfig
 from tidegate.functions.sqltypes import TypeMatrix
 from tidegate.streaming import pipelines
+from tidegate.streaming.shapes import ShapeDictionary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,7 +63,9 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(routing.to_dlq(routed(spark, sf_dir)), "dlq")
+    shapes = ShapeDictionary(f"{shared_folder(spark)}/shapes-{uuid.uuid4().hex}")
+    dead = staged(routed(spark, sf_dir).where(F.col("outcome").startswith("dlq:")), "dead")
+    return staged(routing.to_dlq(dead, meet=shapes.meet), "dlq")
 
 
 @lru_cache(maxsize=4)

@@ -29,6 +29,7 @@ from tidegate.plans.staging import drop_shared, make_folder
 from tidegate.sources.catalog import Catalog
 from tidegate.sources.destinations import DestinationConfig, DestinationError, import_class
 from tidegate.streaming.ledger import BUCKETS, DeliveredIndex, children
+from tidegate.streaming.shapes import ShapeDictionary
 from tidegate.streaming.waiting import OUTCOME, due_events
 
 RUN_COLUMNS = ("run", "batch")
@@ -52,15 +53,16 @@ def _read(spark: SparkSession, path: str, schema: str, kind: str = "parquet") ->
 def start_validation(log: DataFrame, catalog: Catalog, out: str, checkpoint: str,
                      hints: RenameHints | None = None, compatible_type_change_routing: str = "dlq",
                      **trigger: Any) -> StreamingQuery:
-    """Route a change log stream into ``out/validated``, ``out/dlq`` and ``out/counts``."""
+    """Route a change log stream into ``out/validated``, ``out/dlq`` and ``out/counts``; renames are kept by shape in ``out/shapes``."""
+    shapes = ShapeDictionary(f"{out}/shapes", catalog.matrix, hints)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = query_id(spark, checkpoint)
         routed = routing.route_changes(batch, catalog, compatible_type_change_routing).persist()
-        outputs = {"validated": routing.to_validated(routed), "dlq": routing.to_dlq(routed, catalog.matrix, hints),
-                   "counts": observe.outcome_counts(routing.with_reports(routed, catalog.matrix, hints))}
         try:
+            outputs = {"validated": routing.to_validated(routed), "dlq": routing.to_dlq(routed, catalog.matrix, hints, shapes.meet),
+                       "counts": observe.outcome_counts(routing.with_reports(routed, catalog.matrix, hints, shapes.meet))}
             for name, frame in outputs.items():
                 frame.write.mode("overwrite").parquet(f"{out}/{name}/run={run}/batch={batch_id}")
         finally:
