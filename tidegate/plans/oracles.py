@@ -265,6 +265,8 @@ ORACLES: dict[str, str] = {
         CASE WHEN c IN (1, 2, 3) THEN 'cache' ELSE '' END AS repair_source FROM feed WHERE c BETWEEN 1 AND 7""",
     "deferred_events": """SELECT 'cdc.mutations/' || p_partkey % 3 || '/' || p_partkey AS correlation_id,
         'RENAMED_COLUMN' AS drift_type, 'DEFERRED' AS repair_result FROM part WHERE p_partkey % 10 = 1""",
+    "deferrals_over_batches": f"""WITH {_FEED} SELECT 'cdc.mutations/' || p_partkey % 3 || '/' || p_partkey AS correlation_id, {_STATUS} AS status,
+        (c = 1)::BIGINT AS deferrals, (c = 1)::BIGINT AS deferred_audits, 1 + (c = 1)::BIGINT AS audits FROM feed WHERE c BETWEEN 1 AND 7""",
     "retry_feedback": f"""WITH {_FEED}, lines AS (SELECT unnest(CASE c
           WHEN 1 THEN [
             'meet the contract: $: Additional properties are not allowed (''stock_quantity'' was unexpected)',

@@ -418,6 +418,26 @@ def deferred_events(spark, sf_dir):
     return repair.defer(waiting).select("correlation_id", "drift_type", "repair_result")
 
 
+@query
+def deferrals_over_batches(spark, sf_dir):
+    """The dead letters through the repair stream: renames find no proposer in its first run and one after its restart."""
+    folder = f"{shared_folder(spark)}/repairs-{uuid.uuid4().hex}"
+    dead_letters(spark, sf_dir).write.parquet(f"{folder}/dlq")
+    schema = dead_letters(spark, sf_dir).schema
+    for able in (False, True):
+        def propose(requests):
+            found = proposals.propose_from_report(requests, default_catalog())
+            return found if able else found.filter("classification <> 'RENAMED_COLUMN'")
+
+        pipelines.start_repair(spark.readStream.schema(schema).parquet(f"{folder}/dlq"), propose, default_catalog(), f"{folder}/out",
+                               f"{folder}/checkpoint", first_wait_seconds=0, availableNow=True).awaitTermination()
+    decided = repair.latest_decisions(pipelines.RepairState(f"{folder}/out").decisions(spark))
+    audit = spark.read.parquet(f"{folder}/out/audit").groupBy("event_id").agg(
+        F.first("correlation_id").alias("correlation_id"), F.count_if(F.col("repair_result") == "DEFERRED").alias("deferred_audits"),
+        F.count("*").alias("audits"))
+    return decided.join(audit, "event_id").select("correlation_id", "status", "deferrals", "deferred_audits", "audits")
+
+
 @query
 def retry_feedback(spark, sf_dir):
     """A first attempt that keeps unexpected fields is sent back with directions."""
