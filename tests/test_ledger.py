@@ -66,7 +66,7 @@ def test_a_stop_between_data_and_ids(spark, tmp_path, kind):
         new = target().not_delivered(dl.dedupe_batch(frame), CATALOG, run_, batch_id).persist()
         target().write(new, CATALOG, run_, batch_id)
         if ended:
-            target().written(new, CATALOG, run_, batch_id)
+            target().after_write(new, CATALOG, run_, batch_id)
         return sorted(r.event_id for r in new.collect())
 
     assert batch(one, "r", 0) == ["e-1-10", "e-2-10"]

@@ -658,7 +658,7 @@ def ledger_index(spark, sf_dir):
     for run, batch_id, batch in (("a", 0, batches[0]), ("a", 1, batches[1]), ("a", 1, batches[1]), ("b", 0, events), ("b", 1, events)):
         new = target.not_delivered(delivery.dedupe_batch(batch), default_catalog(), run, batch_id)
         target.write(new, default_catalog(), run, batch_id)
-        target.written(new, default_catalog(), run, batch_id)
+        target.after_write(new, default_catalog(), run, batch_id)
     stored = spark.read.text(folder).where("batch is not null")
     return stored.select(F.get_json_object("value", "$._event_id").alias("event_id"), F.get_json_object("value", "$._op").alias("op"),
                          F.get_json_object("value", "$.value").cast("double").alias("value"), "run", F.col("batch").cast("int").alias("batch"))

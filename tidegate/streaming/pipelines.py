@@ -90,7 +90,7 @@ class Destination(ABC):
         held = self.delivered(changes.sparkSession, run, batch_id)
         return changes if held is None else delivery.drop_delivered(changes, held)
 
-    def written(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
+    def after_write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
         """Called after a batch is stored; may run again for the same batch."""
 
 
@@ -149,7 +149,7 @@ class _Log(_FileDestination):
         self.ledger.heal(spark, f"{self.root}{self._above_runs}", ids_of, run, batch_id)
         return self.ledger.drop_held(changes, run, batch_id)
 
-    def written(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
+    def after_write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
         self.ledger.add(changes.select("event_id"), run, batch_id)
 
     def _stored_ids(self, spark: SparkSession) -> DataFrame | None:
@@ -205,9 +205,9 @@ class TableLog(_Log):
             delivery.append_changelog_table(changes, catalog.contracts[ref], f"{self.root}/table={folder}/{place}", "overwrite")
         changes.join(contracts, "table_ref", "left_anti").write.mode("overwrite").parquet(f"{self.root}/_unrouted/{place}")
 
-    def written(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
+    def after_write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
         contracts = catalog.contracts_df(changes.sparkSession).select(F.col("contract_key").alias("table_ref"))
-        super().written(changes.join(contracts, "table_ref", "left_semi"), catalog, run, batch_id)
+        super().after_write(changes.join(contracts, "table_ref", "left_semi"), catalog, run, batch_id)
 
     def _stored_ids(self, spark: SparkSession) -> DataFrame | None:
         return _read(spark, self.root, "_event_id string, `table` string, dt date")
@@ -339,7 +339,7 @@ def start_delivery(changes: DataFrame, config: DestinationConfig, catalog: Catal
         new = target.not_delivered(delivery.dedupe_batch(mine), catalog, run, batch_id).persist()
         try:
             target.write(new, catalog, run, batch_id)
-            target.written(new, catalog, run, batch_id)
+            target.after_write(new, catalog, run, batch_id)
             if attempts:
                 n, n_new = mine.count(), new.count()
                 _attempted(spark, config.name, {"delivered": n_new, "duplicate": n - n_new}, f"{attempts}/run={run}/batch={batch_id}")
