@@ -13,6 +13,10 @@ A pass over the bytes finds the texts that have any long run or dotted parts at
 texts never meet an expression. Offsets are code points, ends exclusive. Spans are sorted by start, then by kind in
 the order of ``KINDS``.
 
+Limits of what counts as a key: ``MOST_PARTS`` direct parts, ``MOST_ITEMS`` items nested in them on ``DEEPEST`` levels,
+``MOST_KEYS`` keys in one OpenSSH file. A text is worked on in time that grows with its length: lines that belong together are joined once, and a
+line that only looks like the start of a key costs a few header reads.
+
 Defined results: a null or empty text has no spans; repeated rows are scanned each; an empty table
 gives an empty result; other columns are not read and may have any names.
 """
@@ -23,7 +27,10 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +51,16 @@ BASE_KINDS = KINDS[:3]
 SHORTEST_RUN = 20
 #: Characters of the shortest encoded key.
 SHORTEST_KEY = 40
+#: Direct parts of a private key (nine numbers and a list of further primes), items and levels nested in them, keys in
+#: one OpenSSH file.
+MOST_PARTS, MOST_ITEMS, DEEPEST, MOST_KEYS = 10, 256, 16, 64
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST_KEY)
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 #: Between the lines of a key: line ends, written out or not, and the ends of joined strings.
 _GAP = r"(?:\s|\\+(?:[nrt]|u000[aAdD9]|(?=[\r\n\"']))|[\"'][ \t]*(?:[+.,;&\\][ \t]*)?(?=\s|\\|[\"'])|(?:(?<=\s)[+.&][ \t]*)?[\"'](?=[A-Za-z0-9+/=-]))"
-_HEADER = r"[A-Za-z][A-Za-z0-9-]*:[^\r\n\\\"']*"
+_HEADER = r"[A-Za-z][A-Za-z0-9-]*+:(?:[^\r\n\\\"'-]|-(?!----))*+"
 _ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----(?:%s)*+((?:%s(?:%s)++)*+)((?:%s|[A-Za-z0-9+=]|\\*/)*+)"
                      r"-----END \1PRIVATE KEY-----" % (_GAP, _HEADER, _GAP, _GAP))
 _GAPS = re.compile(_GAP + "|\\\\+(?=/)|[\"']$")
@@ -59,6 +69,7 @@ _DEK = re.compile(r"^DEK-Info: *[A-Z0-9-]+-CBC, *([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32
 _FIRST_LINE = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))(?:M[A-P]|b3BlbnNz)(?=[A-Za-z0-9+/_-]{%d})" % (SHORTEST_RUN - 8))
 _LINE = re.compile(r"(?:[A-Za-z0-9+_-]|\\*/)+")
 _BETWEEN = re.compile(f"(?:{_GAP})+")
+_PADDING = re.compile("={0,2}")
 #: Characters of the shortest header of a signed token.
 _DOTTED = 10
 _IN_RUN = np.zeros(256, bool)
@@ -67,78 +78,111 @@ _SPANS = ArrayType(StructType().add("kind", "string").add("start", "long").add("
 
 _INTEGER, _OCTETS, _OBJECT, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
+#: Bytes ``start`` to ``end`` of what is looked at, fewer where it ends.
+Read = Callable[[int, int], bytes]
+#: An item: its tag, and where its content starts and ends.
+Item = tuple[int, int, int]
 
-def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
-    """Tags and contents that fill ``data`` exactly, with all nested ones checked; None if they don't."""
-    items, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data) or depth > 16:
-            return None
-        tag, size, at = data[at], data[at + 1], at + 2
-        if size & 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data):
-                return None
-            size, at = int.from_bytes(data[at : at + n]), at + n
-        if at + size > len(data):
-            return None
-        body, at = data[at : at + size], at + size
-        if tag & 0x20 and der_items(body, depth + 1) is None:
-            return None
-        items.append((tag, body))
-    return items
+
+def der_header(read: Read, at: int, end: int) -> Item | None:
+    """The item at a place, if it ends by ``end``."""
+    head = read(at, min(at + 6, end))
+    n = head[1] & 0x7F if len(head) > 1 and head[1] & 0x80 else 0
+    if len(head) < 2 + n or n > 4 or head[1] == 0x80:
+        return None
+    start = at + 2 + n
+    stop = start + (int.from_bytes(head[2 : 2 + n]) if n else head[1])
+    return (head[0], start, stop) if stop <= end else None
 
 
-def is_der_key(data: bytes) -> bool:
+def der_parts(read: Read, item: Item, most: int) -> list[Item] | None:
+    """The items that fill another exactly, by their headers only; None if they don't or are more than ``most``."""
+    parts, (_, at, end) = [], item
+    while at < end:
+        part = der_header(read, at, end)
+        if part is None or len(parts) == most:
+            return None
+        parts.append(part)
+        at = part[2]
+    return parts
+
+
+def der_holds(read: Read, items: list[Item]) -> bool:
+    """Whether all that is nested in items fills its place exactly."""
+    n, depth = 0, 0
+    while items:
+        below = []
+        for item in items:
+            if item[0] & 0x20:
+                parts = der_parts(read, item, MOST_ITEMS - n)
+                if parts is None or depth == DEEPEST:
+                    return False
+                n += len(parts)
+                below += parts
+        items, depth = below, depth + 1
+    return True
+
+
+def is_der_key(read: Read, size: int) -> bool:
     """A private key: a version with numbers (RSA), with an algorithm and octets, or with octets (EC)."""
-    if data[:1] != bytes([_SEQUENCE]):
+    outer = der_header(read, 0, size)
+    if not outer or outer[0] != _SEQUENCE or outer[2] != size:
         return False
-    outer = der_items(data)
-    if not outer or len(outer) != 1:
+    items = der_parts(read, outer, MOST_PARTS)
+    if not items:
         return False
-    items = der_items(outer[0][1]) or []
-    tags = [tag for tag, _ in items]
+    tags, algorithm = [tag for tag, *_ in items], None
     if tags == [_SEQUENCE, _OCTETS]:  # encrypted: an algorithm with parameters, then whole octets
-        return [tag for tag, _ in der_items(items[0][1]) or []] == [_OBJECT, _SEQUENCE] and len(items[1][1]) >= 16
-    if not tags or tags[0] != _INTEGER or int.from_bytes(items[0][1]) > 1:
+        if items[1][2] - items[1][1] < 16:
+            return False
+        algorithm = [_OBJECT, _SEQUENCE]
+    elif tags[0] != _INTEGER or items[0][2] - items[0][1] != 1 or read(*items[0][1:])[0] > 1:
         return False
-    if len(tags) >= 6 and set(tags) == {_INTEGER}:
-        return True
-    if tags[1:3] == [_SEQUENCE, _OCTETS]:
-        return (der_items(items[1][1]) or [(0, b"")])[0][0] == _OBJECT
-    return tags[1:2] == [_OCTETS] and len(items[1][1]) >= 16
+    elif tags[1:3] == [_SEQUENCE, _OCTETS]:
+        algorithm = [_OBJECT]
+    elif not (len(tags) >= 6 and set(tags) == {_INTEGER} or tags[1:2] == [_OCTETS] and items[1][2] - items[1][1] >= 16):
+        return False
+    if algorithm:
+        own = der_parts(read, items[tags.index(_SEQUENCE)], MOST_PARTS)
+        if not own or [tag for tag, *_ in own][: None if len(algorithm) == 2 else 1] != algorithm:
+            return False
+    return der_holds(read, items)
 
 
-def openssh_size(data: bytes) -> int | None:
-    """Bytes of the key that ``data`` starts with.
+def openssh_size(read: Read) -> int | None:
+    """Bytes of the key at the start of what ``read(start, end)`` gives.
 
     The magic, cipher, derivation and its options, the number of keys, that many public parts and a private one.
     """
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if read(0, len(magic)) != magic:
         return None
     at, fields, keys = len(magic), 0, None
     while keys is None or fields < 3 + keys + 1:
+        head = read(at, at + 4)
+        if len(head) < 4:
+            return None
+        number, at = int.from_bytes(head), at + 4
         if fields == 3 and keys is None:
-            if at + 4 > len(data):
-                return None
-            keys, at = int.from_bytes(data[at : at + 4]), at + 4
-            if not 1 <= keys <= 64:
+            if not 1 <= number <= MOST_KEYS:
                 return None
-            continue
-        size = int.from_bytes(data[at : at + 4])
-        if at + 4 > len(data) or at + 4 + size > len(data):
-            return None
-        at, fields = at + 4 + size, fields + 1
+            keys = number
+        else:
+            at, fields = at + number, fields + 1
     return at
 
 
-def is_openssh_key(data: bytes) -> bool:
-    return openssh_size(data) == len(data)
+def key_size(read: Read, size: int | None) -> int | None:
+    """Bytes of the key at the start, ``size`` of them if known; None if there is none."""
+    own = openssh_size(read)
+    if own is None:
+        outer = der_header(read, 0, size or 1 << 33)
+        own = outer[2] if outer and is_der_key(read, outer[2]) else None
+    return own if size in (None, own) else None
 
 
 def is_key(data: bytes) -> bool:
-    return is_der_key(data) or is_openssh_key(data)
+    return key_size(lambda start, end: data[start:end], len(data)) == len(data)
 
 
 def _decoded(run: str) -> Iterator[bytes]:
@@ -168,51 +212,63 @@ def is_armoured_key(headers: str, body: str) -> bool:
     return len(data) >= 16 and len(data) % (len(iv[1]) // 2) == 0
 
 
-def _der_size(data: bytes) -> int | None:
-    """Bytes of the sequence that ``data`` starts with, by its header."""
-    n = data[1] & 0x7F if data[1] & 0x80 else 0
-    if n > 4 or data[1] == 0x80:
-        return None
-    return 2 + n + (int.from_bytes(data[2 : 2 + n]) if n else data[1])
+class _Run:
+    """Lines of base64 in a text that only gaps part: one string, with the places where each line starts and ends."""
+
+    def __init__(self, text: str, start: int):
+        parts, self.starts, self.ends, self.until = [], [], [], [0]
+        line = _LINE.match(text, start)
+        while line:
+            parts.append(line[0].replace("\\", ""))
+            self.starts.append(line.start())
+            self.ends.append(line.end())
+            self.until.append(self.until[-1] + len(parts[-1]))
+            gap = _BETWEEN.match(text, line.end())
+            line = gap and _LINE.match(text, gap.end())
+        self.chars = "".join(parts).replace("-", "+").replace("_", "/")
+
+    def read(self, line: int, start: int, end: int) -> bytes:
+        """Bytes ``start`` to ``end`` of what is encoded from a line on, fewer where the run ends."""
+        first = self.until[line] + start // 3 * 4
+        chars = self.chars[first : self.until[line] + (end + 2) // 3 * 4]
+        chars = chars[: len(chars) - (len(chars) % 4 == 1)]
+        return base64.b64decode(chars + "=" * (-len(chars) % 4))[start % 3 : start % 3 + end - start]
 
 
 def wrapped_keys(text: str) -> Iterator[tuple[int, int]]:
-    """Starts and ends of keys in base64 over lines, from the first line to where the key's lengths end."""
-    done = 0
+    """Starts and ends of keys in base64 over lines, from the first line to where the key's lengths end.
+
+    Lines that belong together are joined once. Each line that looks like a key's first one is tried by its place in
+    the joined run: only the headers of its items are decoded, and a line must end where the key does.
+    """
+    done, run = 0, None
     for first in _FIRST_LINE.finditer(text):
-        if first.start() < done:
+        start = first.start()
+        if start < done:
             continue
-        line = _LINE.match(text, first.start())
-        run, end, need = line[0].replace("\\", ""), line.end(), None
-        if run[0] == "M":
-            size = _der_size(base64.b64decode(run[:8].replace("-", "+").replace("_", "/")))
-            if size is None or size * 4 > 3 * (len(text) - first.start()) + 3:
-                continue
-            need = (size * 4 + 2) // 3
-        parts, n = [run], len(run)
-        while (need is None or n < need) and (gap := _BETWEEN.match(text, end)) and (line := _LINE.match(text, gap.end())):
-            parts.append(line[0].replace("\\", ""))
-            n, end = n + len(parts[-1]), line.end()
-            if need is None and text[end : end + 1] == "=":
-                break
-        run = "".join(parts).replace("-", "+").replace("_", "/")
-        if need is None:  # the fields say how long it is; its last line may be followed by more
-            size = openssh_size(base64.b64decode(run[: len(run) - (len(run) % 4 == 1)] + "=" * (-len(run) % 4 % 3)))
-            if size is None:
-                continue
-            need, n, end = (size * 4 + 2) // 3, 0, first.start()
-            for part in parts:
-                at = _BETWEEN.match(text, end)
-                end = _LINE.match(text, at.end() if at and n else end).end()
-                n += len(part)
-                if n >= need:
-                    break
-        if n != need:
+        if run is None or start > run.starts[-1]:
+            run = _Run(text, start)
+        line = bisect_left(run.starts, start)
+        read = partial(run.read, line)
+        size = key_size(read, None)
+        if size is None:
             continue
-        data = base64.b64decode(run[:need] + "=" * (-need % 4))
-        if is_key(data):
-            done = end + len(re.compile("={0,2}").match(text, end)[0])
-            yield first.start(), done
+        need = run.until[line] + (size * 4 + 2) // 3
+        last = bisect_left(run.until, need)
+        if last < len(run.until) and run.until[last] == need:
+            done = run.ends[last - 1] + len(_PADDING.match(text, run.ends[last - 1])[0])
+            yield start, done
+
+
+def apart_from(spans: Iterable[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans that overlap none of ``taken``."""
+    taken = sorted(taken)
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))
+    for a, b in spans:
+        n = bisect_left(starts, b)
+        if n == 0 or reach[n - 1] <= a:
+            yield a, b
 
 
 def _json_object(part: str) -> dict | None:
@@ -246,7 +302,7 @@ def spans_of(text: str, has_run: bool = True) -> list[tuple[str, int, int]]:
         found += [("signed_token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
         keys = [m.span() for m in _RUN.finditer(text) if any(map(is_key, _decoded(m[0])))]
         taken = armoured + keys
-        keys += [(a, b) for a, b in wrapped_keys(text) if not any(a < d and c < b for c, d in taken)]
+        keys += apart_from(wrapped_keys(text), taken)
         found += [("key", *span) for span in keys]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
