@@ -11,6 +11,8 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tidegate.llm import byte_bpe, token_shards
 from tidegate.llm.common import offsets
 
@@ -114,5 +116,28 @@ def test_shards_hold_every_sequence_once(spark, docs, library, monkeypatch):
     assert sorted(r.slot for r in some) == list(range(21, 51)) and all(r == read[r.slot] for r in some)
 
 
+def test_order_is_that_of_files_and_rows(spark, tmp_path, monkeypatch):
+    """The same slots under two split sizes and with files gathered in tasks in other ways; gapless, and each file in order."""
+    monkeypatch.setattr(token_shards, "BLOCK", 16)
+    path = str(tmp_path / "docs")
+    rows = spark.range(0, 3000, numPartitions=3).select("id", F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), 40).alias("text"))
+    rows.withColumn("_metadata", F.lit("clash")).write.option("parquet.block.size", 8 << 10).option("parquet.page.row.count.limit", 100).parquet(path)
+    got, parts = [], set()
+    for split, cost in (("16k", "0"), ("1m", "1m"), ("64m", "4m")):
+        old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        try:
+            for k, v in zip(old, (split, cost)):
+                spark.conf.set(k, v)
+            docs = spark.read.parquet(path)
+            parts.add(docs.rdd.getNumPartitions())
+            blocks = token_shards.shards(docs, RANKS, PATTERN, end=50256, seed=7, length=16, key="id")
+            got.append(sorted((r.slot, r.key, r.part) for r in token_shards.read_from(blocks).collect()))
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+    assert len(parts) >= 2 and got[0] == got[1] == got[2]
+    assert [slot for slot, *_ in got[0]] == list(range(len(got[0])))
+
+
 def test_no_shards_of_an_empty_table(docs):
     assert token_shards.shards(docs.limit(0), RANKS, PATTERN, end=50256, seed=7, key="id").count() == 0

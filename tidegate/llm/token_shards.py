@@ -1,15 +1,17 @@
 """Operator 2: token ids as binary shards in training order.
 
 Texts become token ids, closed by an end mark and cut into sequences of ``length`` tokens. The
-sequences are numbered without gaps (each task counts its own, the counts of all tasks give their
-first numbers), and a keyed Feistel network permutes the numbers: it is a bijection of a power of
+sequences are numbered without gaps in the order of files and of rows in them (each split of a file is
+counted, the counts of all splits give their first numbers), and a keyed Feistel network permutes the numbers: it is a bijection of a power of
 four, and numbers that leave the range are sent through it again until they are back (cycle
 walking), so every sequence gets one slot of 0 .. n - 1 and every slot one sequence. Slots are dealt
 out by range. A shard holds ``SHARD`` consecutive slots, in blocks of records of one fixed stride,
 in order; a reader finds any slot by division and goes on from there (``read_from``).
 
-Order depends on the key and the input's partitions alone, and the numbered sequences are a written
-table, so a lost executor or a repeated task changes no slot.
+Order depends on the key and on the files' paths and rows alone: not on split sizes, cores or which task
+read what. The numbered sequences are a written table, so a lost executor or a repeated task changes no
+slot. ``docs`` should be a scan with filters and projections, one count a split; the order of rows that
+were not read from files, or shuffled since, follows their partitions: write such a frame first.
 
 Defined results: a null or empty text is one sequence of the end mark alone; repeated rows have
 sequences of their own; an empty table has no shards; other columns are not read and may have any
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
@@ -80,24 +83,39 @@ def _tokenizer(spec: tuple[dict[bytes, int], str]) -> tiktoken.Encoding:
     return tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def with_places(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``text``, and where a row was read: ``file`` and the ``start`` of its split; no file if it was not read from one."""
+    columns = [docs[key].alias("key"), docs[text].alias("text")]
+    try:
+        read = docs.metadataColumn("_metadata")
+        return docs.select(*columns, read["file_path"].alias("file"), read["file_block_start"].alias("start"))
+    except AnalysisException:
+        return docs.select(*columns, F.lit("").alias("file"), F.lit(0).cast("long").alias("start"))
+
+
 def number_sequences(docs: DataFrame, ranks_path: str, pattern: str, end: int, length: int, *, key: str,
                      text: str) -> DataFrame:
-    """``key``, ``ids`` (16-bit), and the sequences' place: ``task`` and ``first`` of the ``n`` of a text. One scan."""
+    """``key``, ``ids`` (16-bit), and the sequences' place: ``file``, ``start`` and ``task``, and ``first`` of the ``n`` of a
+    text in that place. One scan."""
     shared = Shared(docs.sparkSession, (read_ranks(ranks_path), pattern), _tokenizer)
-    schema = docs.select(docs[key].alias("key")).schema.add("ids", "binary").add("task", "integer").add("first", "long").add("n", "long")
+    rows = with_places(docs, key, text)
+    schema = (rows.select("key").schema.add("ids", "binary").add("file", "string").add("start", "long").add("task", "integer")
+              .add("first", "long").add("n", "long"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, first = shared.get().encode_ordinary, TaskContext.get().partitionId(), 0
+        encode, task, used = shared.get().encode_ordinary, TaskContext.get().partitionId(), {}
         for batch in rows:
             ids = [np.array([*encode(t), end], np.uint16) for t in text_list(batch.column(1))]
-            n = np.array([-(-len(i) // length) for i in ids], np.int64)
-            at = first + offsets(n)
-            first = int(at[-1])
+            n = [-(-len(i) // length) for i in ids]
+            first = []
+            for place, size in zip(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()), n):
+                first.append(used.get(place, 0))
+                used[place] = first[-1] + size
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary()),
-                 pa.array(np.full(len(n), task, np.int32)), pa.array(at[:-1]), pa.array(n)], names=schema.names)
+                [batch.column(0), pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary()), batch.column(2), batch.column(3),
+                 pa.array(np.full(len(n), task, np.int32)), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=schema.names)
 
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def shards(docs: DataFrame, ranks_path: str, pattern: str, *, end: int, seed: int, length: int = LENGTH,
@@ -107,9 +125,9 @@ def shards(docs: DataFrame, ranks_path: str, pattern: str, *, end: int, seed: in
     """
     spark = docs.sparkSession
     numbered = staged(number_sequences(docs, ranks_path, pattern, end, length, key=key, text=text), "sequences", "zstd")
-    counts = numbered.groupBy("task").agg(F.sum("n").alias("n")).orderBy("task").collect()
-    total = sum(r.n for r in counts)
-    starts = dict(zip((r.task for r in counts), offsets(np.array([r.n for r in counts], np.int64)).tolist()))
+    counts = sorted(map(tuple, numbered.groupBy("file", "start", "task").agg(F.sum("n")).collect()))  # a row for each split
+    total = sum(n for *_, n in counts)
+    starts = dict(zip((tuple(place) for *place, _ in counts), offsets(np.array([n for *_, n in counts], np.int64)).tolist()))
     shared = Shared(spark, (starts, total, seed), lambda p: (p[0], Permutation(p[1], p[2])))
     stride = 2 * length
     placed_schema = numbered.select(F.lit(0).cast("long").alias("slot"), "key").schema.add("part", "long").add("record", "binary")
@@ -117,8 +135,9 @@ def shards(docs: DataFrame, ranks_path: str, pattern: str, *, end: int, seed: in
     def place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_of, order = shared.get()
         for batch in rows:
-            task, first, n = (batch.column(i).to_numpy() for i in (2, 3, 4))
-            number = np.array([first_of[t] for t in task.tolist()], np.int64) + first
+            first, n = (batch.column(i).to_numpy() for i in (5, 6))
+            places = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            number = np.array([first_of[place] for place in places], np.int64) + first
             which, part = np.repeat(np.arange(len(n)), n), ragged(np.zeros(len(n), np.int64), n)
             ids = batch.column(1).to_pylist()
             records = [ids[i][p * stride : (p + 1) * stride] for i, p in zip(which.tolist(), part.tolist())]
