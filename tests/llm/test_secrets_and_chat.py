@@ -321,12 +321,18 @@ def test_ties_odd_vectors_and_small_tables(spark, monkeypatch):
     rows = [(i, same) for i in range(0, 40)] + [(100, [1.0, 2.0, 2.1]), (101, None), (102, [0.0, 0.0, 0.0]), (103, [1.0, None, 1.0]),
             (104, [float("nan"), 1.0, 1.0]), (105, [float("inf"), 1.0, 1.0]), (None, same), (200, [1.0, 0.0]), (300, [0.0, 1.0]), (100, [1.0, 2.0, 2.1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
-    vectors = {i: np.array(v, np.float32).astype(float).tolist() for i, v in rows if i is not None and v and i not in (102, 103, 104, 105)}
+    good = [(r, i, np.array(v, np.float32).astype(float)) for r, (i, v) in enumerate(rows) if v and i not in (102, 103, 104, 105)]
     got = neighbours.nearest(table, F.col("id") % 100 == 0)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
-    want = exact(vectors, [0, 100, 200, 300], 10)
-    found = sorted(map(tuple, got.collect()))
+    want = []
+    for r, q, x in good:  # every row but the query's own, also with its id or without any
+        if q is not None and q % 100 == 0:
+            near = sorted((float(np.sqrt(((x - y) ** 2).sum())), i is None, i or 0) for o, i, y in good if o != r and len(x) == len(y))
+            want += [(q, k, None if none else i, d) for k, (d, none, i) in enumerate(near[:10], 1)]
+    order = lambda t: (t[0], t[1], t[2] is None, t[2] or 0, t[3])
+    found, want = sorted(map(tuple, got.collect()), key=order), sorted(want, key=order)
     assert [f[:3] for f in found] == [w[:3] for w in want] and np.allclose([f[3] for f in found], [w[3] for w in want], atol=1e-12)
+    assert sum(f[2] == 100 for f in found) >= 2
     assert neighbours.nearest(table.limit(0), F.col("id") % 100 == 0).count() == 0
 
 

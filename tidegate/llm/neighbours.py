@@ -12,10 +12,10 @@ All shards see all queries, which come in blocks of at most ``QUERY_BLOCK`` vect
 returns at most k rows for a query, and their nearest k are the answer.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part;
-nor do rows with a null id; rows that share an id are one vector, the smallest component by
-component; vectors of another length than the query's are not its candidates; equal distances go
-to the smaller id; fewer than k candidates are all returned; empty tables give an empty result;
-other columns are not read and may have any names.
+rows that share an id, or have none, are vectors of their own, and each row that is a query has ranks of its
+own; vectors of another length than the query's are not its candidates; equal distances go to the smaller
+id, a null id last; fewer than k candidates are all returned; empty tables give an empty result; other
+columns are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -50,9 +50,9 @@ def usable(vector: Column) -> Column:
 
 
 def vectors_of(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id`` and ``v`` (doubles) of the rows that take part, one for each id."""
+    """``row`` (a mark of its own), ``id`` and ``v`` (doubles) of the rows that take part."""
     rows = table.select(table[key].cast("long").alias("id"), table[vector].cast("array<double>").alias("v"))
-    return rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.where(usable(F.col("v"))).select(F.monotonically_increasing_id().alias("row"), "id", "v")
 
 
 def directions(size: int) -> np.ndarray:
@@ -60,36 +60,42 @@ def directions(size: int) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
-    """One row for each shard: ``size``, ``ids``, ``data``, and the sorted arrays as ``order`` and ``values``."""
-    def shard(ids: list[int], data: list[np.ndarray], size: int) -> pa.RecordBatch:
-        data = np.stack(data)
+    """One row for each shard: ``size``, ``rows``, ``ids``, ``data``, and the sorted arrays as ``order`` and ``values``.
+
+    The rows of a shard are in the order of their ids, null last.
+    """
+    def shard(own: list[tuple[int, int | None]], data: list[np.ndarray], size: int) -> pa.RecordBatch:
+        by_id = sorted(range(len(own)), key=lambda i: (own[i][1] is None, own[i][1] or 0))
+        data = np.stack([data[i] for i in by_id])
+        rows, ids = (np.array([own[i][j] or 0 for i in by_id], np.int64) for j in (0, 1))
+        named = sum(i is not None for _, i in own)
         values = directions(size) @ data.T
         order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
-        blobs = (np.array(ids, np.int64), data, order, np.take_along_axis(values, order.astype(np.int64), 1))
-        return pa.RecordBatch.from_arrays([pa.array([size]), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)],
-                                          names=["size", "ids", "data", "order", "values"])
+        blobs = (rows, ids, data, order, np.take_along_axis(values, order.astype(np.int64), 1))
+        return pa.RecordBatch.from_arrays([pa.array([size]), pa.array([named]), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)],
+                                          names=["size", "named", "rows", "ids", "data", "order", "values"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
         for batch in rows:
-            lists = batch.column(1)
+            lists = batch.column(2)
             flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for i, own in enumerate(batch.column(0).to_pylist()):
+            for i, own in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 size = int(bounds[i + 1] - bounds[i])
-                ids, data = held.setdefault(size, ([], []))
-                ids.append(own)
+                owns, data = held.setdefault(size, ([], []))
+                owns.append(own)
                 data.append(flat[bounds[i] : bounds[i + 1]])
-                if len(ids) >= SHARD_ROWS:
+                if len(owns) >= SHARD_ROWS:
                     yield shard(*held.pop(size), size)
-        for size, (ids, data) in held.items():
-            yield shard(ids, data, size)
+        for size, (owns, data) in held.items():
+            yield shard(owns, data, size)
 
-    return vectors.mapInArrow(run, "size long, ids binary, data binary, order binary, values binary")
+    return vectors.select("row", "id", "v").mapInArrow(run, "size long, named long, rows binary, ids binary, data binary, order binary, values binary")
 
 
 class Shard:
-    def __init__(self, size: int, ids: bytes, data: bytes, order: bytes, values: bytes):
-        self.ids = np.frombuffer(ids, np.int64)
+    def __init__(self, size: int, named: int, rows: bytes, ids: bytes, data: bytes, order: bytes, values: bytes):
+        self.rows, self.ids, self.named = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), named
         n = len(self.ids)
         self.data = np.frombuffer(data, np.float64).reshape(n, size)
         self.order = np.frombuffer(order, np.int32).reshape(PROJECTIONS, n)
@@ -98,14 +104,14 @@ class Shard:
         self.radius = max(float(spread) / 4, 1e-12)  # the first one; it shrinks to nothing for equal vectors
 
     def search(self, own: int, query: np.ndarray, lines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest that are found; ``lines``: the query's projections."""
+        """Places in the shard and distances of the k nearest that are found; ``own``: the query's row, ``lines``: its projections."""
         n = len(self.ids)
         need = int(np.ceil(THRESHOLD * PROJECTIONS))
         hits = np.zeros(n, np.int32)
         left = np.array([np.searchsorted(v, x) for v, x in zip(self.values, lines)])
         right = left.copy()
-        verified = self.ids == own
-        ids, distances, radius = np.zeros(0, np.int64), np.zeros(0), self.radius
+        verified = self.rows == own
+        found, distances, radius = np.zeros(0, np.int64), np.zeros(0), self.radius
         while True:
             half = WINDOW * radius / 2
             entered = []
@@ -118,24 +124,24 @@ class Shard:
             fresh = np.flatnonzero((hits >= need) & ~verified)
             if len(fresh):
                 verified[fresh] = True
-                ids = np.append(ids, self.ids[fresh])
+                found = np.append(found, fresh)
                 distances = np.append(distances, np.sqrt(((self.data[fresh] - query) ** 2).sum(1)))
-                if len(ids) > k:
-                    best = np.lexsort((ids, distances))[:k]
-                    ids, distances = ids[best], distances[best]
-            if verified.all() or (len(ids) >= k and distances.max() <= radius):
-                return ids, distances
+                if len(found) > k:
+                    best = np.lexsort((found, distances))[:k]  # places are in the order of ids
+                    found, distances = found[best], distances[best]
+            if verified.all() or (len(found) >= k and distances.max() <= radius):
+                return found, distances
             radius *= GROWTH
 
 
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k nearest found for each query (``id``, ``v``)."""
+    """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k nearest found for each query (``row``, ``id``, ``v``)."""
     spark = index.sparkSession
 
     def blocks() -> Iterator[list]:
         block = []
         for row in queries.toLocalIterator():
-            block.append((row.id, row.v))
+            block.append((row.row, row.id, row.v))
             if len(block) == QUERY_BLOCK:
                 yield block
                 block = []
@@ -148,30 +154,33 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 for row in batch.to_pylist():
-                    ids, data = shared.get().get(row["size"], ([], np.zeros((0, row["size"]))))
-                    if not len(ids):
+                    owns, data = shared.get().get(row["size"], ([], None))
+                    if not owns:
                         continue
                     shard, lines = Shard(**row), data @ directions(row["size"]).T
-                    for i, own in enumerate(ids):
+                    for i, (own, own_id) in enumerate(owns):
                         found, distance = shard.search(own, data[i], lines[i], k)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(found), own)), pa.array(found), pa.array(distance)], names=["query_id", "vec_id", "score"])
+                            [pa.array([own] * len(found), pa.int64()), pa.array([own_id] * len(found), pa.int64()),
+                             pa.array(shard.ids[found], mask=found >= shard.named), pa.array(distance)], names=names)
 
-        return index.mapInArrow(run, "query_id long, vec_id long, score double")
+        return index.mapInArrow(run, schema)
 
-    none = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    schema, names = "query_row long, query_id long, vec_id long, score double", ["query_row", "query_id", "vec_id", "score"]
+    none = spark.createDataFrame([], schema)
     found = reduce(DataFrame.unionByName, map(one, blocks()), none)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _by_size(block: list) -> dict[int, tuple[list[int], np.ndarray]]:
+def _by_size(block: list) -> dict[int, tuple[list[tuple], np.ndarray]]:
+    """Rows with ids, and vectors, by length."""
     out: dict[int, tuple[list, list]] = {}
-    for own, vector in block:
-        ids, data = out.setdefault(len(vector), ([], []))
-        ids.append(own)
+    for *own, vector in block:
+        owns, data = out.setdefault(len(vector), ([], []))
+        owns.append(tuple(own))
         data.append(vector)
-    return {size: (ids, np.array(data, np.float64)) for size, (ids, data) in out.items()}
+    return {size: (owns, np.array(data, np.float64)) for size, (owns, data) in out.items()}
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 10, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
