@@ -2,7 +2,8 @@
 
 Everything in this module is a value that has to be exactly what it is for the
 results to be right (verdict tables, word lists, limits, formats).  Callers
-that need other values pass their own; see ``TypeMatrix`` and ``RenameHints``.
+that need other values pass their own or load them from a file; see
+``TypeMatrix``, ``RenameHints`` and ``tidegate.sources.policies``.
 """
 
 # --- change operations ------------------------------------------------------
@@ -18,46 +19,57 @@ TYPE_ALIASES = {
     "NUMERIC": "DECIMAL",
     "REAL": "DOUBLE",
 }
-TYPE_RULES = {
-    "compatible": {
-        "CHAR": ["VARCHAR"],
-        "FLOAT": ["DOUBLE"],
-        "INT": ["BIGINT", "DECIMAL", "DOUBLE"],
-        "MEDIUMINT": ["INT", "BIGINT"],
-        "SMALLINT": ["MEDIUMINT", "INT", "BIGINT"],
-        "TEXT": ["MEDIUMTEXT", "LONGTEXT"],
-        "TINYINT": ["SMALLINT", "MEDIUMINT", "INT", "BIGINT"],
-        "VARCHAR": ["TEXT", "MEDIUMTEXT", "LONGTEXT"],
-    },
-    "requires_transformation": {
-        "BIGINT": ["VARCHAR"],
-        "FLOAT": ["DECIMAL"],
-        "INT": ["VARCHAR"],
-    },
-    "risky": {
-        "DECIMAL": ["VARCHAR"],
-        "DOUBLE": ["VARCHAR"],
-        "VARCHAR": ["INT", "BIGINT"],
-    },
-    "destructive": {
-        "BIGINT": ["INT", "SMALLINT"],
-        "DOUBLE": ["FLOAT"],
-        "INT": ["SMALLINT", "TINYINT"],
-        "LONGTEXT": ["VARCHAR"],
-        "TEXT": ["VARCHAR"],
-    },
-}
-CONNECT_RULES = {
-    "compatible": {
-        "float": ["double"],
-        "int16": ["int32", "int64"],
-        "int32": ["int64"],
-        "int8": ["int16", "int32", "int64"],
-    },
-    "requires_transformation": {"int32": ["string"], "int64": ["string"]},
-    "risky": {"string": ["int32", "int64"]},
-    "destructive": {"double": ["float"], "int64": ["int32"]},
-}
+# Contract type, observed type, verdict.
+TYPE_RULES = [
+    ("TINYINT", "SMALLINT", "compatible"),
+    ("TINYINT", "MEDIUMINT", "compatible"),
+    ("TINYINT", "INT", "compatible"),
+    ("TINYINT", "BIGINT", "compatible"),
+    ("SMALLINT", "MEDIUMINT", "compatible"),
+    ("SMALLINT", "INT", "compatible"),
+    ("SMALLINT", "BIGINT", "compatible"),
+    ("MEDIUMINT", "INT", "compatible"),
+    ("MEDIUMINT", "BIGINT", "compatible"),
+    ("INT", "BIGINT", "compatible"),
+    ("INT", "DECIMAL", "compatible"),
+    ("INT", "DOUBLE", "compatible"),
+    ("FLOAT", "DOUBLE", "compatible"),
+    ("FLOAT", "DECIMAL", "requires_transformation"),
+    ("CHAR", "VARCHAR", "compatible"),
+    ("VARCHAR", "TEXT", "compatible"),
+    ("VARCHAR", "MEDIUMTEXT", "compatible"),
+    ("VARCHAR", "LONGTEXT", "compatible"),
+    ("TEXT", "MEDIUMTEXT", "compatible"),
+    ("TEXT", "LONGTEXT", "compatible"),
+    ("INT", "VARCHAR", "requires_transformation"),
+    ("BIGINT", "VARCHAR", "requires_transformation"),
+    ("VARCHAR", "INT", "risky"),
+    ("VARCHAR", "BIGINT", "risky"),
+    ("DECIMAL", "VARCHAR", "risky"),
+    ("DOUBLE", "VARCHAR", "risky"),
+    ("BIGINT", "INT", "destructive"),
+    ("BIGINT", "SMALLINT", "destructive"),
+    ("INT", "SMALLINT", "destructive"),
+    ("INT", "TINYINT", "destructive"),
+    ("DOUBLE", "FLOAT", "destructive"),
+    ("TEXT", "VARCHAR", "destructive"),
+    ("LONGTEXT", "VARCHAR", "destructive"),
+]
+CONNECT_RULES = [
+    ("int8", "int16", "compatible"),
+    ("int8", "int32", "compatible"),
+    ("int8", "int64", "compatible"),
+    ("int16", "int32", "compatible"),
+    ("int16", "int64", "compatible"),
+    ("int32", "int64", "compatible"),
+    ("float", "double", "compatible"),
+    ("int64", "int32", "destructive"),
+    ("double", "float", "destructive"),
+    ("int32", "string", "requires_transformation"),
+    ("int64", "string", "requires_transformation"),
+    ("string", "int32", "risky"),
+    ("string", "int64", "risky"),
+]
 DEFAULT_VERDICT = "risky"
 LENGTH_WIDENING = "compatible"
 LENGTH_NARROWING = "destructive"

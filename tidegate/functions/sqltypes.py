@@ -15,17 +15,21 @@ from tidegate.functions.binding import let
 _PATTERN = r"(?i)^\s*([a-z]+)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)\s*)?(unsigned)?\s*$"
 
 
-def _pairs(table: dict[str, dict[str, list[str]]]) -> dict[tuple[str, str], str]:
-    return {(a, b): verdict for verdict, rows in table.items() for a, bs in rows.items() for b in bs}
+#: What a verdict may be; "identical" needs no rule.
+VERDICTS = ("compatible", "requires_transformation", "risky", "destructive")
+
+
+def _by_pair(rows: list[tuple[str, str, str]]) -> dict[tuple[str, str], str]:
+    return {(old, new): verdict for old, new, verdict in rows}
 
 
 @dataclass(frozen=True)
 class TypeMatrix:
     """Verdicts for a contract type that now arrives as another type."""
 
-    rules: dict[tuple[str, str], str] = field(default_factory=lambda: _pairs(fixed.TYPE_RULES))
+    rules: dict[tuple[str, str], str] = field(default_factory=lambda: _by_pair(fixed.TYPE_RULES))
     connect_rules: dict[tuple[str, str], str] = field(
-        default_factory=lambda: _pairs(fixed.CONNECT_RULES))
+        default_factory=lambda: _by_pair(fixed.CONNECT_RULES))
     aliases: dict[str, str] = field(default_factory=lambda: dict(fixed.TYPE_ALIASES))
     families: dict[str, str] = field(default_factory=lambda: dict(fixed.CONNECT_FAMILIES))
     default: str = fixed.DEFAULT_VERDICT

@@ -216,12 +216,12 @@ def meta_columns(changes: DataFrame) -> list[Column]:
 
 def column_family(contract: Contract, name: str) -> str:
     """integer, number, boolean or string."""
-    return next((t for t in contract.fields[name]["json_types"] if t in _TYPES), "string")
+    return next((t for t in contract.columns()[name]["json_types"] if t in _TYPES), "string")
 
 
 def contract_to_schema(contract: Contract, meta: bool = True) -> T.StructType:
     """Column types of a destination table."""
-    schema = T.StructType([T.StructField(n, _TYPES[column_family(contract, n)]) for n in contract.fields])
+    schema = T.StructType([T.StructField(n, _TYPES[column_family(contract, n)]) for n in contract.columns()])
     for name in META if meta else []:
         schema = schema.add(name, _META_TYPES[name])
     return schema
@@ -231,7 +231,7 @@ def contract_ddl(contract: Contract, table: str) -> str:
     """CREATE TABLE with the contract's own SQL types."""
     q = lambda n: f"`{n.replace('`', '``')}`"
     columns = []
-    for name, spec in contract.fields.items():
+    for name, spec in contract.columns().items():
         if not spec["sql_type"]:
             raise ValueError(f"contract field {name} has no x-sql-type")
         columns.append(f"{q(name)} {spec['sql_type']} {'NULL' if spec['nullable'] else 'NOT NULL'}")

@@ -39,9 +39,8 @@ def _pick(values: list[str], index: str) -> str:
     return "list_extract([" + ", ".join(f"'{v}'" for v in values) + f"], ({index}) + 1)"
 
 
-def _rules(table: dict[str, dict[str, list[str]]]) -> str:
-    rows = [f"('{a}', '{b}', '{v}')" for v, m in table.items() for a, bs in m.items() for b in bs]
-    return "(VALUES " + ", ".join(rows) + ") r(a, b, v)"
+def _rules(rows: list[tuple[str, str, str]]) -> str:
+    return "(VALUES " + ", ".join(str(row) for row in rows) + ") r(a, b, v)"
 
 
 def _parts(column: str) -> str:

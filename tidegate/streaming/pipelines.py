@@ -227,7 +227,7 @@ class TableLog(_Log):
             text = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
             one = rows.select(
                 F.lit(ref).alias("table_ref"), F.col("_op").alias("op"), text(contract.primary_key).alias("key"),
-                text(list(contract.fields)).alias("payload"), F.col("_seq").alias("sequence"),
+                text(list(contract.columns())).alias("payload"), F.col("_seq").alias("sequence"),
                 *[F.col(f"_{c}").alias(c) for c in _CHANGE[5:]])
             out = one if out is None else out.unionByName(one)
         return out
