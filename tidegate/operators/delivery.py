@@ -227,6 +227,19 @@ def contract_to_schema(contract: Contract, meta: bool = True) -> T.StructType:
     return schema
 
 
+def common_types(schemas: list[T.StructType]) -> dict[str, T.DataType]:
+    """Per column the narrowest type that holds all of its types, in the order columns first appear; names differ by more than case."""
+    out, names = {}, {}
+    for field in (f for schema in schemas for f in schema):
+        name = names.setdefault(field.name.lower(), field.name)
+        known = out.get(name, field.dataType)
+        if known != field.dataType:
+            numbers = {known, field.dataType} == {T.LongType(), T.DoubleType()}
+            known = T.DoubleType() if numbers else T.StringType()
+        out[name] = known
+    return out
+
+
 def contract_ddl(contract: Contract, table: str) -> str:
     """CREATE TABLE with the contract's own SQL types."""
     q = lambda n: f"`{n.replace('`', '``')}`"

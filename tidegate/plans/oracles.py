@@ -325,6 +325,14 @@ ORACLES: dict[str, str] = {
         CASE WHEN event_id % 3 = 0 OR event_id % 3 = 2 AND event_id % 5 <> 0 THEN 0 ELSE 1 END::INT AS batch FROM events""",
     "current_buckets": f"""WITH {_LATEST} SELECT {_USER_KEY} AS key, op, event_id AS sequence, 'evt-' || event_id AS event_id, value,
         CASE WHEN event_id % 7 = 0 THEN 'repaired' ELSE 'validated' END AS origin FROM ranked WHERE rn = 1 AND op <> 'd'""",
+    "committed_batches": f"""SELECT 'evt-' || event_id AS event_id, {_OP} AS op, {_USER_KEY} AS key,
+        '{{"user_id":' || user_id || ',"value":' || value || ',"event_type":"' || event_type || '"}}' AS payload, event_id AS sequence,
+        CASE WHEN event_id % 7 = 0 THEN 'rep-' || event_id END AS repair_id,
+        CASE WHEN event_id % 7 = 0 THEN 'repaired' ELSE 'validated' END AS origin, event_id AS "offset", run, batch::INT AS batch
+        FROM events, (VALUES ('stream', 0), ('frames', 0), ('frames', 1)) AS r(run, batch)
+        WHERE run = 'stream' OR event_id % 3 = batch""",
+    "versioned_rows": """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_retailprice::VARCHAR
+        ELSE p_name END AS reading, CASE WHEN p_partkey % 3 = 2 THEN p_brand END AS brand, 'part-' || p_partkey AS _event_id FROM part""",
     "changelog_rows": f"""SELECT 'app' AS source, 'web' AS database, 'users' AS "table", user_id, value, event_type,
         {_OP} AS _op, event_id AS _seq, 'evt-' || event_id AS _event_id,
         CASE WHEN event_id % 7 = 0 THEN 'rep-' || event_id END AS _repair_id,

@@ -18,7 +18,7 @@ from tidegate.functions.text import stable_quantity, weight_to_kg
 from tidegate.operators import checks, clean, delivery, drift, envelope, observe, proposals, repair, routing
 from tidegate.plans import feed
 from tidegate.plans.staging import shared_folder, staged, write_shared
-from tidegate.sources import catalog as cat
+from tidegate.sources import catalog as cat, committed
 from tidegate.sources.catalog import Catalog
 from tidegate.sources.changelog import read_change_log
 from tidegate.sources.destinations import DestinationConfig
@@ -676,6 +676,45 @@ def current_buckets(spark, sf_dir):
                                      F.get_json_object("payload", "$.value").cast("double").alias("value"), "origin")
 
 
+@query
+def committed_batches(spark, sf_dir):
+    """Events through the committed log: by a stream, and by frames of which one comes again with other rows."""
+    events = feed.event_changes(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/committed-{uuid.uuid4().hex}"
+    source = write_shared(events, "events")
+    spark.dataSource.register(committed.LogSource)
+    log = spark.readStream.schema(events.schema).parquet(source).writeStream.format(committed.FORMAT)
+    log.option("checkpointLocation", f"{folder}/checkpoint").option("run", "stream").trigger(availableNow=True).start(
+        f"{folder}/log").awaitTermination()
+    for batch, part in ((0, "offset % 3 = 0"), (1, "offset % 3 = 1"), (1, "offset % 3 >= 1")):
+        committed.append(events.where(part), f"{folder}/log", "frames", batch)
+    return committed.read_log(spark, f"{folder}/log", events.schema).select(
+        "event_id", "op", "key", "payload", F.col("sequence").cast("bigint").alias("sequence"), "repair_id", "origin", "offset",
+        "run", F.col("batch").cast("int").alias("batch"))
+
+
+@query
+def versioned_rows(spark, sf_dir):
+    """A column that was an integer, a number and then a string, and one that came later, in one typed table."""
+    part, folder = table(spark, sf_dir, "part"), f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    target = pipelines.build_destination(DestinationConfig("lake", "table_log", options={"root": folder}))
+    stages = (("integer", F.col("p_size"), {}), ("number", F.col("p_retailprice"), {}),
+              ("string", F.col("p_name"), {"brand": F.col("p_brand")}))
+    for i, (kind, reading, more) in enumerate(stages):
+        fields = {"id": {"type": "integer"}, "reading": {"type": kind}} | {n: {"type": "string"} for n in more}
+        contracts = Catalog.from_documents({"sources": {"app": {"engine": "mysql", "database": "shop", "tables": [
+            {"name": "readings", "primary_key": ["id"], "contract": "d"}]}}}, {"d": {"type": "object", "properties": fields}})
+        pk, ref = F.col("p_partkey"), "app.shop.readings"
+        rows = part.where(pk % 3 == i).select(
+            F.concat(F.lit("part-"), pk.cast("string")).alias("event_id"), F.lit("app").alias("source"), F.lit("shop").alias("database"),
+            F.lit("readings").alias("table"), F.lit(ref).alias("table_ref"), F.lit("c").alias("op"), feed.json_object(id=pk).alias("key"),
+            feed.json_object(id=pk, reading=reading, **more).alias("payload"), pk.cast("decimal(38,0)").alias("sequence"),
+            F.lit("validated").alias("origin"), F.lit(None).cast("string").alias("repair_id"), F.lit(0).cast("bigint").alias("source_ts_ms"),
+            F.lit(0).alias("partition"), pk.cast("bigint").alias("offset"))
+        target.write(rows, contracts, "a", i)
+    return target.read_table(spark, contracts.contracts[ref]).select("id", "reading", "brand", "_event_id")
+
+
 # --- observe ------------------------------------------------------------------------------------
 
 

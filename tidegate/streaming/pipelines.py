@@ -26,7 +26,8 @@ from tidegate.functions.names import RenameHints
 from tidegate.operators import delivery, observe, proposals, repair, routing
 from tidegate.operators.joins import first_per
 from tidegate.plans.staging import drop_shared, make_folder
-from tidegate.sources.catalog import Catalog
+from tidegate.sources import committed
+from tidegate.sources.catalog import Catalog, Contract
 from tidegate.sources.destinations import DestinationConfig, DestinationError, import_class
 from tidegate.streaming.ledger import BUCKETS, DeliveredIndex, children
 from tidegate.streaming.shapes import ShapeDictionary
@@ -188,21 +189,27 @@ class JsonLog(_Log):
 class TableLog(_Log):
     """Append-only typed tables, one for each contract, partitioned by day.
 
-    Changes of a table without a contract have no columns to be stored in; they are kept in
-    ``_unrouted``, not counted as delivered, and delivered when they come again after the
-    contract (``unrouted`` reads them).
+    Files lie below the version of the contract that they were typed by, so each is read with the types it was
+    written with: ``read`` gives the stored values, ``read_table`` promotes the columns of all versions to common
+    types. Changes of a table without a contract have no columns to be stored in; they are kept in ``_unrouted``,
+    not counted as delivered, and delivered when they come again after the contract (``unrouted`` reads them).
     """
 
-    _above_runs = "/table=*"
+    #: Tables of before versions were kept hold their runs directly.
+    _above_runs = "/{table=*,table=*/contract=*}"
 
     def write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
-        place = f"run={run}/batch={batch_id}"
-        contracts = catalog.contracts_df(changes.sparkSession).select(F.col("contract_key").alias("table_ref"))
+        spark, place = changes.sparkSession, f"run={run}/batch={batch_id}"
+        contracts = catalog.contracts_df(spark).select(F.col("contract_key").alias("table_ref"))
         # at most as many rows as the catalogue has contracts
         touched = changes.join(contracts, "table_ref", "left_semi").select("table_ref").distinct().collect()
         for ref in sorted(row.table_ref for row in touched):
-            folder = delivery.table_folder(*ref.split(".", 2))
-            delivery.append_changelog_table(changes, catalog.contracts[ref], f"{self.root}/table={folder}/{place}", "overwrite")
+            contract, folder = catalog.contracts[ref], f"{self.root}/table={delivery.table_folder(*ref.split('.', 2))}"
+            own = f"contract={contract.version}/{place}"
+            delivery.append_changelog_table(changes, contract, f"{folder}/{own}", "overwrite")
+            for other in children(spark, f"{folder}/contract=*/{place}"):
+                if not other.endswith(f"/{own}"):  # the contract changed between a batch and its replay
+                    drop_shared(spark, other)
         changes.join(contracts, "table_ref", "left_anti").write.mode("overwrite").parquet(f"{self.root}/_unrouted/{place}")
 
     def after_write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
@@ -210,29 +217,85 @@ class TableLog(_Log):
         super().after_write(changes.join(contracts, "table_ref", "left_semi"), catalog, run, batch_id)
 
     def _stored_ids(self, spark: SparkSession) -> DataFrame | None:
-        return _read(spark, self.root, "_event_id string, `table` string, dt date")
+        out = None
+        for below, more in (("contract=*", ", contract string"), ("run=*", "")):
+            if children(spark, f"{self.root}/table=*/{below}"):
+                ids = spark.read.option("basePath", self.root).schema(
+                    f"_event_id string, `table` string, dt date, run string, batch bigint{more}").parquet(
+                    f"{self.root}/table=*/{below}").select("_event_id", *RUN_COLUMNS, "dt")
+                out = ids if out is None else out.unionByName(ids)
+        return out
 
     def unrouted(self, spark: SparkSession) -> DataFrame:
         """Changes of tables without a contract."""
         return spark.read.parquet(f"{self.root}/_unrouted")
 
+    def versions(self, spark: SparkSession, contract: Contract) -> Iterator[DataFrame]:
+        """The stored rows of a table per version of its contract, each with the types of its time."""
+        folder = f"{self.root}/table={delivery.table_folder(*contract.key.split('.', 2))}"
+        paths = children(spark, f"{folder}/contract=*") + ([folder] if children(spark, f"{folder}/run=*") else [])
+        for path in paths:
+            files = f"{path}/run=*/batch=*/dt=*"
+            if children(spark, files):  # the schema of another version is that of its files
+                own = path.endswith(f"/contract={contract.version}")
+                yield (spark.read.schema(delivery.contract_to_schema(contract)) if own else spark.read).parquet(files)
+
+    def read_table(self, spark: SparkSession, contract: Contract) -> DataFrame | None:
+        """The typed rows of a table over all versions of its contract; None while there is none.
+
+        A column has the narrowest type that holds what every version and the contract declare (integer, number,
+        string; anything else beside another type becomes a string), and null where a version lacks it. Integers
+        beyond 2^53 are rounded in a column of numbers, as they are when written under such a contract.
+        """
+        stored = list(self.versions(spark, contract))
+        if not stored:
+            return None
+        types = delivery.common_types([delivery.contract_to_schema(contract), *(rows.schema for rows in stored)])
+        names = [n for n in types if n not in delivery.META] + delivery.META
+        held = [{n.lower(): n for n in rows.columns} for rows in stored]
+        out = None
+        for rows, known in zip(stored, held):
+            one = rows.select(*[
+                (F.col(f"`{known[n.lower()]}`") if n.lower() in known else F.lit(None)).cast(types[n]).alias(n) for n in names])
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def read(self, spark: SparkSession, catalog: Catalog) -> DataFrame | None:
         out = None
         for ref, contract in sorted(catalog.contracts.items()):
-            schema = delivery.contract_to_schema(contract)
-            folder = delivery.table_folder(*ref.split(".", 2))
-            rows = _read(spark, f"{self.root}/table={folder}", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
-            if rows is None:
-                continue
-            text = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-            one = rows.select(
-                F.lit(ref).alias("table_ref"), F.col("_op").alias("op"), text(contract.primary_key).alias("key"),
-                text(list(contract.columns())).alias("payload"), F.col("_seq").alias("sequence"),
-                *[F.col(f"_{c}").alias(c) for c in _CHANGE[5:]])
-            out = one if out is None else out.unionByName(one)
+            for rows in self.versions(spark, contract):
+                stored = [n for n in rows.columns if n not in delivery.META]
+                lacking = [F.lit(None).cast("string").alias(n) for n in contract.columns() if n not in stored]
+                keyed = [F.col(f"`{n}`") if n in stored else F.lit(None).cast("string").alias(n) for n in contract.primary_key]
+                text = lambda columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+                one = rows.select(
+                    F.lit(ref).alias("table_ref"), F.col("_op").alias("op"), text(keyed).alias("key"),
+                    text([F.col(f"`{n}`") for n in stored] + lacking).alias("payload"), F.col("_seq").alias("sequence"),
+                    *[F.col(f"_{c}").alias(c) for c in _CHANGE[5:]])
+                out = one if out is None else out.unionByName(one)
         return out
 
 
+class CommittedLog(_Log):
+    """An append-only log of change records whose batches become visible whole (``sources.committed``)."""
+
+    _above_runs = "/commits"
+    _columns = ("table_ref string, op string, key string, payload string, sequence decimal(38,0), event_id string, "
+                "repair_id string, origin string, partition int, offset bigint, dt date")
+
+    def write(self, changes: DataFrame, catalog: Catalog, run: str, batch_id: int) -> None:
+        committed.append(changes.select(*_CHANGE, F.current_date().alias("dt")), self.root, run, batch_id)
+
+    def _stored_ids(self, spark: SparkSession) -> DataFrame:
+        rows = self.read(spark)
+        if rows is None:  # batches without rows are batches, too
+            return spark.createDataFrame([], "_event_id string, run string, batch bigint, dt date")
+        return rows.select(F.col("event_id").alias("_event_id"), *RUN_COLUMNS, "dt")
+
+    def read(self, spark: SparkSession, catalog: Catalog | None = None) -> DataFrame | None:
+        return committed.read_log(spark, self.root, self._columns)
+
+
 class CurrentState(_FileDestination):
     """Current rows per key, kept as a log of each batch's newest changes.
 
@@ -313,7 +376,8 @@ class CurrentBuckets(_FileDestination):
 
 
 DESTINATION_TYPES: dict[str, type[Destination]] = {
-    "current": CurrentState, "current_buckets": CurrentBuckets, "json_log": JsonLog, "table_log": TableLog}
+    "current": CurrentState, "current_buckets": CurrentBuckets, "json_log": JsonLog,
+    "table_log": TableLog, "committed_log": CommittedLog}
 
 
 def build_destination(config: DestinationConfig) -> Destination:
@@ -475,5 +539,5 @@ def _start(frame: DataFrame, run_batch, checkpoint: str, trigger: dict[str, Any]
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-__all__ = ["CurrentBuckets", "CurrentState", "Destination", "JsonLog", "RepairState", "TableLog", "build_destination",
+__all__ = ["CommittedLog", "CurrentBuckets", "CurrentState", "Destination", "JsonLog", "RepairState", "TableLog", "build_destination",
            "query_id", "read_destinations", "start_delivery", "start_repair", "start_validation"]
