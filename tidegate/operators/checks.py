@@ -45,12 +45,15 @@ def fidelity_problems(output: Column, image: Column, report: Column, field_names
         field_names, lambda n: F.map_contains_key(image, n) & F.map_contains_key(output, n)))
 
     def altered(n: Column) -> Column:
-        new, old = F.try_element_at(output, n), F.try_element_at(image, n)
-        text = F.when(
-            F.array_contains(changed, n),
-            F.concat(n, F.lit(": converted value "), jv.repr_value(new), F.lit(" != source "), jv.repr_value(old))
-        ).otherwise(F.concat(n, F.lit(": value changed "), jv.repr_value(old), F.lit(" -> "), jv.repr_value(new)))
-        return F.when(~jv.same_value(new, old), text)
+        def told(new: Column, old: Column) -> Column:
+            text = F.when(
+                F.array_contains(changed, n),
+                F.concat(n, F.lit(": converted value "), jv.repr_value(new), F.lit(" != source "), jv.repr_value(old))
+            ).otherwise(F.concat(n, F.lit(": value changed "), jv.repr_value(old), F.lit(" -> "), jv.repr_value(new)))
+            return F.when(~jv.same_value(new, old), text)
+
+        # a map is searched from its start each time, so values are looked up once
+        return let(F.try_element_at(output, n), lambda new: let(F.try_element_at(image, n), lambda old: told(new, old)))
 
     def lost(r: Column) -> Column:
         source, target = r["unexpected_field"], r["missing_field"]
@@ -137,9 +140,8 @@ def load_problems(output: Column, fields: Column, actions: Column, matrix: TypeM
         mine = F.try_element_at(F.filter(
             actions, lambda a: (a["kind"] == "modify_column") & (a["column"] == spec["name"])), F.lit(-1))
         parts = F.when(mine.isNotNull(), matrix.parts(mine["sql_type"])).otherwise(spec["parts"])
-        return let(parts, lambda p: load_problem(
-            spec["name"], F.try_element_at(output, spec["name"]), p,
-            F.coalesce(mine["nullable"], spec["nullable"])))
+        return let(parts, lambda p: let(F.try_element_at(output, spec["name"]), lambda value: load_problem(
+            spec["name"], value, p, F.coalesce(mine["nullable"], spec["nullable"]))))
 
     return non_null(F.transform(fields, problem))
 

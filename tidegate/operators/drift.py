@@ -151,9 +151,9 @@ def contract_errors(image: Column, fields: Column, field_names: Column, required
     additional = F.when(F.size(extra) > 0, F.array(F.concat(
         F.lit("$: Additional properties are not allowed ("), listed,
         F.when(F.size(extra) == 1, " was unexpected)").otherwise(" were unexpected)"))))
+    # an absent field has no value, hence no error
     wrong = non_null(F.transform(
-        F.filter(fields, lambda f: F.array_contains(present, f["name"])),
-        lambda f: field_error(f, F.try_element_at(image, f["name"]))))
+        fields, lambda f: let(F.try_element_at(image, f["name"]), lambda v: field_error(f, v))))
     return F.concat(absent, F.coalesce(additional, F.array().cast("array<string>")), wrong)
 
 

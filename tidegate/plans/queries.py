@@ -17,7 +17,7 @@ from tidegate.functions import jsonvalue as jv
 from tidegate.functions.text import stable_quantity, weight_to_kg
 from tidegate.operators import checks, clean, delivery, drift, envelope, observe, proposals, repair, routing
 from tidegate.plans import feed
-from tidegate.plans.staging import shared_folder, staged, write_shared
+from tidegate.plans.staging import shared_folder, spread, staged, write_shared
 from tidegate.sources import catalog as cat, committed
 from tidegate.sources.catalog import Catalog
 from tidegate.sources.changelog import read_change_log
@@ -302,6 +302,8 @@ def large_positions(spark, sf_dir):
 
 
 WIDE = [f"measured_value_of_sensor_number_{i:03}" for i in range(130)]
+#: Of such rows one takes as long as dozens of narrow ones.
+WIDE_PER_TASK = 1_000
 
 
 @query
@@ -311,12 +313,14 @@ def wide_table_repairs(spark, sf_dir):
                 "required": WIDE, "additionalProperties": False}
     contracts = Catalog.from_documents({"sources": {"wide": {"engine": "mysql", "database": "wide", "topic_prefix": "cdc", "tables": [
         {"name": "sensors", "primary_key": [WIDE[0]], "contract": "d"}]}}}, {"d": document})
-    rows = table(spark, sf_dir, "supplier").withColumn("p_partkey", F.col("s_suppkey"))
+    rows = spread(table(spark, sf_dir, "supplier"), WIDE_PER_TASK).withColumn("p_partkey", F.col("s_suppkey"))
     row = feed.json_object(**{n: F.col("s_suppkey") + i for i, n in enumerate(WIDE)}, added=F.col("s_name"))
     value = F.replace(feed.envelope("{}", "sensors", "c", row), F.lit('"db":"inventory"'), F.lit('"db":"wide"'))
     log = rows.select(F.lit(None).cast("binary").alias("key"), value.cast("binary").alias("value"), F.lit("w").alias("topic"),
                       F.lit(0).alias("partition"), F.col("s_suppkey").alias("offset"), F.lit(None).cast("timestamp").alias("timestamp"))
-    dlq = staged(routing.to_dlq(routing.route_changes(log, contracts), contracts.matrix), "wide")
+    shapes = ShapeDictionary(f"{shared_folder(spark)}/shapes-{uuid.uuid4().hex}", contracts.matrix)
+    dead = staged(routing.route_changes(log, contracts).where(F.col("outcome").startswith("dlq:")), "wide-dead")
+    dlq = staged(routing.to_dlq(dead, contracts.matrix, meet=shapes.meet), "wide")
     found = proposals.propose_from_report(proposals.repair_requests(dlq), contracts)
     done = repair.repair(repair.pending_dlq(dlq), found, contracts)
     return done.select(F.col("offset").alias("s_suppkey"), "status", F.size("chosen.proposal.mapping").alias("mapped"),
