@@ -12,6 +12,7 @@ from tidegate.operators.checks import load_problems
 from tidegate.operators.drift import contract_errors
 from tidegate.operators.routing import route_changes, to_dlq
 from tidegate.functions import jsonvalue as jv
+from tidegate.plans import feed
 from tidegate.plans.staging import spread, staged
 from tidegate.sources.catalog import Catalog
 
@@ -52,3 +53,15 @@ def test_absent_fields_have_neither_type_errors_nor_values(spark):
         load_problems(F.col("image"), F.col("fields"), F.array().cast(f"array<{pr.ACTION}>"), CATALOG.matrix).alias("p")).first()
     assert found.e == ["$: 'quantity' is a required property", "$.product_id: 'x' is not of type 'integer'"]
     assert found.p == ["incorrect integer value for column 'product_id'", "column 'quantity' cannot be null"]
+
+
+def test_the_feed_of_one_row_group_is_several_tasks(spark, tmp_path):
+    text = F.lit("x")
+    parts = spark.range(feed.MESSAGES_PER_TASK * 2 + 40).select(
+        F.when(F.col("id") > 5, F.col("id")).alias("p_partkey"), text.alias("p_name"), text.alias("p_brand"), text.alias("p_type"),
+        F.lit(1).alias("p_size"), F.lit(1.5).alias("p_retailprice"))
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = feed.part_feed(spark, str(tmp_path))
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 3 and sum(sizes) == feed.MESSAGES_PER_TASK * 2 + 40
+    assert found.select("offset").distinct().count() == sum(sizes) - 5

@@ -2,7 +2,8 @@
 
 ``part_feed`` turns every part into one change message whose class is
 ``p_partkey % 10``; ``event_changes`` turns every event into one change of its
-user.  Both are projections, so a feed grows with its table.
+user.  Both are projections, so a feed grows with its table.  Parts are spread over
+tasks by their number, as a message costs far more than the bytes of its part.
 """
 
 from __future__ import annotations
@@ -12,8 +13,12 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.plans.staging import spread
+
 TOPIC = "cdc.mutations"
 TS_MS = 1_700_000_000_000
+#: A message takes up to half a millisecond to decode and compare, the plan of a task a few seconds to compile.
+MESSAGES_PER_TASK = 25_000
 
 # name -> (connect type, SQL base type, length, optional)
 _PRODUCTS = {
@@ -61,7 +66,7 @@ def envelope(schema: str, table: str, op: str, after: Column, before: Column | N
 
 def part_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One change message per part; the class of drift is ``p_partkey % 10``."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), MESSAGES_PER_TASK)
     pk, size = F.col("p_partkey"), F.col("p_size")
     product = dict(id=pk, name=F.col("p_name"), description=F.col("p_type"), weight=F.col("p_retailprice"))
     no_weight = {k: v for k, v in product.items() if k != "weight"}
