@@ -12,7 +12,7 @@ from tidegate.operators.checks import load_problems
 from tidegate.operators.drift import contract_errors
 from tidegate.operators.routing import route_changes, to_dlq
 from tidegate.functions import jsonvalue as jv
-from tidegate.plans import feed
+from tidegate.plans import feed, queries
 from tidegate.plans.staging import spread, staged
 from tidegate.sources.catalog import Catalog
 
@@ -65,3 +65,34 @@ def test_the_feed_of_one_row_group_is_several_tasks(spark, tmp_path):
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) == 3 and sum(sizes) == feed.MESSAGES_PER_TASK * 2 + 40
     assert found.select("offset").distinct().count() == sum(sizes) - 5
+
+
+def test_an_attempt_that_repeats_another_is_not_checked_again(spark):
+    one = {"fingerprint": "f", "contract_key": "inventory.inventory.products_on_hand", "classification": "REMOVED_COLUMN", "confidence": 0.5,
+           "reasoning_summary": "", "actions": [], "test_cases": [], "risk_level": "LOW", "model": ""}
+    mappings = [{"quantity": "a"}, {"quantity": "a"}, {"quantity": "b"}]
+    tried = spark.createDataFrame([{**one, "attempt": i + 1, "mapping": m} for i, m in enumerate(mappings)], pr.PROPOSAL_SCHEMA)
+    assert rp.prepare_attempts(tried, CATALOG).first().repeats == [False, True, False]
+
+
+def test_a_repeated_attempt_is_decided_as_the_first_was(spark):
+    changes = [envelope("products_on_hand", {"product_id": 7, "stock_quantity": 7}, op="c", columns=RENAMED, pos=1)]
+    dlq = staged(to_dlq(route_changes(log(spark, changes), CATALOG)), "dlq")
+    found = pr.propose_from_report(pr.repair_requests(dlq), CATALOG)
+    lost = found.withColumn("mapping", F.create_map(F.lit("product_id"), F.lit("product_id")))
+    last = lost.where("attempt < 3").unionByName(found.where("attempt = 3"))
+    get = lambda proposed: rp.repair(rp.pending_dlq(dlq), proposed, CATALOG).select(
+        "status", "reasons", "chosen.checks", "chosen.output", F.col("chosen.proposal.attempt").alias("attempt")).first()
+    assert (get(last).status, get(last).attempt, get(last).output["quantity"].text) == ("REPAIRED", 3, "7")
+    once, again = get(lost.where("attempt = 1")), get(lost.where("attempt < 3"))
+    assert (again.attempt, again.status) == (2, "RETRY_AI")
+    assert (once.checks, once.reasons, once.output) == (again.checks, again.reasons, again.output) and once.reasons
+
+
+def test_routes_are_stored_once_for_dead_letters_and_clean_changes(spark):
+    sf = "/root/testdata/sf0.001"
+    routes = queries.stored_routes(spark, sf)
+    assert "value" not in routes.columns and "part.parquet" not in "".join(routes.inputFiles())
+    assert queries.clean_changes(spark, sf).where("origin = 'validated'").count() == routes.where("outcome LIKE 'validated%'").count()
+    read = lambda q: {f.split("/")[-2].split("-")[0] for f in q(spark, sf).inputFiles()}
+    assert read(queries.QUERIES["dlq_rows"]) == {"dlq"} and read(queries.stored_routes) == {"routes"}

@@ -42,6 +42,9 @@ DESTINATIONS = [
     DestinationConfig("six_letters", "json_log", tables=("app.*.??????", "crm.*")),
 ]
 
+#: What every row of a contract would repeat.
+_OF_CONTRACT = ["fields", "contract_schema"]
+
 
 def query(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +64,21 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route_changes(feed.part_feed(spark, sf_dir), default_catalog())
 
 
+@lru_cache(maxsize=4)
+def stored_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed messages but tombstones, decoded and compared once for dead letters and clean changes.
+
+    The message as it was sent is not stored again, and what a contract says of all of its rows comes from the catalogue.
+    """
+    kept = routed(spark, sf_dir).where(~F.col("outcome").startswith("skipped:")).drop("key", "value", "timestamp", *_OF_CONTRACT)
+    contracts = default_catalog().contracts_df(spark).select("contract_key", *_OF_CONTRACT)
+    return staged(kept, "routes").join(F.broadcast(contracts), "contract_key", "left")
+
+
 @lru_cache(maxsize=4)
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = ShapeDictionary(f"{shared_folder(spark)}/shapes-{uuid.uuid4().hex}")
-    dead = staged(routed(spark, sf_dir).where(F.col("outcome").startswith("dlq:")), "dead")
+    dead = stored_routes(spark, sf_dir).where(F.col("outcome").startswith("dlq:"))
     return staged(routing.to_dlq(dead, meet=shapes.meet), "dlq")
 
 
@@ -72,13 +86,14 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     dlq = dead_letters(spark, sf_dir)
     found = proposals.propose_from_report(proposals.repair_requests(dlq), default_catalog())
-    return staged(repair.repair(repair.pending_dlq(dlq), found, default_catalog()), "decided")
+    done = repair.repair(repair.pending_dlq(dlq), found, default_catalog())
+    return staged(done.drop("column_schema", "canonical_schema", "raw_event"), "decided")  # the dead letters hold these
 
 
 @lru_cache(maxsize=4)
 def clean_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(delivery.to_changes(
-        routing.to_validated(routed(spark, sf_dir)), repair.to_repaired(decided(spark, sf_dir)),
+        routing.to_validated(stored_routes(spark, sf_dir)), repair.to_repaired(decided(spark, sf_dir)),
         default_catalog()), "changes")
 
 
