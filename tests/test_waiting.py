@@ -136,3 +136,33 @@ def test_decided_events_stay_decided():
     assert list(progress.handleExpiredTimer(("e",), values, None)) == [] and timers == []
     progress, feed, timers, _, _ = event()
     assert feed(outcome("DEFERRED", 0)) == [] and timers == []  # an outcome of an event that is not known
+
+
+def test_an_outcome_that_brings_its_letter_begins_the_wait():
+    _, feed, timers, clock, _ = event()
+    first = SimpleNamespace(letter="{}", status="DEFERRED", feedback=["mind x"], next_attempt=2, tried_ms=0)
+    assert feed(first) == [] and timers == [1_000]  # it has been tried once, at the time 0
+    clock.now = 3_000
+    assert feed(outcome("DEFERRED", 500)) == [("e", "{}", 2, ["mind x"], 2)]
+    assert feed(outcome("REPAIRED", 3_000)) == [] and feed(first) == []
+
+
+def test_only_waiting_events_have_state_and_none_is_decided_twice(spark, tmp_path, letters):
+    """Two queries take turns on one output: the first keeps what waits in its state, the other, that finds outcomes, everything."""
+    p = lambda name: str(tmp_path / name)
+
+    def go(checkpoint, *numbers):
+        letters(*numbers).write.mode("append").parquet(p("dlq"))
+        query = sp.start_repair(spark.readStream.schema(letters(1).schema).parquet(p("dlq")),
+                                lambda requests: proposals.propose_from_report(requests, CATALOG), CATALOG, p("out"), p(checkpoint),
+                                first_wait_seconds=0, availableNow=True)
+        query.awaitTermination()
+        operators = [o for progress in query.recentProgress for o in progress["stateOperators"]]
+        return {o["operatorName"]: o["numRowsTotal"] for o in operators}
+
+    first = go("a", 1, 1, 2)
+    assert first.pop("dedupe") == 2 and list(first.values()) == [0]
+    assert "dedupe" not in go("b", 3)
+    go("a", 1)  # the third comes to the first query when the other has decided it
+    audit = spark.read.parquet(p("out/audit"))
+    assert audit.count() == 3 and audit.select("event_id").distinct().count() == 3

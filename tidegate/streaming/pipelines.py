@@ -31,7 +31,7 @@ from tidegate.sources.catalog import Catalog, Contract
 from tidegate.sources.destinations import DestinationConfig, DestinationError, import_class
 from tidegate.streaming.ledger import BUCKETS, DeliveredIndex, children
 from tidegate.streaming.shapes import ShapeDictionary
-from tidegate.streaming.waiting import OUTCOME, due_events
+from tidegate.streaming.waiting import OUTCOME, as_letter, due_events, first_tries
 
 RUN_COLUMNS = ("run", "batch")
 
@@ -487,11 +487,14 @@ def start_repair(dlq: DataFrame, propose: Callable[[DataFrame], DataFrame], cata
     state, spark = RepairState(out), dlq.sparkSession
     make_folder(spark, f"{out}/outcomes")
     outcomes = spark.readStream.schema(OUTCOME).parquet(f"{out}/outcomes/*/*")
-    due = due_events(dlq, outcomes, first_wait_seconds, longest_wait_seconds, remember_days)
+    owner = first_tries(spark, checkpoint, out, remember_days)
+    due = due_events(dlq, outcomes, first_wait_seconds, longest_wait_seconds, remember_days, owner)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         me = (query_id(spark, checkpoint), batch_id)
+        if owner is not None:
+            batch = _not_decided_elsewhere(batch, out, me[0])
         pending = batch.withColumnsRenamed({"deferrals": "_deferrals", "feedback": "_feedback", "next_attempt": "_next_attempt"}).persist()
         told = pending.groupBy(F.col("drift_report.fingerprint").alias("fingerprint")).agg(
             F.max_by(F.struct(F.col("_feedback").alias("feedback"), F.col("_next_attempt").alias("next_attempt")), "_next_attempt").alias("t"))
@@ -499,6 +502,8 @@ def start_repair(dlq: DataFrame, propose: Callable[[DataFrame], DataFrame], cata
         known = state.approved(spark, me)
         decided = repair.repair(pending, propose(requests), catalog, approved=known, settings=settings).persist()
         approved = repair.approve_repairs(decided)
+        waits = ~F.col("status").isin(fixed.TERMINAL_STATUSES)
+        first = F.col("_deferrals") == 0
         again = repair.feedback(decided).select("event_id", F.col("next_attempt").cast("int").alias("next_attempt"), "feedback")
         audit = repair.to_audit(decided, settings).unionByName(
             repair.defer(decided.filter(F.col("_deferrals") == 0)), allowMissingColumns=True)
@@ -506,8 +511,10 @@ def start_repair(dlq: DataFrame, propose: Callable[[DataFrame], DataFrame], cata
             "repaired": repair.to_repaired(decided, settings), "audit": audit, "decisions": repair.record_decisions(decided),
             "approved": approved if known is None else approved.join(known.select("fingerprint"), "fingerprint", "left_anti"),
             # the last one: it lets the events of this batch move on
-            "outcomes": decided.select("event_id", "status").join(again, "event_id", "left").select(
-                "event_id", "status", "feedback", "next_attempt", F.current_timestamp().alias("tried_at"))}
+            "outcomes": decided.select(
+                "event_id", "status", F.when(waits | ~first, F.lit(owner)).cast("string").alias("owner"),
+                F.when(waits & first & F.lit(owner is not None), as_letter(dlq.columns)).alias("letter")).join(again, "event_id", "left").select(
+                "event_id", "status", "feedback", "next_attempt", F.current_timestamp().alias("tried_at"), "owner", "letter")}
         try:
             for name, frame in outputs.items():
                 frame.write.mode("overwrite").parquet(f"{out}/{name}/run={me[0]}/batch={batch_id}")
@@ -520,6 +527,18 @@ def start_repair(dlq: DataFrame, propose: Callable[[DataFrame], DataFrame], cata
         return _start(due, run_batch, checkpoint, trigger, name="repair")
 
 
+def _not_decided_elsewhere(due: DataFrame, out: str, run: str) -> DataFrame:
+    """Without events that another query with the same output has decided; reads nothing while there is none."""
+    spark = due.sparkSession
+    others = [p for p in children(spark, f"{out}/outcomes/run=*") if not p.endswith(f"/run={run}")]
+    batches = [b for p in others for b in children(spark, f"{p}/batch=*")]
+    if not batches:
+        return due
+    told = spark.read.schema("event_id string, status string").parquet(*batches)
+    final = told.where(F.col("status").isin(fixed.TERMINAL_STATUSES)).select(F.col("event_id").alias("_decided"))
+    return due.join(final, F.col("event_id").eqNullSafe(F.col("_decided")), "left_anti")
+
+
 @contextmanager
 def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """A setting for what is started inside; queries keep those of their start."""
